@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from lexiflow.llm import bpe, exact_dedup, mixing, sharding
+from lexiflow.llm import bpe, exact_dedup, mixing, quality_rules, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_nnpu_toxicity": toxicity.op1_nnpu_toxicity,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_mcd_outliers": quality_rules.op3_mcd_outliers,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_simhash": simhash.op8_simhash,
     "op9_pivotal_mixing": mixing.op9_pivotal_mixing,
     "op10_ring_sharding": sharding.op10_ring_sharding,
 }

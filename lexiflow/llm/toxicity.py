@@ -28,12 +28,14 @@ from lexiflow.llm.common import cut, held_out, read, uniform
 
 #: Features of a classifier; rows that one classifier is fitted on at most; classifiers.
 FEATURES, POSITIVES, UNLABELLED, MEMBERS = 800, 6000, 12000, 4
-#: Positives that must hold a feature at least, and candidates counted in all texts at most.
-SUPPORT, CANDIDATES = 3, 20_000
+#: Positives that must hold a feature at least (a number, and a share of all), and candidates counted in all texts at most.
+SUPPORT, SUPPORT_SHARE, CANDIDATES = 3, 0.01, 20_000
 #: Characters of a word that are features as its beginning.
 BEGINNINGS = (3, 4, 5, 6)
-#: Share of a feature's texts that must be toxic, by its counts and the class prior.
-PURE = 0.5
+#: Bounds of the share of a feature's texts that are toxic, by its counts and the class prior.
+PURE, CHANCE = 0.5, 1.8
+#: Loss of one row at most.
+CAP = 6.0
 THRESHOLD = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -87,9 +89,9 @@ def nnpu_fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps:
     def grad(x, sign):
         """Mean loss of labelling all of x by sign, and its gradient."""
         f = x @ w[:-1] + w[-1]
-        loss = np.logaddexp(0, -sign * f).mean()
-        g = -sign / (1 + np.exp(sign * f)) / len(x)
-        return loss, np.append(g @ x, g.sum())
+        loss = np.minimum(np.logaddexp(0, -sign * f), CAP)  # bounded, as the negative part of the risk needs it
+        g = np.where(loss < CAP, -sign / (1 + np.exp(np.clip(sign * f, -50, 50))), 0.0) / len(x)
+        return loss.mean(), np.append(g @ x, g.sum())
 
     for _ in range(-(-steps // batches)):
         ps, us = np.array_split(rng.permutation(len(positive)), batches), np.array_split(rng.permutation(len(unlabelled)), batches)
@@ -148,14 +150,16 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Tox
     positives = docs.join(toxic, "doc_id", "left_semi").select("doc_id", "text")
     positives = cut(positives.repartition(F.xxhash64("doc_id", "text")))
     n_pos, n_all = positives.count(), docs.count()
-    most = _positive_features(positives).filter(F.col("n") >= min(SUPPORT, max(1, n_pos // 4)))
+    support = max(min(SUPPORT, max(1, n_pos // 4)), SUPPORT_SHARE * n_pos)
+    most = _positive_features(positives).filter(F.col("n") >= support)
     found = {r.feature: r.n for r in most.orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()}
     names = set(found)
     overall = {r.feature: r.n for r in _count_in(docs, names).collect()}
 
     def weight(x):  # G statistic of a feature that positives hold more often than all texts do
         p, q = found[x] / max(1, n_pos), (max(overall.get(x, 0), found[x]) + 1) / (n_all + 1)
-        return found[x] * np.log(p / q) if prior * p / q >= PURE else 0.0
+        share = prior * p / q  # about 1 for a pure mark; far over 1 if mere chance put it into positives
+        return found[x] * np.log(p / q) if PURE <= share <= CHANCE else 0.0
 
     chosen = sorted((x for x in names if weight(x) > 0), key=lambda x: (-weight(x), x))[:FEATURES]
     if not chosen:
