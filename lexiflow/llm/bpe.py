@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from lexiflow.llm.common import cut, read
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
-#: Rows of the broadcast table of frequent words at most (about 60 MB).
-DICTIONARY = 1 << 19
+#: Rows of the broadcast table of frequent words at most (about 40 MB).
+DICTIONARY = 1 << 18
 #: Slots of the literal rank map.
-SLOTS = 1 << 16
+SLOTS = 1 << 14
 #: Bytes of a word up to which the fold keeps its boundaries in one 64-bit mask.
 MASKED = 61
 _LOW = (1 << 22) - 1
@@ -170,10 +170,8 @@ class Bpe:
             .select("word", "latin", "n", "width", F.explode(F.sequence(F.lit(0), n * F.col("width") - 1)).alias("k"))
             .select("word", "latin", "n", i.alias("i"), (i + size).alias("j"))
             .filter(F.col("j") <= n)
-            .select("word", "n", "i", "j", self._rank(F.substring(w, F.col("i") + 1, F.col("j") - F.col("i"))).alias("rank"))
-            .filter("rank is not null")
-            .select("word", "n", self._packed(F.col("rank"), F.col("i"), F.col("j")).alias("merge"))
-        )
+            .select("word", "n", self._packed(self._rank(F.substring(w, F.col("i") + 1, F.col("j") - F.col("i"))), F.col("i"), F.col("j")).alias("merge"))
+        )  # no merge where the substring is no token: collect_list leaves nulls out
         merges = tried.groupBy("word").agg(F.first("n").alias("n"), F.collect_list("merge").alias("merges"))
         return merges.select("word", self._fold(F.col("n"), F.col("merges")).alias("ids"))
 
@@ -214,7 +212,8 @@ class Bpe:
             .when(F.col("ids").isNotNull(), F.col("ids"))
             .otherwise(self.encode_word(F.col("word")))
         )
-        gathered = placed.groupBy("k", "row", "id").agg(F.sort_array(F.collect_list(F.struct("pos", ids.alias("ids")))).alias("parts"))
+        placed = placed.select("k", "row", "id", F.struct("pos", ids.alias("ids")).alias("part"))
+        gathered = placed.groupBy("k", "row", "id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
         return gathered.select(F.col("id").alias(id_col), F.flatten("parts.ids").alias("ids"))
 
     def decode(self, ids: Column) -> Column:
