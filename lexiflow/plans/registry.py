@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES = {}
-ORACLE_SQL = {}
+from lexiflow.plans import rules, search, units  # noqa: F401
+from lexiflow.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
 
-
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+#: Word overlap of the English and the French population.
+flagship = search.a5
