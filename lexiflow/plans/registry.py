@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiflow.plans import families, rules, search, units  # noqa: F401
+from lexiflow.plans import chain, families, rules, search, units  # noqa: F401
 from lexiflow.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
 
 #: Word overlap of the English and the French population.
