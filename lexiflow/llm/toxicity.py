@@ -9,8 +9,9 @@ risk estimator
 
     prior * E_p[l(f, +1)] + max(0, E_u[l(f, -1)] - prior * E_p[l(f, -1)])
 
-and their mean scores every whole text. Only the fits use bounded samples
-(``POSITIVES``, ``UNLABELLED`` rows for each of ``MEMBERS`` classifiers).
+and their mean scores every whole text. Only what is learnt from is a bounded
+sample: ``CONFIRMED`` positives, and ``POSITIVES`` and ``UNLABELLED`` rows for
+each of ``MEMBERS`` classifiers.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 
 from lexiflow.llm.common import cut, held_out, read, uniform
 
+#: Confirmed toxic rows that are learnt from at most.
+CONFIRMED = 20_000
 #: Features of a classifier; rows that one classifier is fitted on at most; classifiers.
 FEATURES, POSITIVES, UNLABELLED, MEMBERS = 800, 6000, 12000, 4
 #: Positives that must hold a feature at least (a number, and a share of all), and candidates counted in all texts at most.
@@ -146,8 +149,9 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Tox
     if not n_toxic:
         return ToxicityModel([], np.array([-6.0]))
     prior = min(0.5, max(1e-4, n_toxic / n)) if prior is None else prior
-    toxic = known.filter("toxic = 1").select("doc_id")
-    positives = docs.join(toxic, "doc_id", "left_semi").select("doc_id", "text")
+    # at most CONFIRMED ids: of proven size, so that the texts need no shuffle to be found
+    toxic = known.filter("toxic = 1").select("doc_id").orderBy(F.xxhash64(F.lit("confirmed"), "doc_id"), "doc_id").limit(CONFIRMED)
+    positives = docs.join(F.broadcast(toxic), "doc_id", "left_semi").select("doc_id", "text")
     positives = cut(positives.repartition(F.xxhash64("doc_id", "text")))
     n_pos, n_all = positives.count(), docs.count()
     support = max(min(SUPPORT, max(1, n_pos // 4)), SUPPORT_SHARE * n_pos)
