@@ -30,8 +30,9 @@ def _place(*cols) -> Column:
 
 
 def ring(spark: SparkSession, shards: int, virtual: int = VIRTUAL, seed: int = 7) -> list[tuple[int, int]]:
-    """(place, shard) of all points, clockwise. Bounded by shards x virtual."""
-    points = spark.range(shards * virtual).select(_place(F.lit(seed), F.lit("point"), F.col("id")).alias("place"), (F.col("id") % shards).cast("int").alias("shard"))
+    """(place, shard) of all points, clockwise. Bounded by shards x virtual. A shard's points don't depend on how many shards there are."""
+    shard, nth = F.floor(F.col("id") / virtual).cast("int"), F.col("id") % virtual
+    points = spark.range(shards * virtual).select(_place(F.lit(seed), F.lit("point"), shard, nth).alias("place"), shard.alias("shard"))
     return sorted((r.place, r.shard) for r in points.collect())
 
 
