@@ -137,3 +137,23 @@ def a26(spark, d):
     gain = F.least(F.col("k_A") + F.col("t_A"), F.col("k_B") + F.col("t_B")) - F.least("k_A", "k_B") - F.least("t_A", "t_B")
     t = fam.totals(pairs(spark, d).select(F.concat_ws("|", "prefix", "tail").alias("family"), gain.cast("double").alias("gain")))
     return t.select(r6("gain").alias("gain"), "positive", r6("without_largest").alias("without_largest"), r6("without_five").alias("without_five"))
+
+
+@query("c22_cut_provenance", FAM + ", w AS (SELECT DISTINCT prefix, tail, site, word FROM fw), x AS (SELECT a.prefix, a.word LIKE 'th%' AS s, b.word LIKE 'th%' AS t FROM w a JOIN w b ON a.prefix = b.prefix AND a.tail = b.tail AND a.site = 'o' AND b.site = 'a') SELECT prefix, count(*) FILTER (s AND t) AS internal, count(*) FILTER (s <> t) AS boundary, count(*) AS routes FROM x GROUP BY prefix")
+def c22(spark, d):
+    """Routes of each family inside a cut (words that begin with th), and over its boundary."""
+    w = site(spark, d).select("prefix", "tail", "site", "word").distinct()
+    s = w.filter("site='o'").select("prefix", "tail", F.col("word").startswith("th").alias("s"))
+    t = w.filter("site='a'").select("prefix", "tail", F.col("word").startswith("th").alias("t"))
+    rows = s.join(t, ["prefix", "tail"])
+    return rows.groupBy("prefix").agg(F.count_if(F.col("s") & F.col("t")).alias("internal"), F.count_if(F.col("s") != F.col("t")).alias("boundary"), F.count("*").alias("routes"))
+
+
+@query("a27_flow_rollup", FAM + ", x AS (SELECT CASE WHEN tail LIKE '%ing' THEN 'ing' WHEN tail = '' THEN 'bare' ELSE 'other' END AS level, least(k_A, k_B) + least(t_A, t_B) AS kept, greatest(least(k_A + t_A, k_B + t_B) - least(k_A, k_B) - least(t_A, t_B), 0) AS swap FROM pr) SELECT level, kind, sum(v) AS mass FROM (SELECT level, 'kept' AS kind, kept AS v FROM x UNION ALL SELECT level, 'swap', swap FROM x) GROUP BY level, kind")
+def a27(spark, d):
+    """Kept and exchanged mass rolled up from families to endings."""
+    level = F.when(F.col("tail").endswith("ing"), "ing").when(F.col("tail") == "", "bare").otherwise("other")
+    kept = F.least("k_A", "k_B") + F.least("t_A", "t_B")
+    swap = F.greatest(F.least(F.col("k_A") + F.col("t_A"), F.col("k_B") + F.col("t_B")) - kept, F.lit(0))
+    each = F.explode(F.array(F.struct(F.lit("kept").alias("kind"), kept.alias("v")), F.struct(F.lit("swap").alias("kind"), swap.alias("v")))).alias("e")
+    return pairs(spark, d).select(level.alias("level"), each).groupBy("level", "e.kind").agg(F.sum("e.v").alias("mass"))
