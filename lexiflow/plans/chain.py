@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexiflow.functions import words as W
 from lexiflow.operators import capacity, chain, graph
+from lexiflow.operators import rates as rate_ops
 from lexiflow.plans.base import query, r6
 from lexiflow.plans.rules import MENU, edges
-from lexiflow.plans.search import pair, toks
-from lexiflow.plans.families import FAM, site
+from lexiflow.plans.families import FAM, site, words
+from lexiflow.plans.search import toks
 
 ORDER = list(range(6))
 COL = """, cc AS (SELECT CAST(source[4:] AS INT) AS col, word, count(*) AS n, count(DISTINCT page) AS pages FROM tokens WHERE lang = 'en' AND CAST(source[4:] AS INT) < 6 GROUP BY ALL),
@@ -78,11 +80,18 @@ def a34(spark, d):
     return chain.kept_since(rates(spark, d), "col", len(ORDER)).select("col", "origin", r6("mass").alias("mass"))
 
 
-CAPS = MENU + ", ab AS (SELECT coalesce(x.word, y.word) AS word, coalesce(x.rate, 0) AS a, coalesce(y.rate, 0) AS b FROM (SELECT * FROM wr WHERE lang = 'en') x FULL JOIN (SELECT * FROM wr WHERE lang = 'fr') y ON x.word = y.word), cp AS (SELECT e.src, e.dst, greatest(s.a - s.b, 0) AS v, greatest(t.b - t.a, 0) AS w, least(greatest(s.a - s.b, 0), greatest(t.b - t.a, 0)) AS cap FROM edge e JOIN ab s ON s.word = e.src JOIN ab t ON t.word = e.dst)"
+CAPS = MENU + ", pc AS (SELECT CAST(source[4:] AS INT) % 2 AS pop, regexp_replace(word, '^q', '') AS word, count(*) AS n FROM tokens WHERE lang = 'en' AND word <> 'q' GROUP BY ALL), pw AS (SELECT pop, word, n * 10000.0 / sum(n) OVER (PARTITION BY pop) AS rate FROM pc), ab AS (SELECT word, coalesce(max(rate) FILTER (pop = 0), 0) AS a, coalesce(max(rate) FILTER (pop = 1), 0) AS b FROM pw GROUP BY word), cp AS (SELECT e.src, e.dst, greatest(s.a - s.b, 0) AS v, greatest(t.b - t.a, 0) AS w, least(greatest(s.a - s.b, 0), greatest(t.b - t.a, 0)) AS cap FROM edge e JOIN ab s ON s.word = e.src JOIN ab t ON t.word = e.dst)"
+
+
+def halves(spark, d):
+    """Rates of the merged words of English text in sources of even (a) and odd (b) number."""
+    t = words(spark, d).withColumn("word", W.merged(F.col("word"))).filter("word <> ''")
+    r = rate_ops.rates(rate_ops.word_counts(t, "pop"), "pop")
+    return rate_ops.side_by_side(r.filter("pop = 'A'"), r.filter("pop = 'B'"))
 
 
 def flow_inputs(spark, d):
-    p = pair(spark, d)
+    p = halves(spark, d)
     loss, gain = capacity.budgets(p)
     e = edges(spark, d).select("src", "dst")
     capped = e.join(loss, "src").withColumnRenamed("v", "lv").join(gain, "dst").select("src", "dst", F.least("lv", "v").alias("cap"))
@@ -93,7 +102,7 @@ def flow_inputs(spark, d):
 
 @query("c15_capacity_bound", CAPS + ", s AS (SELECT src, least(max(v), sum(cap)) AS x FROM cp WHERE cap > 0 GROUP BY src), t AS (SELECT dst, least(max(w), sum(cap)) AS x FROM cp WHERE cap > 0 GROUP BY dst) SELECT round((SELECT sum(x) FROM s), 6) AS sent, round((SELECT sum(x) FROM t), 6) AS received")
 def c15b(spark, d):
-    p = pair(spark, d)
+    p = halves(spark, d)
     loss, gain = capacity.budgets(p)
     e = edges(spark, d).select("src", "dst").join(loss, "src").withColumnRenamed("v", "lv").join(gain, "dst").withColumnRenamed("v", "gv").withColumn("cap", F.least("lv", "gv"))
     side = lambda c, v, n: e.groupBy(c).agg(F.least(F.max(v), F.sum("cap")).alias("x")).agg(r6(F.sum("x")).alias(n))
@@ -102,7 +111,7 @@ def c15b(spark, d):
 
 @query("c15_c31_accounting")
 def c15(spark, d):
-    """Maximum allocation of en to fr differences along the rule edges. Checked in the tests against brute force."""
+    """Maximum allocation of the halves' differences along the rule edges. Checked in the tests against brute force."""
     p, loss, gain, e = flow_inputs(spark, d)
     flows = capacity.allocate(loss, gain, e, "component")
     return capacity.accounting(p, flows).select(*[r6(c).alias(c) for c in ("retained", "loss", "gain", "matched", "unplaced", "unfilled")])
