@@ -51,13 +51,13 @@ def statistics(rows: DataFrame, group: str, unit: str, match: str) -> DataFrame:
         F.sum("tokens").alias("tokens"),
         F.sum("lines").alias("lines"),
         F.median(m).alias("median"),
-        F.max(F.struct(m, -F.col(unit))).alias("best"),
+        F.max(F.struct(m.alias("most"), (-F.col(unit)).alias("unit"))).alias("best"),
         F.grouping(group).alias("is_total"),
     )
     total = F.sum(F.when(F.col("is_total") == 1, F.col("matches"))).over(Window.partitionBy())
     rate = measures(F.col("matches"), F.col("tokens"), F.col("lines"))
     agg = agg.select("*", rate["per10k"].alias("per10k"), rate["perline"].alias("perline"), F.try_divide(F.col("matches") * 1.0, total).alias("share"))
-    return agg.withColumn("best", -F.element_at(F.array("best.col2"), 1))
+    return agg.withColumn("best", -F.col("best.unit"))  # the first of the units with most matches
 
 
 def correlations(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
