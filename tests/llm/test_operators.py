@@ -359,7 +359,10 @@ def test_nnpu_risk_learns_from_positives_and_unlabelled():
     positive = np.hstack([np.ones((200, 1), np.uint8), mark(200, 0.3)])
     unlabelled = np.hstack([(rng.random((2000, 1)) < 0.1).astype(np.uint8), mark(2000, 0.3)])
     w = toxicity.nnpu_fit(positive, unlabelled, 0.1)
-    assert w[0] > 2 and abs(w[1:-1]).max() < 1 and w[-1] < -1
+    fresh = np.hstack([(rng.random((4000, 1)) < 0.1).astype(np.uint8), mark(4000, 0.3)])
+    predicted = 1 / (1 + np.exp(-(fresh @ w[:-1] + w[-1]))) >= 0.3
+    assert np.mean(predicted == (fresh[:, 0] == 1)) > 0.98
+    assert w[0] > 2 * abs(w[1:-1]).max() and w[-1] < -1
 
 
 def test_toxicity_odd(spark, odd, empty):
