@@ -193,7 +193,7 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Tox
         p = pdf["positive"].to_numpy(bool)
         usable = p.any() and (~p).any()
         w = nnpu_fit(x[p], x[~p], prior, seed=int(pdf["member"].iloc[0])) if usable else None
-        return pd.DataFrame({"w": [w.tolist()] if usable else []})
+        return pd.DataFrame({"w": pd.Series([w.tolist()] if usable else [], dtype=object)})
 
     rows = pos.unionByName(unl).mapInPandas(encode, "member int, positive boolean, x binary")
     fitted = rows.groupBy("member").applyInPandas(fit, "w array<double>").collect()
