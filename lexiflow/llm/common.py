@@ -15,6 +15,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+#: Rows of one Arrow batch: texts can be long, and each executor holds several batches at once.
+BATCH_ROWS = 1000
+
+
+def few_rows(df: DataFrame) -> DataFrame:
+    """``df``, with its session's Arrow batches held to BATCH_ROWS rows."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage.
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import cut, read
+from lexiflow.llm.common import cut, few_rows, read
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -209,14 +209,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows give a row each; an empty table gives an empty one; other columns are
     ignored.
     """
-    named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), stats_of(F.col(text_col)).alias("s"))
+    named = few_rows(docs).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), stats_of(F.col(text_col)).alias("s"))
     stats = cut(named.select("id", "lang", "source", "s.*"))
     return _judged(stats, _rules(stats)).drop("lang", "source").withColumnRenamed("id", id_col)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns. Texts are read twice and never shuffled."""
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), stats_of(F.col(text_col)).alias("s"))
+    named = few_rows(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), stats_of(F.col(text_col)).alias("s"))
     stats = cut(named.select("lang", "source", "s.*"))
     rules = _rules(stats)
     if rules.limit(MOST_RULES + 1).count() <= MOST_RULES:  # of proven size, so texts need no shuffle
