@@ -49,8 +49,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): one row per row of ``docs``; fp is the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more) -> DataFrame:
+    """(id, fp) and ``more``: one row per row of ``docs``; fp is the fingerprint's bits as a signed long."""
 
     @F.pandas_udf(LongType())
     def fp(texts):
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return pd.Series(out.view(np.int64))
 
-    return few_rows(docs).select(F.col(id_col).alias("id"), fp(F.col(text_col)).alias("fp"))
+    return few_rows(docs).select(F.col(id_col).alias("id"), fp(F.col(text_col)).alias("fp"), *more)
 
 
 class _Forest:
@@ -219,9 +219,22 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose id is their class's smallest; rows of classes without an id stay too."""
-    gone = near_duplicate_classes(docs, id_col, text_col).filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("gone")), "left_anti")
+    """One row of ``docs``, all columns, of each class: that of the smallest id; without any id, one of its rows.
+
+    Rows are told apart by fingerprint, not by id: rows without an id and rows
+    of a repeated id stay or go with their own class. Rows of one id and class
+    are decided by fingerprint, text and the other columns.
+    """
+    rows = cut(fingerprints(docs, id_col, text_col, F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")))
+    nodes = cut(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    labelled = nodes.select("fp", F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "fp").alias("label"))
+    # a class's label holds the fingerprint that stays
+    lost = components(labelled, links(nodes.select("fp"))).filter("fp != label.fp").select("fp")
+    others = [F.col(f"row.`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    order = F.struct(F.col("id").isNull(), "id", F.col(f"row.`{text_col}`"), F.to_json(F.struct(F.lit(0), *others)))
+    # combined in each task before the shuffle, so that a large group reaches no task as a whole
+    kept = rows.groupBy("fp").agg(F.min_by("row", order).alias("row")).join(lost, "fp", "left_anti")
+    return kept.select("row.*")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

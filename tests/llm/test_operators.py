@@ -164,6 +164,24 @@ def test_simhash_classes(docs, rows, odd, empty):
     assert sorted(r.doc_id for r in left.collect()) == sorted({*want.values()}) and left.columns == docs.columns
 
 
+def test_near_copies_go_by_row(spark, odd):
+    a, b, c, d, e, f, g = (" ".join(f"{k}{i * i}" for i in range(30)) for k in "abcdefg")
+    rows = [
+        *[(7, a), (None, a.upper())],  # a row without an id in a class that has one
+        *[(None, b), (None, c), (None, c.upper())],  # classes without an id
+        *[(8, d), (9, d.upper()), (9, e)],  # an id with a near copy and a text of its own
+        *[(4, f), (5, f.upper()), (5, g), (6, g.upper())],  # the smallest id of one class goes in another
+        *[(4, f), (4, f)],  # repeated rows
+    ]
+    df = spark.createDataFrame([(*r, {"k": 1}) for r in rows], "doc_id long, text string, more map<string, int>")
+    left = simhash.drop_near_copies(df)
+    assert left.columns == df.columns and left.schema["more"].dataType == df.schema["more"].dataType
+    found = Counter((r.doc_id, r.text.lower()) for r in left.collect())
+    assert found == Counter([(7, a), (None, b), (None, c), (8, d), (9, e), (4, f), (5, g)])
+    fps = {brute_fingerprint(r[1]) for r in ODD}
+    assert Counter(brute_fingerprint(r.text) for r in simhash.drop_near_copies(odd).collect()) == Counter(fps)
+
+
 @pytest.mark.parametrize("bucket", [8, 4096])
 def test_links_in_chains_and_crowded_buckets(spark, bucket):
     rng = np.random.default_rng(1)
