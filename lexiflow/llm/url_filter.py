@@ -3,8 +3,9 @@
 Host and path names are split into words by unigram Viterbi, with word counts
 of all pages' texts; multinomial naive Bayes scores these words. Its block class
 is learnt from hosts with a word of ``SEEDS``, its allow class from all others,
-over all pages. Word and class counts that reach the driver are bounded by
-``VOCABULARY`` and ``BUCKETS``.
+over all pages. Every word counts: names meet the words they contain in a join.
+The driver sees how many words have each count, the counts of ``SEEDS`` and
+class counts of ``BUCKETS``.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import read
+from lexiflow.llm.common import cut, read
 
 #: (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Words of hosts to block; those under four letters only count as a whole name.
 SEEDS = frozenset("adult ads adserver bet bets betting casino casinos escort gambling hentai jackpot loan loans malware nude payday pharmacy phishing pills poker porn sex slots spam torrent track tracker tracking viagra warez xxx".split())
-#: Words kept for the unigram model; buckets that tokens are hashed to for class counts.
-VOCABULARY, BUCKETS = 50_000, 1 << 15
+#: Buckets that tokens are hashed to for class counts.
+BUCKETS = 1 << 15
 #: Smoothing of class counts.
 ALPHA = 0.01
 _NAME = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
@@ -50,34 +51,50 @@ def matching_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colu
     return rule, verdict
 
 
-def word_counts(pages: DataFrame, html_col: str = "html", most: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent words (a-z) of the pages' texts."""
+def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(word, n): the words (a-z) of the pages' texts."""
     text = F.regexp_replace(F.lower(F.coalesce(F.col(html_col), F.lit(""))), r"<[^>]*>", " ")
     words = pages.select(F.explode(F.regexp_extract_all(text, F.lit("[a-z]{2,}"), F.lit(0))).alias("word"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return {r.word: r.n for r in counts.collect()}
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 class Segmenter:
-    """Unigram Viterbi. A letter sequence outside the vocabulary costs the more the longer it is."""
+    """Unigram Viterbi. A letter sequence outside the vocabulary costs the more the longer it is.
 
-    def __init__(self, counts: dict[str, int]):
-        usual = sorted(counts.values())[len(counts) // 2] if counts else 1
-        counts = {**counts, **{w: max(counts.get(w, 0), 10 * usual) for w in SEEDS}}
-        total = sum(counts.values())
-        self.cost = {w: -math.log(n / total) for w, n in counts.items()}
-        self.total, self.longest = total, min(24, max(map(len, counts)))
-        self.memo: dict[str, tuple[str, ...]] = {}
+    ``counts`` are of all words, or, with ``spread`` (words and their greatest
+    length by count) of all words, those of SEEDS; other words' counts then
+    come with each name.
+    """
+
+    def __init__(self, counts: dict[str, int], spread: dict[int, tuple[int, int]] | None = None):
+        if spread is None:
+            spread = {}
+            for w, n in counts.items():
+                k, longest = spread.get(n, (0, 0))
+                spread[n] = (k + 1, max(longest, len(w)))
+        usual, left = 1, sum(k for k, _ in spread.values()) // 2
+        for n, (k, _) in sorted(spread.items()):
+            if left < k:
+                usual = n
+                break
+            left -= k
+        seeds = {w: max(counts.get(w, 0), 10 * usual) for w in SEEDS}
+        self.total = sum(n * k for n, (k, _) in spread.items()) + sum(n - counts.get(w, 0) for w, n in seeds.items())
+        self.longest = min(24, max([*map(len, SEEDS), *(longest for _, longest in spread.values())]))
+        self.cost = {w: -math.log(n / self.total) for w, n in {**counts, **seeds}.items()}
 
     def unknown(self, length: int) -> float:
         return math.log(self.total) + 2.3 * (length - 1)
 
-    def split(self, name: str) -> tuple[str, ...]:
-        if name in self.memo:
-            return self.memo[name]
+    def pieces(self, name: str) -> list[str]:
+        """Different parts of ``name`` that can be words."""
+        return sorted({name[i : i + k] for i in range(len(name)) for k in range(2, min(self.longest, len(name) - i) + 1)})
+
+    def split(self, name: str, counts: dict[str, int] | None = None) -> tuple[str, ...]:
+        known = {**{w: -math.log(n / self.total) for w, n in counts.items()}, **self.cost} if counts else self.cost
         best, back = [0.0], [0]
         for end in range(1, len(name) + 1):
-            options = [(best[s] + self.cost.get(name[s:end], self.unknown(end - s)), s) for s in range(max(0, end - self.longest), end)]
+            options = [(best[s] + known.get(name[s:end], self.unknown(end - s)), s) for s in range(max(0, end - self.longest), end)]
             cost, start = min(options)
             best.append(cost)
             back.append(start)
@@ -85,21 +102,42 @@ class Segmenter:
         while end:
             out.append(name[back[end] : end])
             end = back[end]
-        if len(self.memo) > 100_000:
-            self.memo.clear()
-        self.memo[name] = tuple(reversed(out))
-        return self.memo[name]
-
-    def tokens(self, host: str, path: str) -> tuple[list[str], bool]:
-        """Words of host and path, and whether the host has a word of SEEDS."""
-        out, seeded = [], False
-        for part, of_host in ((host, True), (path, False)):
-            for name in _NAME.findall(part.lower()):
-                words = ("#",) if name[0].isdigit() else self.split(name)
-                out += [w if of_host else "/" + w for w in words]
-                if of_host:
-                    seeded |= name in SEEDS or any(len(w) > 3 and w in SEEDS for w in words)
-        return out, seeded
+        return tuple(reversed(out))
+
+
+def segmented(urls: DataFrame, words: DataFrame) -> DataFrame:
+    """(host, path, pages, tokens, seeded) of ``urls`` (host, path, pages); seeded: the host has a word of SEEDS."""
+    spread = {r.n: (r.words, r.longest) for r in words.groupBy("n").agg(F.count("*").alias("words"), F.max(F.length("word")).alias("longest")).collect()}
+    segmenter = Segmenter({r.word: r.n for r in words.filter(F.col("word").isin(*SEEDS)).collect()}, spread)
+
+    @F.pandas_udf("array<string>")
+    def names(parts: pd.Series) -> pd.Series:
+        return parts.map(lambda p: _NAME.findall(p.lower()))
+
+    @F.pandas_udf("array<string>")
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for b in batches:
+            yield b.map(segmenter.pieces)
+
+    @F.pandas_udf("array<string>")
+    def split(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for name, word, n in batches:
+            yield pd.Series([list(segmenter.split(x, {} if w is None else dict(zip(w, k, strict=True)))) for x, w, k in zip(name, word, n, strict=True)], dtype=object)
+
+    both = urls.select("host", "path", "pages", names("host").alias("of_host"), names("path").alias("of_path"))
+    each = both.select("host", "path", "pages", F.size("of_host").alias("hosts"), F.posexplode_outer(F.concat("of_host", "of_path")).alias("at", "name"))
+    each = cut(each)
+    different = each.filter(~F.col("name").rlike("^[0-9]")).select("name").distinct().withColumn("key", F.sha2("name", 256))
+    found = different.select("key", F.explode(pieces("name")).alias("word")).join(words, "word").groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    parts = different.join(found, "key", "left").select("name", split("name", F.col("found.word"), F.col("found.n")).alias("parts"))
+    joined = each.join(parts, "name", "left")
+    split_to = F.when(F.col("name").isNull(), F.array().cast("array<string>")).otherwise(F.coalesce("parts", F.array(F.lit("#"))))
+    of_host = F.col("at") < F.col("hosts")
+    tokens = F.when(of_host, split_to).otherwise(F.transform(split_to, lambda w: F.concat(F.lit("/"), w)))
+    seeded = F.col("name").isin(*SEEDS) | F.exists(split_to, lambda w: w.isin(*[s for s in SEEDS if len(s) > 3]))
+    rows = joined.select("host", "path", "pages", F.struct("at", tokens.alias("tokens")).alias("t"), F.coalesce(of_host & seeded, F.lit(False)).alias("seeded"))
+    grouped = rows.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.array_sort(F.collect_list("t")).alias("t"), F.max("seeded").alias("seeded"))
+    return grouped.select("host", "path", "pages", F.flatten("t.tokens").alias("tokens"), "seeded")
 
 
 def _bucket(token: str) -> int:
@@ -129,28 +167,29 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     """
     host, path = host_and_path(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
-    segmenter = Segmenter(word_counts(pages, html_col))
+    urls = cut(segmented(parts.groupBy("host", "path").agg(F.count("*").alias("pages")), cut(word_counts(pages, html_col))))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
         for pdf in batches:
-            for h, p in zip(pdf["host"], pdf["path"], strict=True):
-                tokens, seeded = segmenter.tokens(h, p)
-                n.update((_bucket(t), seeded) for t in tokens)
-                n[(-1, seeded)] += 1
+            for tokens, seeded, k in zip(pdf["tokens"], pdf["seeded"], pdf["pages"], strict=True):
+                for t in tokens:
+                    n[(_bucket(t), seeded)] += k
+                n[(-1, seeded)] += k
         yield pd.DataFrame([(b, c, k) for (b, c), k in n.items()], columns=["bucket", "seeded", "n"])
 
-    counted = parts.select("host", "path").mapInPandas(count, "bucket int, seeded boolean, n long")
+    counted = urls.select("tokens", "seeded", "pages").mapInPandas(count, "bucket int, seeded boolean, n long")
     sums = {(r.bucket, r.seeded): r.n for r in counted.groupBy("bucket", "seeded").agg(F.sum("n").alias("n")).collect()}
     model = NaiveBayes({k: n for k, n in sums.items() if k[0] >= 0}, {c: sums.get((-1, c), 0) for c in (True, False)})
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for hosts, paths in batches:
-            yield pd.Series([model.score(segmenter.tokens(h, p)[0]) if h else -1e9 for h, p in zip(hosts, paths, strict=True)], dtype=float)
+        for hosts, tokens in batches:
+            yield pd.Series([model.score(t) if h else -1e9 for h, t in zip(hosts, tokens, strict=True)], dtype=float)
 
+    scores = urls.select("host", "path", score("host", "tokens").alias("score"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    scored = parts.withColumn("score", score("host", "path"))
+    scored = parts.join(scores, ["host", "path"], "left")
     own = F.when(F.col("score") > 0, "block").otherwise("allow")
     return scored.select(F.col("id").alias(id_col), "host", "path", rule.alias("rule"), "score", F.coalesce(verdict, own).alias("verdict"))
 

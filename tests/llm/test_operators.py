@@ -432,6 +432,29 @@ def test_main_text(spark, sf):
 # 6
 
 
+def test_every_word_counts_in_urls(spark):
+    rare = ["zygoblat", "zzfrumious"]
+    common = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) + "q" for i in range(60_000)]  # all before them by count
+    html = [" ".join(common[i : i + 5000] * 2) for i in range(0, 60_000, 5000)] + [" ".join(rare)]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(html)], "page_id long, html string")
+    urls = spark.createDataFrame([("zygoblatzzfrumious.12", "/Zygoblat/", 3), ("", "", 1)], "host string, path string, pages long")
+    got = {r.host: r for r in url_filter.segmented(urls, url_filter.word_counts(df)).collect()}
+    assert got["zygoblatzzfrumious.12"].tokens == [*rare, "#", "/zygoblat"] and got["zygoblatzzfrumious.12"].pages == 3
+    assert got[""].tokens == [] and not got[""].seeded
+
+    # the verdicts rest on the same words: brute force over all counts
+    hosts = ["zygoblatzzfrumious", "zygoblatcasino", "zzfrumious", "zygoblat"]
+    judged = url_filter.judge(df.withColumn("url", F.concat(F.lit("http://"), F.array(*map(F.lit, hosts))[F.col("page_id").cast("int") % 4], F.lit("/"))))
+    whole = url_filter.Segmenter(Counter(w for h in html for w in h.split()))
+    n, n_pages = Counter(), Counter()
+    for i in range(len(html)):
+        words = whole.split(hosts[i % 4])
+        n.update((url_filter._bucket(w), "casino" in words) for w in words)
+        n_pages["casino" in words] += 1
+    model = url_filter.NaiveBayes(n, n_pages)
+    assert all(abs(r.score - model.score(whole.split(r.host))) < 1e-9 for r in judged.collect())
+
+
 def test_urls(spark, sf):
     cases = [
         ("http://A.Example.COM/en/x?y", "a.example.com", "/en/x", "example.com/en/", "block"),
