@@ -1,38 +1,42 @@
 """Byte-level BPE encoding and decoding with Spark higher-order functions.
 
-Distinct words are encoded once: every substring of a word that is a token is
-looked up in a literal rank map, and a fold over these merges, in the order of
-their ranks, joins the word's bytes. Documents then take their words' ids from
-a broadcast table of bounded size; the few words outside it are folded where
-they stand, by the same fold. Nothing is cut, dropped or approximated.
-
-Bytes travel as Latin-1 strings (one character per byte), because literals,
-substrings and joins of strings are cheap and the mapping is exact.
-
-Rank files are proper BPE vocabularies: the two parts of a token have lower
-ranks than the token. For these, one pass over the merges in rank order equals
-the library's loop that always takes the lowest-ranked adjacent pair.
+A word (one match of the pattern) starts as the tokens of its single bytes. Its
+ranked merges are the tokens among its substrings, and ``aggregate`` folds them
+in rank order: each joins, from the left, all neighbours that a literal map
+gives for its rank. One pair per rank is enough: while the ends of a token's
+bytes are still ends of pieces, what lies between them has been merged exactly
+as if it stood alone. So the fold equals the library's loop, which always takes
+the leftmost of the lowest-ranked pairs, wherever the parts of a token have
+lower ranks than the token, as in all files trained by merging. Each token is a
+character of its own, so that a merge is one replacement in a string.
+
+The frequent words of the corpus are folded once each and broadcast as an Arrow
+table of bounded size; documents take their ids from it batch by batch, and
+words outside it are folded where they stand, by the same expression. Nothing
+is cut, dropped or approximated.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Iterator
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import cut, read
+from lexiflow.llm.common import cut, few_rows, read
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
-#: Rows of the broadcast table of frequent words at most (about 40 MB).
-DICTIONARY = 1 << 18
-#: Slots of the literal rank map.
-SLOTS = 1 << 14
-#: Bytes of a word up to which the fold keeps its boundaries in one 64-bit mask.
-MASKED = 61
-_LOW = (1 << 22) - 1
+#: Rows of the broadcast table of frequent words at most (about 20 MB).
+DICTIONARY = 400_000
+#: Counts of words fall into this many classes per doubling.
+CLASSES = 16
+_WORD = "struct<pieces:string,merges:array<int>>"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -40,6 +44,54 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _char(token: int) -> str:
+    """The character of a token; surrogates are left out."""
+    return chr(token + 1 if token < 0xD7FF else token + 0x801)
+
+
+def _token(char: Column) -> Column:
+    point = F.ascii(char)
+    return F.when(point < 0xD800, point - 1).otherwise(point - 0x801)
+
+
+def _pair(token: bytes, ranks: dict[bytes, int]) -> str:
+    """The characters of the two tokens that merge into ``token``; empty if no merges lead to it."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while len(parts) > 2:
+        low, i = min((ranks.get(a + b, len(ranks) << 8), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if low >= ranks[token]:
+            return ""
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return "".join(_char(ranks[p]) for p in parts)
+
+
+class Merges:
+    """For each word: the characters of its bytes, and the ranks of its merges in order."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.longest: dict[bytes, int] = {}  # of tokens that begin with these two or three bytes
+        for token in ranks:
+            for head in (token[:2], token[:3]):
+                self.longest[head] = max(self.longest.get(head, 0), len(token))
+        self.bytes = {b: _char(ranks[bytes([b])]) for b in range(256) if bytes([b]) in ranks}
+
+    def of(self, word: str) -> tuple[str, list[int]]:
+        data, get, longest = word.encode(), self.ranks.get, self.longest.get
+        if (whole := get(data)) is not None:
+            return _char(whole), []
+        n = len(data)
+        found = {get(data[i:j]) for i in range(n - 1) for j in range(i + 2, min(n, i + longest(data[i : i + 3], 2)) + 1)}
+        found.discard(None)
+        return "".join(map(self.bytes.__getitem__, data)), sorted(found)
+
+    def of_all(self, words: pa.StringArray) -> pa.StructArray:
+        different = words.dictionary_encode()
+        rows = [self.of(w) for w in different.dictionary.to_pylist()]
+        found = pa.StructArray.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int32()))], ["pieces", "merges"])
+        return found.take(different.indices)
+
+
 class Bpe:
     """Encoder and decoder for one rank file.
 
@@ -47,174 +99,75 @@ class Bpe:
     as literals of the plan.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, dictionary: int = DICTIONARY):
-        self.spark, self.dictionary = spark, dictionary
-        spark.conf.set("spark.sql.maxPlanStringLength", "4096")  # literals of a whole vocabulary need no printing
+    def __init__(self, path: str | None = None, dictionary: int = DICTIONARY):
         ranks = load_ranks(path or public_tokenizers.path(TOKENIZER))
-        self.longest = max(map(len, ranks))
-        rows = [(token.decode("latin-1"), rank) for token, rank in ranks.items()]
-        slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
-        tokens = spark.createDataFrame(rows, "token string, rank int")
-        for token, rank, slot in tokens.select("token", "rank", self._slot(F.col("token"))).collect():
-            slots[slot][token] = rank
-        self._ranks = F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
-        by_id = [""] * (max(ranks.values()) + 1)
-        for token, rank in rows:
-            by_id[rank] = token
-        self._pieces = F.from_json(F.lit(json.dumps(by_id)), "array<string>")
-        little = [n.to_bytes(4, "little").decode("latin-1") for n in range(len(by_id))]
-        self._little = F.from_json(F.lit(json.dumps(little)), "array<string>")
-
-    @staticmethod
-    def _slot(token: Column) -> Column:
-        return F.pmod(F.hash(token), F.lit(SLOTS))
-
-    def _rank(self, token: Column) -> Column:
-        return F.try_element_at(F.get(self._ranks, self._slot(token)), token)
-
-    @staticmethod
-    def _bytes(text: Column) -> Column:
-        return F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
-
-    # A merge is one bigint: rank, first byte, byte after the last one.
-
-    @staticmethod
-    def _packed(rank: Column, i: Column, j: Column) -> Column:
-        return rank.cast("bigint") * (1 << 44) + i.cast("bigint") * (1 << 22) + j
-
-    @staticmethod
-    def _span(merge: Column) -> tuple[Column, Column]:
-        return F.shiftright(merge, 22).bitwiseAND(_LOW), merge.bitwiseAND(_LOW)
-
-    def _merges(self, word: Column) -> Column:
-        """All substrings of a Latin-1 word that are tokens, as unsorted merges."""
-        n = F.length(word)
-
-        def at(i):
-            ends = F.sequence(i + 1, F.least(n, i + self.longest))
-            found = F.transform(ends, lambda j: self._packed(self._rank(F.substring(word, i + 1, j - i)), i, j))
-            return F.filter(found, lambda m: m.isNotNull())
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at))
-
-    def _fold(self, n: Column, merges: Column) -> Column:
-        """Ids of a word of ``n`` bytes from its merges in rank order."""
-
-        def bit(k):
-            return F.call_function("shiftleft", F.lit(1).cast("bigint"), k.cast("int"))
-
-        def masked(st):
-            def step(mask, merge):
-                i, j = self._span(merge)
-                inner, ends = mask.bitwiseAND(bit(j) - bit(i + 1)), bit(i) + bit(j)
-                joins = (mask.bitwiseAND(ends) == ends) & (inner != 0) & (inner.bitwiseAND(inner - 1) == 0)
-                return F.when(joins, mask - inner).otherwise(mask)
-
-            mask = F.aggregate(st["merges"], bit(st["n"] + 1) - 1, step)
-            return F.flatten(F.transform(F.array(F.struct(mask.alias("mask"), st["merges"].alias("merges"))), whole))
-
-        def whole(st):
-            def stands(merge):
-                i, j = self._span(merge)
-                ends = bit(i) + bit(j)
-                return (st["mask"].bitwiseAND(ends) == ends) & (st["mask"].bitwiseAND(bit(j) - bit(i + 1)) == 0)
-
-            return in_place(F.filter(st["merges"], stands))
-
-        def in_place(merges):
-            keys = F.transform(merges, lambda m: self._span(m)[0] * (1 << 20) + F.shiftright(m, 44))
-            return F.transform(F.sort_array(keys), lambda k: k.bitwiseAND((1 << 20) - 1).cast("int"))
-
-        def long(st):
-            # ends[i]: where the piece that begins at byte i ends, 0 if none begins there
-            def step(ends, merge):
-                i, j = (x.cast("int") for x in self._span(merge))
-                k = F.get(ends, i)
-                joins = (k > i) & (k < j) & (F.get(ends, k) == j)
-                joined = F.concat(
-                    F.slice(ends, F.lit(1), i), F.array(j), F.slice(ends, i + 2, k - i - 1), F.array(F.lit(0)), F.slice(ends, k + 2, F.size(ends))
-                )
-                return F.when(F.coalesce(joins, F.lit(False)), joined).otherwise(ends)
-
-            ends = F.aggregate(st["merges"], F.sequence(F.lit(1), st["n"]), step)
-            kept = F.transform(
-                F.array(F.struct(ends.alias("ends"), st["merges"].alias("merges"))),
-                lambda s: in_place(F.filter(s["merges"], lambda m: F.get(s["ends"], self._span(m)[0].cast("int")) == self._span(m)[1])),
-            )
-            return F.flatten(kept)
-
-        def ids(st):
-            token = F.filter(st["merges"], lambda m: m.bitwiseAND((1 << 44) - 1) == st["n"])
-            single = F.transform(token, lambda m: F.shiftright(m, 44).cast("int"))
-            return F.when(F.size(token) > 0, single).when(st["n"] <= MASKED, masked(st)).otherwise(long(st))
-
-        return F.flatten(F.transform(F.array(F.struct(n.alias("n"), F.sort_array(merges).alias("merges"))), ids))
-
-    def encode_word(self, word: Column) -> Column:
-        """Ids of one word (one match of the pattern), as an expression."""
-        latin = F.array(self._bytes(word))
-        return F.flatten(F.transform(latin, lambda w: self._fold(F.length(w), self._merges(w))))
+        self.dictionary, self._merges = dictionary, Merges(ranks)
+        names, pairs = ([""] * (max(ranks.values()) + 1) for _ in range(2))
+        for token, rank in ranks.items():
+            names[rank] = token.decode("latin-1")
+            pairs[rank] = _pair(token, ranks) if len(token) > 1 else ""
+        literal = lambda xs: F.from_json(F.lit(json.dumps(xs)), "array<string>")
+        self._pairs, self._pieces = literal(pairs), literal(names)
+        self._chars = literal([_char(n) for n in range(len(names))])
+        self._little = literal([n.to_bytes(4, "little").decode("latin-1") for n in range(len(names))])
 
-    def encode_words(self, words: DataFrame) -> DataFrame:
-        """(word, ids) for rows with distinct words, looked up row by row.
+    def _fold(self, word: Column) -> Column:
+        """Ids of one word, from its pieces and merges."""
 
-        ``words`` should come from a groupBy on word: the rows of a word then
-        stay in their partition, and nothing is shuffled again.
-        """
-        w, n = F.col("latin"), F.col("n")
-        i, size = F.expr("cast(k div width as int)"), F.expr("cast(k % width + 1 as int)")
-        tried = (
-            words.select("word", self._bytes(F.col("word")).alias("latin"))
-            .withColumn("n", F.length(w))
-            .withColumn("width", F.least(n, F.lit(self.longest)))
-            .select("word", "latin", "n", "width", F.explode(F.sequence(F.lit(0), n * F.col("width") - 1)).alias("k"))
-            .select("word", "latin", "n", i.alias("i"), (i + size).alias("j"))
-            .filter(F.col("j") <= n)
-            .select("word", "n", self._packed(self._rank(F.substring(w, F.col("i") + 1, F.col("j") - F.col("i"))), F.col("i"), F.col("j")).alias("merge"))
-        )  # no merge where the substring is no token: collect_list leaves nulls out
-        merges = tried.groupBy("word").agg(F.first("n").alias("n"), F.collect_list("merge").alias("merges"))
-        return merges.select("word", self._fold(F.col("n"), F.col("merges")).alias("ids"))
+        def merge(pieces: Column, rank: Column) -> Column:
+            return F.replace(pieces, F.get(self._pairs, rank), F.get(self._chars, rank))  # an empty pair changes nothing
+
+        return F.aggregate(word["merges"], word["pieces"], merge, lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: _token(F.substring(s, i, F.lit(1)))))
+
+    def encode_words(self, words: DataFrame) -> DataFrame:
+        """(word, ids) for rows with a column ``word`` (a match of the pattern, not empty)."""
+        merges = self._merges
+
+        def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch.column(0), merges.of_all(batch.column(0))], ["word", "w"])
+
+        return words.select("word").mapInArrow(found, f"word string, w {_WORD}").select("word", self._fold(F.col("w")).alias("ids"))
+
+    def frequent(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
+        """(word, ids) of the most frequent words of all texts, ``dictionary`` at most."""
+        counts = docs.select(_words(text_col)).mapInArrow(_count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+        counts = cut(counts.select("word", F.floor(F.log2("n") * CLASSES).cast("int").alias("class")))
+        sizes = sorted(((r["class"], r["words"]) for r in counts.groupBy("class").agg(F.count("*").alias("words")).collect()), reverse=True)
+        least, held = 1 << 30, 0
+        for at, words in sizes:  # classes of counts from the top, while they fit
+            if held + words > self.dictionary:
+                break
+            least, held = at, held + words
+        return self.encode_words(counts.filter(F.col("class") >= least))
 
     def encode(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row per row of ``docs``: the id and ``ids`` (array of int).
 
         Null and empty texts give an empty array; repeated rows, null or
-        repeated ids give one row each; other columns are ignored.
+        repeated ids give one row each; other columns are ignored; an empty
+        table gives an empty one. A text or word of any length is encoded
+        whole, in time that grows in proportion to it.
         """
-        pattern = F.lit("(?U)" + public_tokenizers.PATTERN)
-        text = F.coalesce(F.col(text_col), F.lit(""))
-        pieces = F.regexp_extract_all(text, pattern, F.lit(0))
-        counts = cut(
-            docs.select(F.explode(pieces).alias("word"))
-            .groupBy("word")
-            .agg(F.count("*").alias("n"))
-            .filter("n > 1")
-        )
-        # The lowest count at which the frequent words fit the dictionary: counts of counts, one small row each.
-        least, held = None, 0
-        for n, words in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
-            if held + words > self.dictionary:
-                break
-            least, held = n, held + words
-        known = self.encode_words(counts.filter(F.col("n") >= (least or 0)).groupBy("word").agg(F.first("n"))) if held else None
-        placed = (
-            docs.select(F.col(id_col).alias("id"), text.alias("text"))
-            .repartition(F.xxhash64("id", "text"))
-            .select(F.xxhash64("id", "text").alias("k"), F.monotonically_increasing_id().alias("row"), "id", "text")
-        )
-        placed = placed.select("k", "row", "id", F.posexplode_outer(F.regexp_extract_all("text", pattern, F.lit(0))).alias("pos", "word"))
-        if known is not None:
-            placed = placed.join(F.broadcast(known), "word", "left")
-        else:
-            placed = placed.withColumn("ids", F.lit(None).cast("array<int>"))
-        ids = (
-            F.when(F.col("word").isNull(), F.array().cast("array<int>"))
-            .when(F.col("ids").isNotNull(), F.col("ids"))
-            .otherwise(self.encode_word(F.col("word")))
-        )
-        placed = placed.select("k", "row", "id", F.struct("pos", ids.alias("ids")).alias("part"))
-        gathered = placed.groupBy("k", "row", "id").agg(F.sort_array(F.collect_list("part")).alias("parts"))
-        return gathered.select(F.col("id").alias(id_col), F.flatten("parts.ids").alias("ids"))
+        table = self.frequent(docs, text_col).toArrow()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table.combine_chunks())
+        known = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+        merges = self._merges
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = pa.ipc.open_stream(known.value).read_all().combine_chunks()
+            words, ids = (held.column(c).chunk(0) if len(held) else pa.array([], t) for c, t in (("word", pa.string()), ("ids", pa.list_(pa.int32()))))
+            for batch in batches:
+                stretches, others = _placed(batch.column(1), words, ids)
+                rare = pa.ListArray.from_arrays(others.offsets, merges.of_all(others.values))
+                yield pa.RecordBatch.from_arrays([batch.column(0), stretches, rare], ["id", "known", "rare"])
+
+        rows = docs.select(F.col(id_col).alias("id"), _words(text_col))
+        placed = rows.mapInArrow(place, f"id {rows.schema['id'].dataType.simpleString()}, known array<array<int>>, rare array<{_WORD}>")
+        both = F.zip_with("known", "rare", lambda before, word: F.when(word.isNull(), before).otherwise(F.concat(before, self._fold(word))))
+        return placed.select(F.col("id").alias(id_col), F.flatten(F.when(F.size("rare") == 0, F.col("known")).otherwise(both)).alias("ids"))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids: the binary pieces joined. Ids outside the vocabulary add nothing."""
@@ -225,9 +178,48 @@ class Bpe:
         return F.encode(F.array_join(F.transform(ids, lambda i: F.get(self._little, i)), ""), "ISO-8859-1")
 
 
+def _words(text_col: str) -> Column:
+    """The matches of the pattern in a text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return F.regexp_extract_all(text, F.lit("(?U)" + public_tokenizers.PATTERN), F.lit(0)).alias("words")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n) for each batch."""
+    for batch in batches:
+        counted = pc.value_counts(batch.column(0).flatten())
+        yield pa.RecordBatch.from_arrays([counted.field("values"), counted.field("counts")], ["word", "n"])
+
+
+def _placed(docs: pa.ListArray, words: pa.StringArray, ids: pa.ListArray) -> tuple[pa.ListArray, pa.ListArray]:
+    """For each document (its words): the ids of known words, in stretches between the other words; those words."""
+    starts = docs.offsets.to_numpy() - (docs.offsets[0].as_py() if len(docs) else 0)
+    flat = docs.flatten()
+    at = pc.index_in(flat, value_set=words)
+    rare = np.flatnonzero(at.is_null().to_numpy(zero_copy_only=False))
+    row = at.fill_null(0).to_numpy(zero_copy_only=False)
+    if len(words):
+        first = ids.offsets.to_numpy()[row].astype(np.int64)
+        size = ids.offsets.to_numpy()[row + 1] - first
+        size[rare] = 0
+    else:
+        first = size = np.zeros(len(flat), np.int64)
+    ends = np.concatenate([[0], np.cumsum(size)])  # ids before each word
+    tokens = np.repeat(first - ends[:-1], size) + np.arange(ends[-1])
+    tokens = ids.values.to_numpy()[tokens] if len(words) else np.empty(0, np.int32)
+    # a stretch begins with each document and after each rare word
+    order = np.argsort(np.concatenate([starts[:-1] * 2, rare * 2 + 1]), kind="stable")
+    cuts = ends[np.concatenate([starts[:-1], rare])[order]]
+    before = np.searchsorted(rare, starts)
+    stretches = pa.ListArray.from_arrays(pa.array(np.append(cuts, ends[-1]), pa.int32()), pa.array(tokens, pa.int32()))
+    known = pa.ListArray.from_arrays(pa.array(np.arange(len(starts)) + before, pa.int32()), stretches)
+    return known, pa.ListArray.from_arrays(pa.array(before, pa.int32()), flat.take(pa.array(rare)))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bpe = Bpe(spark)
-    encoded = bpe.encode(read(spark, sf_dir, "documents"))
+    """One row per document; a null or empty text has no tokens and the digests of no bytes."""
+    bpe = Bpe()
+    encoded = bpe.encode(few_rows(read(spark, sf_dir, "documents")))
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -3,46 +3,68 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space; everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of one Arrow batch: texts can be long, and each executor holds several batches at once.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Rows of one Arrow batch: texts can be long, and each executor holds several batches at once.
-BATCH_ROWS = 1000
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Holds Arrow batches of whole texts to ``rows`` rows while a job runs inside; the session's setting comes back."""
+    before = spark.conf.get(_ROWS)
+    spark.conf.set(_ROWS, str(min(int(before), rows)))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ROWS, before)
 
 
 def few_rows(df: DataFrame) -> DataFrame:
-    """``df``, with its session's Arrow batches held to BATCH_ROWS rows."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """``df``, with its session's Arrow batches held to BATCH_ROWS rows from now on: for queries and stages whose last step reads whole texts."""
+    conf = df.sparkSession.conf
+    conf.set(_ROWS, str(min(int(conf.get(_ROWS)), BATCH_ROWS)))
     return df
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage.
+    """Write ``df`` to the shared checkpoint folder and cut its lineage. Texts inside go through small Arrow batches.
 
-    The folder is the cluster's ``spark.checkpoint.dir``. Only where that is
-    unset (tests, local mode) is a temporary one made.
+    The folder is the cluster's ``spark.checkpoint.dir``. Only a local master
+    gets a temporary one where none is set; on a cluster that is an error, as
+    executors would write to their own disks.
     """
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return df.checkpoint()
+    with small_batches(df.sparkSession):
+        return df.checkpoint()
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, inside an expression."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, body)
 
 
-def uniform(*cols) -> F.Column:
+def uniform(*cols) -> Column:
     """A number in [0, 1) that depends on the columns' values alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 52)) / float(1 << 52)
 
 
-def held_out(doc_id: str = "doc_id") -> F.Column:
+def held_out(doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo 4, is 2 (a null id counts as empty text)."""
     text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     return F.crc32(text.cast("binary")) % 4 == 2

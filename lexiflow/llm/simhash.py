@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from lexiflow.llm.common import cut, few_rows, read
+from lexiflow.llm.common import cut, read
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: (lowest bit, bits) of the blocks.
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return pd.Series(out.view(np.int64))
 
-    return few_rows(docs).select(F.col(id_col).alias("id"), fp(F.col(text_col)).alias("fp"), *more)
+    return docs.select(F.col(id_col).alias("id"), fp(F.col(text_col)).alias("fp"), *more)
 
 
 class _Forest:
