@@ -2,16 +2,15 @@
 
 A source with target t and size s wants every document t / s times: a whole
 number of copies, and a fraction that is a probability of one copy more. These
-probabilities are paired; of each pair, words move at random from one
-document's probability to the other's until one of them is 0 or 1. A pair's
-expected words never change, so the mix keeps the target to within the size of
-the one document that is left at the root.
-
-* Documents over a 500th of their source (fewer than 500 a source) are each
-  paired with the pool of all smaller ones, largest first, so that the pool
-  makes good what rounding a large document gains or loses.
-* The rest go through a reduction tree: folds of about ``FAN`` documents each
-  leave one undecided document, which goes up to the next level.
+probabilities are paired: in a fold, the largest document duels with the pool
+of the fold's smaller ones. Words move at random from its probability to theirs
+or back, until the document is decided (0 or 1) or the whole pool is; then the
+next largest duels with what is left. A duel changes neither the words that are
+expected nor any document's expectation, and a fold leaves one document
+undecided, its smallest unless a document outweighs all others. A reduction
+tree deals documents to folds of about ``FAN``, takes the undecided ones up to
+the next level, and draws the one left at the root. So a source's mix keeps its
+target to within that document.
 
 All draws are hashes of ids and a seed; reruns agree.
 """
@@ -21,15 +20,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import WORD, cut, read, uniform
+from lexiflow.llm.common import WORD, cut, let, read, uniform
 
 WEIGHTS = (5, 2, 1)
 #: Copies of a document at most, and so of a source's target over its size.
 MOST = 3
 #: Documents that one fold of the reduction tree takes.
 FAN = 128
-#: A document is large if it holds more than this share of its source.
-LARGE = 0.002
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
@@ -54,68 +51,41 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return rows.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.coalesce(final, F.lit(0.0)) * F.col("w")).cast("double").alias("target"))
 
 
-def _large(docs: Column, target: Column, size: Column, most: int, seed: int) -> Column:
-    """Pairs each large document with the pool of all smaller words; largest first.
+def _duels(units: Column, level: int, seed: int) -> Column:
+    """One fold of the tree: units (size, key, nth, p) with their new p, at most one of them undecided (0 < p < 1).
 
-    State: words still wanted (target) of words still there (size), and the decided documents.
+    The pool's probabilities change together: each is ``scale * p + shift``.
     """
-
-    def step(state, doc):
-        rate = F.try_divide(state["target"], state["size"])
-        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.coalesce(rate, F.lit(0.0))))
-        low = F.floor(rate)
-        copies = F.least(F.lit(most), low + F.when(uniform(F.lit(seed), F.lit("large"), doc["key"], doc["nth"]) < rate - low, 1).otherwise(0)).cast("int")
-
-        def go(z):
-            c = z["copies"]
-            return F.struct(
-                (state["target"] - c * doc["size"]).alias("target"),
-                (state["size"] - doc["size"]).alias("size"),
-                F.concat(state["done"], F.array(F.struct(doc["key"].alias("key"), doc["nth"].alias("nth"), doc["size"].alias("size"), c.alias("copies")))).alias("done"),
-            )
-
-        return F.get(F.transform(F.array(F.struct(copies.alias("copies"))), go), 0)
-
-    done = F.array().cast("array<struct<key:bigint,nth:bigint,size:bigint,copies:int>>")
-    start = F.struct(target.alias("target"), size.cast("double").alias("size"), done.alias("done"))
-    largest_first = F.transform(F.sort_array(F.transform(docs, lambda d: F.struct((-d["size"]).alias("o"), d["key"].alias("key"), d["nth"].alias("nth"), d["size"].alias("size")))), lambda d: F.struct(d["key"].alias("key"), d["nth"].alias("nth"), d["size"].alias("size")))
-    return F.aggregate(largest_first, start, step)
-
-
-_UNIT = "struct<key:bigint,nth:bigint,size:bigint,p:double>"
-
-
-def _duels(units: Column, level: int, seed: int) -> Column:
-    """One fold of the tree: units (key, nth, size, p) to units of which at most the last is undecided (0 < p < 1)."""
-
-    def step(state, unit):
-        a = state["open"]
-        up = F.least((1 - a["p"]) * a["size"], unit["p"] * unit["size"])  # words that can go from unit to a
-        down = F.least(a["p"] * a["size"], (1 - unit["p"]) * unit["size"])  # and from a to unit
-        to_a = uniform(F.lit(seed), F.lit(level), a["key"], a["nth"], unit["key"], unit["nth"]) * (up + down) < down
-        moved = F.when(to_a, up).otherwise(-down)
-
-        def settle(p):
-            return F.when(p < 1e-9, 0.0).when(p > 1 - 1e-9, 1.0).otherwise(p)
-
-        def go(z):
-            pa, pb = settle(a["p"] + z["moved"] / a["size"]), settle(unit["p"] - z["moved"] / unit["size"])
-            return F.get(F.transform(F.array(F.struct(pa.alias("pa"), pb.alias("pb"))), close), 0)
-
-        def close(z):
-            first = F.struct(a["key"].alias("key"), a["nth"].alias("nth"), a["size"].alias("size"), z["pa"].alias("p"))
-            second = F.struct(unit["key"].alias("key"), unit["nth"].alias("nth"), unit["size"].alias("size"), z["pb"].alias("p"))
-            a_open = (z["pa"] > 0) & (z["pa"] < 1)
+    ordered = F.sort_array(units, asc=False)  # the largest first
+    total = lambda f: F.aggregate(ordered, F.lit(0.0), lambda x, u: x + f(u))
+    start = F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("shift"), total(lambda u: u["p"] * u["size"]).alias("mass"), total(lambda u: u["size"].cast("double")).alias("words"), F.array().cast("array<double>").alias("ps"))
+
+    def settle(x):
+        return F.when(x < 1e-9, 0.0).when(x > 1 - 1e-9, 1.0).otherwise(x)
+
+    def step(st, u):
+        def duel(z):
+            up = F.least((1 - z["p"]) * u["size"], z["held"])  # words that can go from the pool to the document
+            down = F.least(z["p"] * u["size"], z["words"] - z["held"])  # and back
+            rises = uniform(F.lit(seed), F.lit(level), u["key"], u["nth"]) * (up + down) < down
+            p = F.when(rises, z["p"] + up / u["size"]).otherwise(z["p"] - down / u["size"])
+            left = 1 - F.coalesce(F.when(rises, F.try_divide(up, z["held"])).otherwise(F.try_divide(down, z["words"] - z["held"])), F.lit(0.0))
+            return let(F.struct(rises.alias("rises"), settle(p).alias("p"), settle(left).alias("left")), lambda r: close(z, r))
+
+        def close(z, r):
             return F.struct(
-                F.when(a_open, first).otherwise(second).alias("open"),
-                F.concat(state["done"], F.array(F.when(a_open, second).otherwise(first))).alias("done"),
+                (st["scale"] * r["left"]).alias("scale"),
+                (st["shift"] * r["left"] + F.when(r["rises"], 0.0).otherwise(1 - r["left"])).alias("shift"),
+                z["mass"].alias("mass"),
+                z["words"].alias("words"),
+                F.concat(st["ps"], F.array(r["p"])).alias("ps"),
             )
 
-        return F.get(F.transform(F.array(F.struct(moved.alias("moved"))), go), 0)
+        words, mass = F.greatest(st["words"] - u["size"], F.lit(0.0)), F.greatest(st["mass"] - u["p"] * u["size"], F.lit(0.0))
+        held = F.greatest(F.lit(0.0), F.least(words, st["scale"] * mass + st["shift"] * words))
+        return let(F.struct(settle(st["scale"] * u["p"] + st["shift"]).alias("p"), words.alias("words"), mass.alias("mass"), held.alias("held")), duel)
 
-    ordered = F.sort_array(units)
-    start = F.struct(F.get(ordered, 0).alias("open"), F.array().cast(f"array<{_UNIT}>").alias("done"))
-    return F.aggregate(F.slice(ordered, 2, F.greatest(F.size(ordered), F.lit(1))), start, step, lambda s: F.concat(s["done"], F.array(s["open"])))
+    return F.zip_with(ordered, F.aggregate(ordered, start, step, lambda st: st["ps"]), lambda u, p: u.withField("p", p))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = 11, fan: int = FAN) -> DataFrame:
@@ -139,43 +109,33 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     each = rows.select("key", "source", "size", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("nth"))
     t = targets.select(F.col("source").alias("s"), "source_size", "target")
     each = each.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    is_large = F.col("size") > F.col("source_size") * LARGE
-    doc = F.struct("key", "nth", "size")
-    large = each.filter(is_large).groupBy("source", "source_size", "target").agg(F.collect_list(doc).alias("docs"))  # fewer than 1 / LARGE a source
-    large = cut(large.select("source", "source_size", _large(F.col("docs"), F.col("target"), F.col("source_size"), most, seed).alias("state")))
-    left = large.select(F.col("source").alias("s"), F.col("state.target").alias("left"), F.col("state.size").alias("pool"))
-    small = each.filter(~is_large & (F.col("size") > 0))
-    small = small.join(left, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    rate = F.try_divide(F.coalesce("left", "target"), F.coalesce("pool", F.col("source_size").cast("double")))
-    small = small.withColumn("rate", F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.coalesce(rate, F.lit(0.0)))))
-    small = small.withColumn("low", F.floor("rate")).withColumn("p", F.col("rate") - F.col("low"))
-    counts = small.groupBy("source").agg(F.count("*").alias("n"))
-    folds = counts.select(F.col("source").alias("s"), F.ceil(F.col("n") / fan).alias("folds"))
-    units = small.join(folds, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    rate = F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0))
+    each = each.withColumn("rate", F.least(F.lit(float(most)), rate)).withColumn("low", F.floor("rate")).withColumn("p", F.col("rate") - F.col("low"))
+    whole = (F.col("size") == 0) | (F.col("p") == 0)
+    drawn = each.filter(~whole)
+    folds = drawn.groupBy("source").agg(F.ceil(F.count("*") / fan).alias("folds")).withColumnRenamed("source", "s")
     fold = F.pmod(F.xxhash64(F.lit(seed), "key", "nth", "size"), F.col("folds"))
-    unit = F.struct("key", "nth", "size", "p")
-    units = units.select("source", "low", fold.alias("fold"), unit.alias("u"))
-    decided, level = [], 0
+    units = drawn.join(folds, F.col("source").eqNullSafe(F.col("s"))).select("source", fold.alias("fold"), F.struct("size", "key", "nth", "p").alias("u"))
+    decided, level = [each.filter(whole).select("source", "key", "size", F.lit(0.0).alias("p"))], 0
     most_folds = folds.agg(F.max("folds")).first()[0] or 0
     while most_folds:
-        group = units.groupBy("source", "low", "fold").agg(F.collect_list("u").alias("us"))
-        done = cut(group.select("source", "low", "fold", F.explode(_duels(F.col("us"), level, seed)).alias("u")))
+        duels = units.groupBy("source", "fold").agg(F.collect_list("u").alias("us"))  # about fan units each
+        done = cut(duels.select("source", "fold", F.explode(_duels(F.col("us"), level, seed)).alias("u")))
         is_open = (F.col("u.p") > 0) & (F.col("u.p") < 1)
-        decided.append(done.filter(~is_open))
-        open_units = done.filter(is_open)
+        p = F.col("u.p")
         if most_folds == 1:  # the root: what is left of a source is drawn by its probability
-            drawn = F.when(uniform(F.lit(seed), F.lit("root"), "u.key", "u.nth") < F.col("u.p"), 1.0).otherwise(0.0)
-            decided.append(open_units.withColumn("u", F.col("u").withField("p", drawn)))
+            p = F.when(is_open, F.when(uniform(F.lit(seed), F.lit("root"), "u.key", "u.nth") < p, 1.0).otherwise(0.0)).otherwise(p)
+            decided.append(done.select("source", "u.key", "u.size", p.alias("p")))
             break
-        units = open_units.select("source", "low", F.floor(F.col("fold") / fan).alias("fold"), "u")
+        decided.append(done.filter(~is_open).select("source", "u.key", "u.size", "u.p"))
+        units = done.filter(is_open).select("source", F.floor(F.col("fold") / fan).alias("fold"), "u")
         most_folds, level = -(-most_folds // fan), level + 1
-    picked = large.select("source", F.explode("state.done").alias("d")).select("source", "d.key", "d.nth", "d.size", "d.copies")
-    for part in decided:
-        picked = picked.unionByName(part.select("source", "u.key", "u.nth", "u.size", (F.col("low") + F.col("u.p")).cast("int").alias("copies")))
-    picked = picked.join(t, F.col("source").eqNullSafe(F.col("s"))).drop("s", "nth")
-    no_words = each.filter("size = 0").select("source", "key", "size", F.floor(F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))).cast("int").alias("copies"), "source_size", "target")
-    out = picked.unionByName(no_words)
-    return out.select(F.col("key").alias(id_col), "source", "size", "source_size", "target", "copies")
+    picked = decided[0]
+    for part in decided[1:]:
+        picked = picked.unionByName(part)
+    out = picked.join(t, F.col("source").eqNullSafe(F.col("s")))
+    rate = F.least(F.lit(float(most)), F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0)))
+    return out.select(F.col("key").alias(id_col), "source", "size", "source_size", "target", (F.floor(rate) + F.col("p")).cast("int").alias("copies"))
 
 
 def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
