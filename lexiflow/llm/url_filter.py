@@ -1,11 +1,14 @@
 """URL filter: rules by host and path, and for the rest segmented words.
 
 Host and path names are split into words by unigram Viterbi, with word counts
-of all pages' texts; multinomial naive Bayes scores these words. Its block class
-is learnt from hosts with a word of ``SEEDS``, its allow class from all others,
-over all pages. Every word counts: names meet the words they contain in a join.
-The driver sees how many words have each count, the counts of ``SEEDS`` and
-class counts of ``BUCKETS``.
+of all pages' texts; multinomial naive Bayes scores these words. There are no
+labels: its block class starts from a lexicon, the words of ``SEEDS``, and
+learns which other words go with them from the hosts that hold one; its allow
+class learns from all other hosts, and both lean on the words of all. A host is never judged
+by what its own pages taught: hosts fall into ``FOLDS``, and each fold is
+scored with the counts of the others. Every word of the corpus counts: names
+meet the words they contain in a join. The driver sees how many words have each
+count, the counts of ``SEEDS`` and class counts of ``BUCKETS`` in each fold.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 SEEDS = frozenset("adult ads adserver bet bets betting casino casinos escort gambling hentai jackpot loan loans malware nude payday pharmacy phishing pills poker porn sex slots spam torrent track tracker tracking viagra warez xxx".split())
 #: Buckets that tokens are hashed to for class counts.
 BUCKETS = 1 << 15
-#: Smoothing of class counts.
-ALPHA = 0.01
+#: Tokens that the lexicon and all urls' tokens count for in a class, smoothing of the latter, folds of hosts.
+LEXICON, BACKGROUND, ALPHA, FOLDS = 5.0, 20.0, 1e-4, 5
 _NAME = re.compile(r"[a-z]+|[0-9]+|[^\x00-\x7f]+")
 
 
@@ -148,46 +151,63 @@ class NaiveBayes:
     """Log odds of block from class counts (bucket, seeded) -> n and numbers of pages."""
 
     def __init__(self, counts: dict[tuple[int, bool], int], pages: dict[bool, int]):
+        counts = Counter(counts)
         totals = {c: sum(n for (_, k), n in counts.items() if k == c) for c in (True, False)}
-        log = lambda b, c: math.log((counts.get((b, c), 0) + ALPHA) / (totals[c] + ALPHA * BUCKETS))
-        self.odds = {b: log(b, True) - log(b, False) for b, _ in counts}
+        lexicon = Counter(_bucket(w) for w in SEEDS)
+        every = sum(totals.values()) + ALPHA * BUCKETS
+
+        def log(b: int, c: bool) -> float:
+            usual = (counts[(b, True)] + counts[(b, False)] + ALPHA) / every
+            known = LEXICON if c else 0.0
+            return math.log((counts[(b, c)] + BACKGROUND * usual + known * lexicon[b] / len(SEEDS)) / (totals[c] + BACKGROUND + known))
+
+        self.odds = {b: log(b, True) - log(b, False) for b in {b for b, _ in list(counts)} | set(lexicon)}
         self.prior = math.log((pages.get(True, 0) + 0.5) / (pages.get(False, 0) + 0.5))
 
     def score(self, tokens: list[str]) -> float:
         # a token seen in neither class says nothing
-        return self.prior + sum(self.odds.get(_bucket(t), 0.0) for t in tokens)
+        return self.prior + sum(self.odds.get(_bucket(t), 0.0) for t in sorted(set(tokens)))
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=RULES) -> DataFrame:
     """One row per row of ``pages``: id_col, host, path, rule, score (log odds of block), verdict.
 
     Where no rule fits, the score decides: block above 0. Urls that are null or
-    hold no :// have empty host and path and are allowed. Repeated rows give a
-    row each; an empty table gives an empty one; other columns are ignored.
+    hold no :// have empty host and path, so that the score is the log odds of
+    block alone. Null ids and repeated rows give a row each; urls of any length
+    are read whole; an empty table gives an empty one; other columns are ignored.
     """
     host, path = host_and_path(F.col(url_col))
     parts = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     urls = cut(segmented(parts.groupBy("host", "path").agg(F.count("*").alias("pages")), cut(word_counts(pages, html_col))))
 
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "host"), F.lit(FOLDS)).cast("int").alias("fold")
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
         for pdf in batches:
-            for tokens, seeded, k in zip(pdf["tokens"], pdf["seeded"], pdf["pages"], strict=True):
-                for t in tokens:
-                    n[(_bucket(t), seeded)] += k
-                n[(-1, seeded)] += k
-        yield pd.DataFrame([(b, c, k) for (b, c), k in n.items()], columns=["bucket", "seeded", "n"])
-
-    counted = urls.select("tokens", "seeded", "pages").mapInPandas(count, "bucket int, seeded boolean, n long")
-    sums = {(r.bucket, r.seeded): r.n for r in counted.groupBy("bucket", "seeded").agg(F.sum("n").alias("n")).collect()}
-    model = NaiveBayes({k: n for k, n in sums.items() if k[0] >= 0}, {c: sums.get((-1, c), 0) for c in (True, False)})
+            for tokens, seeded, k, f in zip(pdf["tokens"], pdf["seeded"], pdf["pages"], pdf["fold"], strict=True):
+                for t in set(tokens):  # once a url: one that repeats itself teaches no more
+                    n[(f, _bucket(t), seeded)] += k
+                n[(f, -1, seeded)] += k
+        yield pd.DataFrame([(*key, k) for key, k in n.items()], columns=["fold", "bucket", "seeded", "n"])
+
+    counted = urls.filter("host != ''").select("tokens", "seeded", "pages", fold).mapInPandas(count, "fold int, bucket int, seeded boolean, n long")
+    sums = counted.groupBy("fold", "bucket", "seeded").agg(F.sum("n").alias("n")).collect()
+    models = []
+    for f in range(FOLDS):
+        others: Counter = Counter()
+        for r in sums:
+            if r.fold != f:
+                others[(r.bucket, r.seeded)] += r.n
+        models.append(NaiveBayes({k: n for k, n in others.items() if k[0] >= 0}, {c: others[(-1, c)] for c in (True, False)}))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for hosts, tokens in batches:
-            yield pd.Series([model.score(t) if h else -1e9 for h, t in zip(hosts, tokens, strict=True)], dtype=float)
+        for folds, tokens in batches:
+            yield pd.Series([models[f].score(t) for f, t in zip(folds, tokens, strict=True)], dtype=float)
 
-    scores = urls.select("host", "path", score("host", "tokens").alias("score"))
+    scores = urls.select("host", "path", score(fold, "tokens").alias("score"))
     rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
     scored = parts.join(scores, ["host", "path"], "left")
     own = F.when(F.col("score") > 0, "block").otherwise("allow")
