@@ -1,13 +1,15 @@
 """Quality classifier by co-training.
 
 Two views of a document: its text (character classes, word shapes, repetition)
-and its page metadata (language, source, size and layout). A logistic model per
-view is fitted on labelled rows; in each round either model gives its most
-confident labels, over all unlabelled rows, to the training rows of the other.
-The views are then calibrated on labelled rows kept apart and combined.
-
-Fits see at most ``LABELLED`` labelled rows and ``SHARED`` pseudo-labels per
-view, class and round; everything else is computed for all rows.
+and its page metadata (language, source and stated size, nothing of the text).
+A logistic model per view is fitted on labelled rows; in each round either
+model gives its most confident labels, over all unlabelled rows, to the
+training rows of the other, and those rows leave the unlabelled pool. The views
+are then calibrated on labelled rows kept apart and combined.
+
+Fits see about ``LABELLED`` labelled rows at most (a share of them by a hash of
+the id) and ``SHARED`` pseudo-labels per view, class and round, which reach the
+driver as one row; everything else is computed for all rows.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import cut, held_out, read
+from lexiflow.llm.common import cut, held_out, read, uniform
 
 LABELLED, SHARED, ROUNDS = 12_000, 300, 3
 #: Buckets of word shapes, of sources and of languages.
@@ -50,16 +52,14 @@ def text_view(text: str | None) -> list[float]:
     return stats + hashed
 
 
-def metadata_view(lang: str | None, source: str | None, text: str | None) -> list[float]:
-    """Language, source, size and line layout; nothing of the words."""
-    lines = (text or "").split("\n")
-    size, n = len(text or ""), len(lines)
-    longest = max(map(len, lines))
-    out = [math.log1p(size) / 8, math.log1p(n), math.log1p(size / n) / 5, math.log1p(longest) / 5, sum(not x.strip() for x in lines) / n, (n - len(set(lines))) / n]
+def metadata_view(lang: str | None, source: str | None, size: float | None) -> list[float]:
+    """Language, source and stated size."""
+    known = size is not None and size == size and size >= 0
+    log = math.log1p(size) / 8 if known else 0.0
     one = [0.0] * (LANGS + SOURCES)
-    one[zlib.crc32((lang or "").encode()) % LANGS] = 1.0
-    one[LANGS + zlib.crc32((source or "").encode()) % SOURCES] = 1.0
-    return out + one
+    one[zlib.crc32((lang or "").encode("utf-8", "surrogatepass")) % LANGS] = 1.0
+    one[LANGS + zlib.crc32((source or "").encode("utf-8", "surrogatepass")) % SOURCES] = 1.0
+    return [float(known), log, log * log, *one]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 25) -> np.ndarray:
@@ -82,13 +82,14 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int =
     return w
 
 
-def _views(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+def _views(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str, size_col: str) -> DataFrame:
     @F.pandas_udf("struct<t:array<float>,m:array<float>>")
-    def udf(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, langs, sources in batches:
-            yield pd.DataFrame({"t": [text_view(t) for t in texts], "m": [metadata_view(a, b, t) for a, b, t in zip(langs, sources, texts, strict=True)]})
+    def udf(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for texts, langs, sources, sizes in batches:
+            yield pd.DataFrame({"t": [text_view(t) for t in texts], "m": [metadata_view(*m) for m in zip(langs, sources, sizes, strict=True)]})
 
-    v = udf(F.col(text_col), F.col(lang_col).cast("string"), F.col(source_col).cast("string"))
+    size = F.col(size_col).cast("double") if size_col in docs.columns else F.lit(None).cast("double")
+    v = udf(F.col(text_col), F.col(lang_col).cast("string"), F.col(source_col).cast("string"), size)
     return docs.select(F.col(id_col).alias("id"), v.alias("v")).select("id", "v.t", "v.m")
 
 
@@ -107,21 +108,23 @@ def _logits(weights: dict[str, np.ndarray]):
     return udf("t", "m")
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", rounds: int = ROUNDS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", size_col: str = "n_chars", label_col: str = "quality", rounds: int = ROUNDS) -> DataFrame:
     """One row per row of ``docs``: id_col, text_score, metadata_score, score, kept.
 
     ``labels`` (id_col, label_col 0 or 1) are the only labels learnt from; a
     fifth of them, by a hash of the id, only calibrates. Of repeated labels of
-    an id the largest counts. Null and empty texts have zero text features.
-    Without any label all scores are 0.5 and all rows are kept. Repeated rows
+    an id the largest counts. Null and empty texts have zero text features; a
+    table without ``size_col`` has no sizes. Rows without an id are scored but
+    neither labelled nor given a label. Without any label all scores are 0.5 and all rows are kept. Repeated rows
     give a row each; an empty table gives an empty one.
     """
-    views = cut(_views(docs, id_col, text_col, lang_col, source_col))
+    views = cut(_views(docs, id_col, text_col, lang_col, source_col, size_col))
     known = labels.select(F.col(id_col).alias("l"), F.col(label_col).cast("int").alias("y")).filter("l is not null and y in (0, 1)").groupBy("l").agg(F.max("y").alias("y"))
     rows = views.join(known, F.col("id") == F.col("l"), "left").drop("l")
-    order = F.xxhash64(F.lit("labelled"), "id")
-    data = rows.filter("y is not null").withColumn("apart", F.pmod(F.xxhash64(F.lit("apart"), "id"), F.lit(5)) == 0).orderBy(order, "id", "t").limit(LABELLED)
-    labelled = data.select("t", "m", "y", "apart").collect()
+    with_label = cut(rows.filter("y is not null"))
+    share = LABELLED / max(1, with_label.count())
+    data = with_label.filter(uniform(F.lit("labelled"), "id") < share).withColumn("apart", F.pmod(F.xxhash64(F.lit("apart"), "id"), F.lit(5)) == 0)
+    labelled = sorted(data.select("t", "m", "y", "apart", "id").collect(), key=lambda r: (r.id, r.t, r.m))
     if not labelled:
         half = F.lit(0.5)
         return views.select(F.col("id").alias(id_col), half.alias("text_score"), half.alias("metadata_score"), half.alias("score"), F.lit(True).alias("kept"))
@@ -134,14 +137,20 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return {v: fit_logistic(np.array(x, float), np.array(y, float)) for v, (x, y) in train.items()}
 
     weights = fitted()
+    used: set = set()
     for _ in range(rounds):
-        scored = unlabelled.withColumn("s", _logits(weights)).select("id", "t", "m", F.col("s.t").alias("st"), F.col("s.m").alias("sm"))
+        scored = unlabelled.withColumn("s", _logits(weights)).select("id", "t", "m", F.col("s.t").alias("st"), F.col("s.m").alias("sm")).filter("id is not null")
+        if used:  # rows that have been given a label leave the pool; at most 4 * SHARED a round
+            gone = docs.sparkSession.createDataFrame([(i,) for i in sorted(used)], rows.select("id").schema)
+            scored = scored.join(F.broadcast(gone), "id", "left_anti")
         for teacher, pupil in (("st", "m"), ("sm", "t")):
             for label, order in ((1, F.desc(teacher)), (0, F.asc(teacher))):
-                sure = scored.filter(F.col(teacher) > 1 if label else F.col(teacher) < -1).orderBy(order, "id").select(pupil).limit(SHARED)
-                for r in sure.collect():
-                    train[pupil][0].append(list(r[0]))
-                    train[pupil][1].append(label)
+                sure = scored.filter(F.col(teacher) > 1 if label else F.col(teacher) < -1).orderBy(order, "id").limit(SHARED)
+                # gathered by a task, not by the driver, which would get SHARED rows of every partition
+                given = sure.agg(F.sort_array(F.collect_list(F.struct("id", pupil))).alias("given")).first().given
+                train[pupil][0].extend(list(r[pupil]) for r in given)
+                train[pupil][1].extend([label] * len(given))
+                used |= {r.id for r in given}
         weights = fitted()
     y = np.array([r.y for r in apart], float)
     raw = np.array([[np.dot(r[v], weights[v][:-1]) + weights[v][-1] for v in ("t", "m")] for r in apart])
