@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Compound gallows before plain ones, in the order in which labels list them.
+#: Gallows, plain ones first, in the order in which labels list them.
 GALLOWS = ("t", "k", "p", "f", "cth", "ckh", "cph", "cfh")
 #: Confidence tiers, strongest first.
 TIERS = ("supported", "provisional", "experimental")

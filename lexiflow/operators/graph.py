@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's folder; a temporary one only where none is set."""
+    """Checkpoint in the cluster's folder. Only a local master gets a temporary one where none is set."""
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir", None) and context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return df.checkpoint()
 

@@ -11,15 +11,21 @@ from lexiflow.plans.base import query, r6
 from lexiflow.plans.rules import MENU, edges
 from lexiflow.plans.families import FAM, site, words
 from lexiflow.plans.search import toks
+from lexiflow.sources import corpus as C
 
-ORDER = list(range(6))
-COL = """, cc AS (SELECT CAST(source[4:] AS INT) AS col, word, count(*) AS n, count(DISTINCT page) AS pages FROM tokens WHERE lang = 'en' AND CAST(source[4:] AS INT) < 6 GROUP BY ALL),
+COL = """, cc AS (SELECT CAST(source[4:] AS INT) AS col, word, count(*) AS n, count(DISTINCT page) AS pages FROM tokens WHERE lang = 'en' GROUP BY ALL),
 cr AS (SELECT *, sum(n) OVER (PARTITION BY col) AS total, n * 10000.0 / sum(n) OVER (PARTITION BY col) AS rate FROM cc)"""
 
 
 def counts(spark, d):
     t = toks(spark, d, keep=("lang", "source")).filter("lang='en'").withColumn("col", F.regexp_extract("source", r"(\d+)$", 1).cast("int"))
-    return chain.column_counts(t.filter(F.col("col") < len(ORDER)), "col")
+    return chain.column_counts(t, "col")
+
+
+def order(spark, d) -> list[int]:
+    """The columns of the chain: the numbers of all sources of English documents, a row each."""
+    number = F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("col")
+    return [r.col for r in C.table(spark, d, "documents").filter("lang='en'").select(number).distinct().sort("col").collect()]
 
 
 def rates(spark, d):
@@ -47,19 +53,19 @@ def a31(spark, d):
     return rates(spark, d).select("col", "rate", F.explode(chain.bigrams(F.col("word"))).alias("bigram")).groupBy("col", "bigram").agg(F.sum("rate").alias("rate")).select("col", "bigram", r6("rate").alias("rate"))
 
 
-STEP = COL + ", st AS (SELECT s AS step, word, coalesce(sum(rate) FILTER (col = s), 0) AS a, coalesce(sum(rate) FILTER (col = s + 1), 0) AS b FROM cr, range(0, 5) t(s) WHERE col IN (s, s + 1) GROUP BY ALL)"
+STEP = COL + ", st AS (SELECT s AS step, word, coalesce(sum(rate) FILTER (col = s), 0) AS a, coalesce(sum(rate) FILTER (col = s + 1), 0) AS b FROM cr, (SELECT DISTINCT col AS s FROM cc WHERE col < (SELECT max(col) FROM cc)) t WHERE col IN (s, s + 1) GROUP BY ALL)"
 
 
 @query("c24_step_ledgers", STEP + " SELECT step, round(sum(least(a,b)),6) AS kept, round(sum(greatest(a-b,0)),6) AS loss, round(sum(greatest(b-a,0)),6) AS gain FROM st GROUP BY step")
 def c24(spark, d):
-    p = chain.step_pairs(rates(spark, d), "col", ORDER)
+    p = chain.step_pairs(rates(spark, d), "col", order(spark, d))
     none = spark.createDataFrame([], "step int, flow double")
     return capacity.accounting(p, none, "step").select("step", r6("retained").alias("kept"), r6("loss").alias("loss"), r6("gain").alias("gain"))
 
 
 @query("a32_bigram_ledger", STEP + ", u AS (SELECT step, a, b, list_concat(['^'], regexp_extract_all(word, '(ckh|cth|cph|cfh|ch|sh|e{1,4}|i{1,4}|.)'), ['$']) AS u FROM st), g AS (SELECT step, unnest(list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1])) AS bigram, a, b FROM u), s AS (SELECT step, bigram, sum(a) AS a, sum(b) AS b FROM g GROUP BY ALL) SELECT step, bigram, round(least(a,b),6) AS kept, round(greatest(a-b,0),6) AS sent, round(greatest(b-a,0),6) AS received FROM s")
 def a32(spark, d):
-    p = chain.step_pairs(rates(spark, d), "col", ORDER).select("step", "a", "b", F.explode(chain.bigrams(F.col("word"))).alias("bigram"))
+    p = chain.step_pairs(rates(spark, d), "col", order(spark, d)).select("step", "a", "b", F.explode(chain.bigrams(F.col("word"))).alias("bigram"))
     s = p.groupBy("step", "bigram").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     return s.select("step", "bigram", r6(F.least("a", "b")).alias("kept"), r6(F.greatest(F.col("a") - F.col("b"), F.lit(0.0))).alias("sent"), r6(F.greatest(F.col("b") - F.col("a"), F.lit(0.0))).alias("received"))
 
@@ -75,9 +81,9 @@ def w4(spark, d):
     return chain.dormancy(rates(spark, d), "col").select("word", "left", "back", r6("mass").alias("mass"))
 
 
-@query("a34_kept_since", COL + ", w AS (SELECT DISTINCT word FROM cr), f AS (SELECT w.word, c AS col, coalesce(cr.rate, 0) AS rate FROM w CROSS JOIN range(0, 6) t(c) LEFT JOIN cr ON cr.word = w.word AND cr.col = c), m AS (SELECT a.word, a.col, b.col AS origin, (SELECT 1) AS one FROM f a JOIN f b ON a.word = b.word AND b.col <= a.col), mm AS (SELECT m.word, m.col, m.origin, min(f.rate) AS least FROM m JOIN f ON f.word = m.word AND f.col BETWEEN m.origin AND m.col GROUP BY ALL), x AS (SELECT col, origin, least - coalesce(lag(least) OVER (PARTITION BY word, col ORDER BY origin), 0) AS mass FROM mm) SELECT col, origin, round(sum(mass), 6) AS mass FROM x WHERE mass > 0 GROUP BY ALL")
+@query("a34_kept_since", COL + ", c AS (SELECT DISTINCT col FROM cc), f AS (SELECT w.word, list(coalesce(cr.rate, 0) ORDER BY c.col) AS r FROM (SELECT DISTINCT word FROM cr) w CROSS JOIN c LEFT JOIN cr ON cr.word = w.word AND cr.col = c.col GROUP BY w.word), mm AS (SELECT word, c.col, o.col AS origin, list_min(r[o.col + 1:c.col + 1]) AS least FROM f, c, c o WHERE o.col <= c.col), x AS (SELECT col, origin, least - coalesce(lag(least) OVER (PARTITION BY word, col ORDER BY origin), 0) AS mass FROM mm) SELECT col, origin, round(sum(mass), 6) AS mass FROM x WHERE mass > 0 GROUP BY ALL")
 def a34(spark, d):
-    return chain.kept_since(rates(spark, d), "col", len(ORDER)).select("col", "origin", r6("mass").alias("mass"))
+    return chain.kept_since(rates(spark, d), "col", len(order(spark, d))).select("col", "origin", r6("mass").alias("mass"))
 
 
 CAPS = MENU + ", pc AS (SELECT CAST(source[4:] AS INT) % 2 AS pop, regexp_replace(word, '^q', '') AS word, count(*) AS n FROM tokens WHERE lang = 'en' AND word <> 'q' GROUP BY ALL), pw AS (SELECT pop, word, n * 10000.0 / sum(n) OVER (PARTITION BY pop) AS rate FROM pc), ab AS (SELECT word, coalesce(max(rate) FILTER (pop = 0), 0) AS a, coalesce(max(rate) FILTER (pop = 1), 0) AS b FROM pw GROUP BY word), cp AS (SELECT e.src, e.dst, greatest(s.a - s.b, 0) AS v, greatest(t.b - t.a, 0) AS w, least(greatest(s.a - s.b, 0), greatest(t.b - t.a, 0)) AS cap FROM edge e JOIN ab s ON s.word = e.src JOIN ab t ON t.word = e.dst)"

@@ -13,7 +13,7 @@ from lexiflow.sources import corpus as C
 
 @query("c7_equal_odds")
 def c7(spark, d):
-    """Exact test of hits in first lines over two strata (en, fr) with equal odds. Checked in the tests."""
+    """Exact test of hits in first lines over two strata (en, fr) with equal odds."""
     n = toks(spark, d).filter("lang in ('en','fr') and word in ('de','on','en','an','re')").groupBy("lang", "word").agg(F.count_if("first").alias("h1"), F.count("*").alias("h"))
     totals = toks(spark, d).filter("lang in ('en','fr')").groupBy("lang").agg(F.count_if("first").alias("n1"), F.count("*").alias("n"))
     rows = n.join(F.broadcast(totals), "lang")

@@ -70,11 +70,14 @@ def j6(spark, d):
     return rules.live_routes(edges(spark, d), active).withColumn("codes", F.array_join("codes", "+"))
 
 
-@query("p24_p25_rule_presets", "SELECT * FROM (VALUES ('ED_ING','supported','supported'), ('RE_ER','supported','supported'), ('ED_ING','supported','all'), ('ER_ING','provisional','all'), ('RE_ER','supported','all'), ('RE_IN','provisional','all')) t(code, confidence, preset)", base=False)
+@query("p24_p25_rule_presets", MENU + ", p AS (SELECT * FROM (VALUES ('ED_ING','supported','supported'), ('RE_ER','supported','supported'), ('ED_ING','supported','all'), ('ER_ING','provisional','all'), ('RE_ER','supported','all'), ('RE_IN','provisional','all')) t(code, confidence, preset)) SELECT preset, code, confidence, count(*) AS inputs FROM p JOIN menu USING (code) WHERE dst <> src GROUP BY ALL")
 def p24(spark, d):
+    """The rules of each preset, with the words of the corpus that they take."""
     active = catalog(spark).filter("active")
     supported = active.filter(F.col("confidence") == "supported").withColumn("preset", F.lit("supported"))
-    return supported.unionByName(active.withColumn("preset", F.lit("all"))).select("code", "confidence", "preset")
+    presets = supported.unionByName(active.withColumn("preset", F.lit("all")))
+    inputs = menu(spark, d).groupBy("code").agg(F.count("*").alias("inputs"))
+    return presets.join(inputs, "code").select("preset", "code", "confidence", "inputs")
 
 
 @query("p26_f15_weakest", MENU + ", t AS (SELECT * FROM (VALUES ('ED_ING',0),('ER_ING',1),('RE_ER',0),('EN_ER',2),('RE_IN',1)) t(code, r)) SELECT src, dst, max(r) AS weakest FROM menu JOIN t USING (code) WHERE dst IN (SELECT word FROM ew) AND dst <> src GROUP BY src, dst")
@@ -139,7 +142,7 @@ COMPONENTS = MENU.replace("WITH", "WITH RECURSIVE", 1) + ", und AS (SELECT src A
 
 @query("c11_c48_components")
 def c11(spark, d):
-    """(word, component): the smallest word reachable. Checked against union-find in the tests."""
+    """(word, component): the smallest word reachable."""
     return graph.components(edges(spark, d))
 
 

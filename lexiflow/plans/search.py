@@ -42,9 +42,9 @@ def s1(spark, d):
     return parts[0].union(parts[1]).union(parts[2]).groupBy("section").agg(F.count("*").alias("n"))
 
 
-@query("s4_w1_tokens_neighbours", "SELECT page, locus, idx, word, prev2, prev, next FROM tokens WHERE lang = 'es'")
+@query("s4_w1_tokens_neighbours", "SELECT page, locus, idx, word, prev2, prev, next FROM tokens")
 def s4(spark, d):
-    return toks(spark, d, "prev2", "prev", "next").filter("lang = 'es'").select("page", "locus", "idx", "word", "prev2", "prev", "next")
+    return toks(spark, d, "prev2", "prev", "next").select("page", "locus", "idx", "word", "prev2", "prev", "next")
 
 
 @query("s5_occurrence_export", "SELECT page, locus, idx, word, CASE WHEN idx = 0 THEN '(line boundary)' ELSE coalesce(words[idx], '(unreadable)') END AS prev_label, CASE WHEN idx + 1 = size THEN '(line boundary)' ELSE coalesce(words[idx + 2], '(unreadable)') END AS next_label FROM tokens WHERE word LIKE 'thr%ing'")
@@ -58,9 +58,9 @@ def s6(spark, d):
     return toks(spark, d, keep=("lang", "source")).groupBy("sheet").agg(names("lang").alias("langs"), names("source").alias("sources"), F.count("*").alias("tokens"))
 
 
-@query("s9_tsv_safe", "SELECT doc_id, regexp_replace(text, '[\\t\\r\\n]', ' ', 'g') AS text FROM documents WHERE lang = 'de'", base=False)
+@query("s9_tsv_safe", "SELECT doc_id, regexp_replace(text, '[\\t\\r\\n]', ' ', 'g') AS text FROM documents", base=False)
 def s9(spark, d):
-    return C.tsv_safe(C.table(spark, d, "documents").filter("lang = 'de'").select("doc_id", "text"))
+    return C.tsv_safe(C.table(spark, d, "documents").select("doc_id", "text"))
 
 
 @query("s10_json_rows", "SELECT word, '{\"lang\":\"' || lang || '\",\"n\":' || n || '}' AS json FROM wc WHERE n >= 20")
@@ -197,9 +197,9 @@ def p12(spark, d):
     return rows.select("word", "n", F.levenshtein("word", F.lit("thering")).alias("distance"))
 
 
-@query("p13_search", "SELECT page, locus, idx, word FROM tokens WHERE word LIKE '%tion%' AND word NOT IN ('tion') AND sheet % 10 = 3 AND idx < size - 1 AND coalesce(next LIKE 'th%', false)")
+@query("p13_search", "SELECT page, locus, idx, word FROM tokens WHERE word LIKE '%tion%' AND word NOT IN ('tion') AND idx < size - 1 AND coalesce(next LIKE 'th%', false)")
 def p13(spark, d):
-    t = toks(spark, d, "next", "size", hit=matcher(glob("*tion*"))).filter("hit and word not in ('tion') and sheet % 10 = 3 and idx < size - 1")
+    t = toks(spark, d, "next", "size", hit=matcher(glob("*tion*"))).filter("hit and word not in ('tion') and idx < size - 1")
     return t.filter(F.coalesce(F.col("next").startswith("th"), F.lit(False))).select("page", "locus", "idx", "word")
 
 
@@ -305,7 +305,7 @@ def c8(spark, d):
 
 @query("c6_w3_exact_tests_holm")
 def c6(spark, d):
-    """Fixed-margin exact tests of words in first lines, Holm-adjusted. Checked in the tests."""
+    """Fixed-margin exact tests of words in first lines, Holm-adjusted."""
     n = toks(spark, d).filter("lang='en'").groupBy("word").agg(F.count_if("first").alias("h1"), F.count("*").alias("h")).filter("h >= 50")
     totals = toks(spark, d).filter("lang='en'").agg(F.count_if("first").alias("n1"), F.count("*").alias("n"))
     tested = contexts.exact_tests(n.crossJoin(F.broadcast(totals)), "word")

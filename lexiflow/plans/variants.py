@@ -176,10 +176,12 @@ def a38(spark, d):
     return rows.select("sheet", "face", "eligible", r6(F.col("k") / F.col("eligible")).alias("share"))
 
 
-@query("a39_j11_f4_relatives", ", sp AS (SELECT page, locus, idx, word FROM tokens WHERE lang='es'), dw AS (SELECT DISTINCT page, word FROM sp), rl AS (SELECT a.page, a.word, b.word AS relative FROM dw a JOIN dw b ON a.page = b.page AND a.word <> b.word AND abs(length(a.word) - length(b.word)) <= 1 AND levenshtein(a.word, b.word) = 1), fc AS (SELECT * FROM sp WHERE length(word) >= 9), m AS (SELECT f.page, f.locus, f.idx, f.word, min(abs(t.locus - f.locus)) AS distance FROM fc f JOIN rl ON rl.page = f.page AND rl.word = f.word JOIN sp t ON t.page = f.page AND t.word = rl.relative GROUP BY ALL) SELECT page, locus, idx, word, distance FROM m")
+@query("a39_j11_f4_relatives", ", dw AS (SELECT DISTINCT page, word FROM tokens), hx AS (SELECT word FROM tokens GROUP BY word HAVING count(*) = 1), fc AS (SELECT page, locus, idx, word FROM tokens WHERE word IN (SELECT word FROM hx)), rl AS (SELECT a.page, a.word, b.word AS relative FROM fc a JOIN dw b ON a.page = b.page AND a.word <> b.word AND abs(length(a.word) - length(b.word)) <= 1 AND levenshtein(a.word, b.word) = 1), m AS (SELECT f.page, f.locus, f.idx, f.word, min(abs(t.locus - f.locus)) AS distance FROM fc f JOIN rl ON rl.page = f.page AND rl.word = f.word JOIN tokens t ON t.page = f.page AND t.word = rl.relative GROUP BY ALL) SELECT page, locus, idx, word, distance FROM m")
 def a39(spark, d):
-    t = toks(spark, d).filter("lang='es'")
-    return variants.nearest_relative(t, F.length("word") >= 9).select("page", "locus", "idx", "word", "distance")
+    """Words that occur once in the whole corpus, in any language, and their nearest relatives."""
+    t = toks(spark, d)
+    once = t.groupBy("word").agg(F.count("*").alias("total")).filter("total = 1")
+    return variants.nearest_relative(t.join(once, "word", "left"), F.col("total").isNotNull()).select("page", "locus", "idx", "word", "distance")
 
 
 PAIRS = ", pg AS (SELECT doc_id AS page, doc_id // 2 AS leaf, doc_id % 2 AS side, doc_id // 4 AS sheet FROM documents), pp AS (SELECT 'same leaf' AS kind, a.page AS a, b.page AS b FROM pg a JOIN pg b ON a.leaf = b.leaf AND a.page < b.page UNION ALL SELECT 'facing', a.page, b.page FROM pg a JOIN pg b ON b.leaf - 1 = a.leaf AND a.side = 1 AND b.side = 0 UNION ALL SELECT 'next leaf', a.page, b.page FROM pg a JOIN pg b ON b.leaf - 1 = a.leaf AND a.side = b.side UNION ALL SELECT 'same face', a.page, b.page FROM pg a JOIN pg b ON a.sheet = b.sheet AND a.side = b.side AND a.page < b.page)"
@@ -197,7 +199,7 @@ def j12(spark, d):
 
 @query("c37_w8_neighbour_test")
 def c37(spark, d):
-    """Mean difference of a share between physical neighbours, observed and over shuffles. Checked in the tests."""
+    """Mean difference of a share between physical neighbours, observed and over shuffles."""
     s = toks(spark, d).groupBy("page", F.col("lang").alias("grp")).agg(F.count("*").alias("n"), (F.count_if(F.col("word").endswith("n")) / F.count("*")).alias("share")).filter("n >= 15")
     return variants.neighbour_test(variants.page_pairs(pages(spark, d)), s.select("page", "grp", "share"), 20).select("kind", r6("observed").alias("observed"), r6("shuffled").alias("shuffled"), "pairs")
 
@@ -237,12 +239,11 @@ def a47(spark, d):
 
 @query("c40_line_order_control")
 def c40(spark, d):
-    """Donor counts in the given line order and in shuffled ones. Checked in the tests."""
-    e = events(spark, d)
-    runs = [e.withColumn("run", F.lit(0))] + [copying.shuffled_lines(e, s).withColumn("run", F.lit(s)) for s in (1, 2, 3)]
-    out = None
-    for r in runs:
-        s = copying.copy_stats(copying.donor_flags(r.drop("run"))).select(F.lit(len(runs)).alias("runs"), "targets", "with_page_donors", "candidate_pairs")
+    """Donor counts in the given line order (run 0) and in three shuffled ones (1 to 3)."""
+    e, out = events(spark, d), None
+    for run in range(4):
+        flags = copying.donor_flags(copying.shuffled_lines(e, run) if run else e)
+        s = copying.copy_stats(flags).select(F.lit(run).alias("run"), "targets", "with_page_donors", "candidate_pairs")
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -263,10 +264,10 @@ def j14(spark, d):
     return links.select("child", "parent", (F.col("child_turn") - F.col("parent_turn")).alias("lag"))
 
 
-@query("s13_reconciliation", ", e AS (SELECT page, locus, idx, CASE WHEN idx % 7 = 0 THEN 'changed' ELSE word END AS word FROM tokens WHERE lang='es' AND idx % 2 = 0), j AS (SELECT CASE WHEN t.word IS NOT DISTINCT FROM e.word THEN 'none' ELSE 'word differs' END AS reason FROM e JOIN tokens t USING (page, locus, idx)) SELECT reason, count(*) AS n FROM j GROUP BY reason")
+@query("s13_reconciliation", ", e AS (SELECT page, locus, idx, CASE WHEN idx % 7 = 0 THEN 'changed' ELSE word END AS word FROM tokens ), j AS (SELECT CASE WHEN t.word IS NOT DISTINCT FROM e.word THEN 'none' ELSE 'word differs' END AS reason FROM e JOIN tokens t USING (page, locus, idx)) SELECT reason, count(*) AS n FROM j GROUP BY reason")
 def s13(spark, d):
-    t = toks(spark, d).filter("lang='es'")
-    e = t.filter("idx % 2 = 0").select("page", "locus", "idx", F.when(F.col("idx") % 7 == 0, "changed").otherwise(F.col("word")).alias("word"))
+    t = toks(spark, d)
+    e = t.select("page", "locus", "idx", F.when(F.col("idx") % 7 == 0, "changed").otherwise(F.col("word")).alias("word"))
     return copying.reconcile(e, t).groupBy(F.coalesce("reason", F.lit("none")).alias("reason")).agg(F.count("*").alias("n"))
 
 

@@ -22,8 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def words_of(line: Column) -> Column:
     """Words of a line in lower case with letters a-z only; null where none is left."""
-    word = lambda w: F.nullif(F.regexp_replace(F.lower(w), "[^a-z]", ""), F.lit(""))
-    return F.transform(F.split(line, " "), word)
+    kept = F.regexp_replace(F.lower(line), "[^a-z ]", "")  # one call a line, not a word
+    return F.transform(F.split(kept, " "), lambda w: F.nullif(w, F.lit("")))
 
 
 def lines(docs: DataFrame, *keep: str) -> DataFrame:
