@@ -5,8 +5,10 @@ square roots of symbols per word, of the share of repeated lines and of the
 share of words in repeated windows. For each language and source, the minimum
 covariance determinant (MCD) location and scatter are found by concentration
 steps over all rows: the rows nearest to the present estimate give the next
-one. A document is rejected when its Mahalanobis distance is over a chi-square
-bound.
+one, until no determinant falls any more. Two starts are tried, medians with
+the quartile range and all rows' mean and covariance, and the smaller
+determinant wins. A document is rejected when its Mahalanobis distance is over
+a chi-square bound. Scatters are regularised by ``FLOOR``.
 
 Every step is one aggregation of sums per group, combined before the shuffle;
 what comes to the driver is nothing. A group of any size is only ever summed.
@@ -29,8 +31,8 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 STAT_TYPE = "struct<" + ",".join(f"{c}:long" for c in STATS) + ">"
 #: Dimensions of the vector.
 P = 4
-#: Share of a group's rows that each concentration step keeps, and number of steps.
-KEEP, STEPS = 0.75, 4
+#: Share of a group's rows that each concentration step keeps, most steps, and the fall of a log determinant that counts.
+KEEP, STEPS, STILL = 0.75, 7, 1e-3
 #: Chi-square with 4 degrees of freedom at 0.9999.
 BOUND = 23.513
 #: Standard deviations that scatters count with at least: less variation than this is no outlier, however uniform a group is.
@@ -127,16 +129,16 @@ def _estimate(pdf: pd.DataFrame) -> pd.DataFrame:
     # a kept share of KEEP makes scatters too small by this factor (chi-square consistency, P = 4)
     cov = cov * 1.33 + np.diag(np.square(FLOOR))
     inverse, (_, logdet) = np.linalg.inv(cov), np.linalg.slogdet(cov)
-    keys = pdf[["level", "lang", "source", "n"]].copy()
+    keys = pdf[["level", "lang", "source", "start", "n"]].copy()
     return keys.assign(mean=list(mean), inverse=[[m[i, j] for i, j in _PAIRS] for m in inverse], logdet=logdet)
 
 
-_EST = "level int, lang string, source string, n long, mean array<double>, inverse array<double>, logdet double"
+_EST = "level int, lang string, source string, start int, n long, mean array<double>, inverse array<double>, logdet double"
 
 
 def _from_sums(rows: DataFrame) -> DataFrame:
     sums = [F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(_XS)], *[F.sum(F.col(_XS[i]) * F.col(_XS[j])).alias(f"q{i}{j}") for i, j in _PAIRS]]
-    per_group = rows.groupBy("level", "lang", "source").agg(*sums)
+    per_group = rows.groupBy("level", "lang", "source", "start").agg(*sums)
     return per_group.mapInPandas(lambda it: (_estimate(pdf) for pdf in it if len(pdf)), _EST)
 
 
@@ -153,25 +155,39 @@ def _renamed(df: DataFrame, names: list[str], prefix: str) -> DataFrame:
 
 
 def fit(stats: DataFrame) -> DataFrame:
-    """MCD estimates: one row (level, lang, source, n, mean, inverse, logdet) per group, language and overall.
+    """MCD estimates: one row (level, lang, source, rows, mean, inverse, logdet) per group, language and overall.
 
     ``stats`` has lang, source and the vector x0.. of rows that pass the base
-    rule. Starts from each group's medians with diagonal scatter of the
-    quartile range, then concentrates.
+    rule.
     """
     keys = ["level", "lang", "source"]
     leveled = stats.select(F.explode(F.array(*_levels())).alias("g"), *_XS).select("g.level", "g.lang", "g.source", *_XS)
     quartiles = leveled.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in _XS])
     spread = [F.pow((F.get(x, F.lit(2)) - F.get(x, F.lit(0))) / 1.349, 2) + FLOOR[i] ** 2 for i, x in enumerate(_XS)]
     inverse = F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i, j in _PAIRS])
-    now = cut(quartiles.select(*keys, "n", F.array(*[F.get(x, F.lit(1)) for x in _XS]).alias("mean"), inverse.alias("inverse")))
+    medians = quartiles.select(*keys, F.lit(0).alias("start"), "n", F.array(*[F.get(x, F.lit(1)) for x in _XS]).alias("mean"), inverse.alias("inverse"), F.lit(None).cast("double").alias("logdet"))
+    now = cut(medians.unionByName(_from_sums(leveled.withColumn("start", F.lit(1)))))
+    # groups of proven number are broadcast, so that no level gathers its rows in one task
+    small = _of_bounded_number(now)
+    sizes = now.filter("start = 0").select(*keys, F.col("n").alias("rows"))
     for _ in range(STEPS):
-        near = leveled.join(_renamed(now.select(*keys, "mean", "inverse"), keys, "e_"), _on(keys, "e_"))
-        scored = near.select(*keys, *_XS, _distance(F.col("mean"), F.col("inverse")).alias("d2"))
-        most = scored.groupBy(*keys).agg(F.percentile_approx("d2", KEEP, 1000).alias("most"))
-        now = cut(_from_sums(scored.join(_renamed(most, keys, "m_"), _on(keys, "m_")).filter("d2 <= most")))
-    sizes = quartiles.select(*keys, F.col("n").alias("rows"))
-    return cut(now.join(_renamed(sizes, keys, "z_"), _on(keys, "z_")).select(*keys, "rows", "mean", "inverse"))
+        near = leveled.join(small(_renamed(now.select(*keys, "start", "mean", "inverse"), keys, "e_")), _on(keys, "e_"))
+        scored = near.select(*keys, "start", *_XS, _distance(F.col("mean"), F.col("inverse")).alias("d2"))
+        most = scored.groupBy(*keys, "start").agg(F.percentile_approx("d2", KEEP, 1000).alias("most"))
+        of = [*keys, "start"]
+        after = cut(_from_sums(scored.join(small(_renamed(most, of, "m_")), _on(of, "m_")).filter("d2 <= most")))
+        before = _renamed(now.select(*of, F.col("logdet").alias("b_logdet")), of, "b_")
+        moved = not after.join(small(before), _on(of, "b_")).filter(F.coalesce(F.col("b_logdet") - F.col("logdet") > STILL, F.lit(True))).isEmpty()
+        now = after
+        if not moved:
+            break
+    best = now.groupBy(*keys).agg(F.min_by(F.struct("mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("best"))
+    return cut(best.join(_renamed(sizes, keys, "z_"), _on(keys, "z_")).select(*keys, "rows", "best.*"))
+
+
+def _of_bounded_number(groups: DataFrame):
+    """``F.broadcast`` if there are at most MOST_RULES rows, else nothing."""
+    return F.broadcast if groups.limit(MOST_RULES + 1).count() <= MOST_RULES else lambda df: df
 
 
 def _rules(stats: DataFrame) -> DataFrame:
@@ -219,8 +235,7 @@ def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), stats_of(F.col(text_col)).alias("s"))
     stats = cut(named.select("lang", "source", "s.*"))
     rules = _rules(stats)
-    if rules.limit(MOST_RULES + 1).count() <= MOST_RULES:  # of proven size, so texts need no shuffle
-        rules = F.broadcast(rules)
+    rules = _of_bounded_number(rules)(rules)  # of proven size, so texts need no shuffle
     return _judged(named.select("row", "lang", "source", "s.*"), rules).filter("kept").select("row.*")
 
 

@@ -413,6 +413,37 @@ def test_outliers(spark, sf, docs, odd, empty):
 # 1 and 4
 
 
+def test_mcd_finds_the_smallest_determinant(spark):
+    """Each group against concentration from 300 random starts, on data with a fifth of far rows."""
+    rng = np.random.default_rng(3)
+    data, p = [], quality_rules.P
+    for source in ("a", "b"):
+        x = rng.normal(size=(160, p)) @ rng.normal(size=(p, p)) * 0.3
+        x[:32] = rng.normal(size=(32, p)) * 0.1 + 4
+        data += [("en", source, *map(float, r)) for r in x]
+    df = spark.createDataFrame(data, "lang string, source string, " + ", ".join(f"x{i} double" for i in range(p)))
+    got = {r.source: r for r in quality_rules.fit(df).filter("level = 2").collect()}
+
+    def scatter(rows):
+        return np.cov(rows.T, bias=True) * 1.33 + np.diag(np.square(quality_rules.FLOOR))
+
+    for source in ("a", "b"):
+        x = np.array([r[2:] for r in data if r[1] == source])
+        least = np.inf
+        for _ in range(300):
+            kept = x[rng.choice(len(x), p + 1, replace=False)]
+            for _ in range(30):
+                d = x - kept.mean(axis=0)
+                near = np.argsort(np.einsum("ij,jk,ik->i", d, np.linalg.inv(scatter(kept)), d), kind="stable")[: int(len(x) * quality_rules.KEEP)]
+                if len(near) == len(kept) and (x[near] == kept).all():
+                    break
+                kept = x[near]
+            least = min(least, np.linalg.slogdet(scatter(kept))[1])
+        assert got[source].logdet < least + 0.05
+        assert np.abs(np.array(got[source].mean) - np.median(x[32:], axis=0)).max() < 0.5  # the far rows do not count
+    assert quality_rules.fit(df.limit(0)).count() == 0
+
+
 def test_toxicity_held_out(spark, sf):
     got = toxicity.op1_nnpu_toxicity(spark, sf.replace("sf0.001", "sf0.01"))
     labels = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/labels.parquet")
