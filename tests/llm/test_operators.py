@@ -210,6 +210,54 @@ def test_links_in_chains_and_crowded_buckets(spark, bucket):
     assert edges.count() < 10 * len(signed)  # spanning links, not all pairs
 
 
+def brute_similar(pairs):
+    """pairs (id, text): id -> smallest id reachable by five-word shingles of similarity 0.8 or more."""
+    sets = {}
+    for i, text in pairs:
+        words = WORDS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        sets[i] = frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)))
+    label = {i: i for i in sets}
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if label[i] != label[j] and 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                old, new = max(label[i], label[j]), min(label[i], label[j])
+                label = {k: new if v == old else v for k, v in label.items()}
+    return label
+
+
+@pytest.mark.parametrize("bucket", [8, 4096])
+def test_similar_texts(spark, bucket, monkeypatch):
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (*simhash.similar_links.__defaults__[:-1], bucket))
+    rng = np.random.default_rng(3)
+    passage, texts = [f"p{i}" for i in range(60)], []
+    for k in range(12):  # a text, copies that change some of its words, and one that only shares a passage
+        base = [f"w{k}x{i}" for i in rng.integers(0, 900, int(rng.integers(30, 400)))]
+        texts += [base, passage + [f"own{k}x{i}" for i in range(40)]]
+        for share in (0.005, 0.01, 0.02, 0.04, 0.08):
+            for _ in range(5):
+                texts.append([f"new{rng.integers(1 << 40)}" if rng.random() < share else w for w in base])
+    order = rng.permutation(len(texts))
+    pairs = [(int(i), " ".join(texts[k])) for i, k in enumerate(order)]
+    want = brute_similar(pairs)
+    left = simhash.drop_similar(spark.createDataFrame(pairs, "doc_id long, text string").repartition(5)).collect()
+    assert sorted(r.doc_id for r in left) == sorted({*want.values()}) and 24 < len(left) < 250
+
+
+def test_similar_texts_go_by_row(spark, docs, rows, odd, empty):
+    a, b, c, d = (" ".join(f"{k}{i * i}" for i in range(30)) for k in "abcd")
+    some = [(7, a), (None, a.upper()), (None, b), (None, c), (None, c.upper()), (8, d), (9, d + " more"), (9, "own text"), (9, "own text"), (3, None), (4, ""), (5, " \n")]
+    df = spark.createDataFrame([(*r, {"k": 1}) for r in some], "doc_id long, text string, more map<string, int>")
+    left = simhash.drop_similar(df)
+    assert left.columns == df.columns and left.schema["more"].dataType == df.schema["more"].dataType
+    assert Counter((r.doc_id, (r.text or "").lower()) for r in left.collect()) == Counter([(7, a), (None, b), (None, c), (8, d), (9, "own text"), (3, "")])
+    kept = simhash.drop_similar(odd)
+    assert kept.columns == odd.columns and kept.count() == len({(r[1] or "").lower() for r in ODD}) and simhash.drop_similar(empty).count() == 0
+    want = brute_similar([(r.doc_id, r.text) for r in rows])
+    assert sorted(r.doc_id for r in simhash.drop_similar(docs).collect()) == sorted({*want.values()})
+
+
 # 9
 
 

@@ -5,7 +5,7 @@ import pytest
 pytest.importorskip("corpus_pipeline")
 from collections import Counter
 
-from tests.llm.test_operators import brute_classes, brute_fingerprint, brute_stats, check_mix
+from tests.llm.test_operators import brute_similar, brute_stats, check_mix
 
 
 def test_stages(spark, sf, tmp_path):
@@ -34,7 +34,7 @@ def test_stages(spark, sf, tmp_path):
                 best[r.text] = max(best.get(r.text, -1), r.doc_id)
             assert ids == sorted(best.values())
         elif name == "simhash near-dedup":
-            assert ids == sorted({*brute_classes([(r.doc_id, brute_fingerprint(r.text)) for r in before]).values()})
+            assert ids == sorted({*brute_similar([(r.doc_id, r.text) for r in before]).values()})
         elif name == "mixing":
             mixed = mixing.mix(docs).collect()
             check_mix(mixed, [(r.doc_id, r.text) for r in before])
