@@ -12,7 +12,7 @@ and classes follow by min-label propagation with pointer jumping.
 
 ``drop_similar`` does the same for word shingles of a stated similarity, where
 64 bits and a small radius would miss most pairs: 256 bits, a radius that
-covers the similarity, buckets dealt by rare shared shingles, exact proof.
+covers the similarity, buckets dealt by shared shingles, exact proof.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from lexiflow.llm.common import cut, read, small_batches
+from lexiflow.llm.common import cut, read
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: (lowest bit, bits) of the blocks.
@@ -203,13 +203,20 @@ def links(fps: DataFrame, bucket_size: int = BUCKET) -> DataFrame:
     return bucket_links(fps.select("fp", F.explode(F.array(*keys)).alias("bucket")), (RADIUS,), bucket_size)
 
 
-def bucket_links(rows: DataFrame, radii: tuple[int, ...], bucket_size: int = BUCKET) -> DataFrame:
-    """Links (a, b) among the different fps of each bucket, for rows (fp, bucket): they span all links of the last radius."""
-    kind = dict(rows.dtypes)["fp"]
+def bucket_links(rows: DataFrame, radii: tuple[int, ...], bucket_size: int = BUCKET, fps: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) among the different fps of each bucket, for rows (fp, bucket): they span all links of the last radius.
+
+    With ``fps`` (node, fp) the rows hold nodes; fingerprints are fetched for
+    buckets of several nodes alone.
+    """
+    kind = dict((rows if fps is None else fps).dtypes)["fp"]
     # most buckets hold one fingerprint: they go before Python sees them
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / bucket_size).cast("int")
-    rows = rows.join(sizes, "bucket").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    rows = rows.join(sizes, "bucket").withColumn("parts", parts)
+    if fps is not None:
+        rows = rows.join(fps, "node")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     part = F.least("own", "other") * F.lit(1 << 20).cast("long") + F.greatest("own", "other")
     rows = rows.select("bucket", part.alias("part"), "fp").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
@@ -280,8 +287,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 SIMILAR_SHINGLE, SIMILARITY, WORDS = 5, 0.8, 4
 #: Radii in 256 bits. A pair of similarity 0.8 differs in 39 on average, deviation 6; closer pairs are linked first.
 RADII = (20, 30, 40, 58)
-#: Shingles are counted by their hash in this many slots: a table of one byte each, whatever the input.
-SLOTS = 1 << 20
+#: Each pair of a set's smallest hashes is a bucket. Two sets of similarity 0.8 have two of the seven smallest of
+#: their union in common, thus a bucket, in 1 - 7 * 0.8 * 0.2**6 - 0.2**7 = 99.96 % of pairs, more above 0.8.
+SMALLEST = 7
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -313,46 +321,29 @@ def wide_fingerprint(shingles: np.ndarray, words: int = WORDS) -> bytes:
     return np.packbits(2 * counts > n, bitorder="little").tobytes()
 
 
-def _at_least(n: int, similarity: float) -> int:
-    """Shingles that a set of n shares with any set at least that similar."""
-    return int(np.ceil(similarity * n - 1e-9))
-
-
-def shingle_ranks(docs: DataFrame, text_col: str = "text", shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """A byte for each slot: four times the binary logarithm of the number of texts' shingles in it, over all texts."""
-
-    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                np.add.at(total, shingle_set(text.as_py(), shingle) & np.uint64(SLOTS - 1), 1)
-        used = np.flatnonzero(total)
-        for i in range(0, len(used), 1 << 16):
-            slot = used[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(total[slot])], ["slot", "n"])
-
-    with small_batches(docs.sparkSession):
-        slots = docs.select(text_col).mapInArrow(counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-        table = slots.select("slot", F.round(4 * F.log2("n")).cast("short").alias("rank")).toArrow()
-    ranks = np.zeros(SLOTS, np.uint8)
-    ranks[table.column("slot").to_numpy()] = table.column("rank").to_numpy()
-    return ranks
+def _keys(shingles: np.ndarray) -> np.ndarray:
+    """A hash of each pair of the smallest SMALLEST shingle hashes."""
+    few = shingles[:SMALLEST]
+    i, j = np.triu_indices(len(few), 1)
+    return _mixed(few[i] * _STEP + few[j]).view(np.int64)
 
 
 def similar_links(nodes: DataFrame, text: Column, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, radii: tuple[int, ...] = RADII, bucket_size: int = BUCKET) -> DataFrame:
-    """Links (a, b) between the fingerprints of ``nodes`` (fp, prefix, one text each), each proven by the shingle sets.
+    """Links (a, b) between the fingerprints of ``nodes`` (fp, keys, one text each), each proven by the shingle sets.
 
-    Two sets of the similarity share one of the rarest shingles of each (its
-    prefix), so prefixes deal the fingerprints into buckets without loss; the
-    tiled comparison finds the close ones, and the exact similarity of the two
-    whole texts decides.
+    The keys deal the fingerprints into buckets; a passage that many texts
+    share makes no large one, as two of its shingles must be among a text's
+    smallest. The tiled comparison finds the close fingerprints, and the exact
+    similarity of the two whole texts decides.
     """
 
     @F.pandas_udf("array<bigint>")
     def shingles(texts):
         return texts.map(lambda t: shingle_set(t, shingle).view(np.int64))
 
-    found = cut(bucket_links(nodes.select("fp", F.explode("prefix").alias("bucket")), radii, bucket_size))
+    node = F.xxhash64("fp").alias("node")  # two fingerprints of one number only meet more often
+    dealt = nodes.select(node, F.explode("keys").alias("bucket"))
+    found = cut(bucket_links(dealt, radii, bucket_size, nodes.select(node, "fp")))
     ends = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).distinct()
     sets = cut(nodes.join(ends, "fp").select("fp", shingles(text).alias("set")))
     left, right = (sets.select(F.col("fp").alias(end), F.col("set").alias(f"set_{end}")) for end in ("a", "b"))
@@ -367,29 +358,25 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     The row of the smallest id stays; without any id, one of the rows. Rows
     without an id and rows of a repeated id stay or go with their own class.
     Texts without a word (null, empty, blank) are one class. Links are those
-    that the fingerprints' radius covers (about 99.9 % of pairs at 0.8) and
-    the spanning forests return; none is less similar than ``similarity``.
+    that the buckets and the fingerprints' radius cover (over 99.8 % of pairs
+    at 0.8) and the spanning forests return; none is less similar than
+    ``similarity``.
     An empty table gives an empty one.
     """
-    ranks = docs.sparkSession.sparkContext.broadcast(shingle_ranks(docs, text_col, shingle))
 
-    @F.pandas_udf("fp binary, prefix array<bigint>")
+    @F.pandas_udf("fp binary, keys array<bigint>")
     def node(texts):
         import pandas as pd
 
-        slot, table, fps, prefixes = np.uint64(SLOTS - 1), ranks.value, [], []
-        for text in texts:
-            found = shingle_set(text, shingle)
-            order = np.argsort(table[found & slot], kind="stable")  # the set is ordered: ties go by hash
-            fps.append(wide_fingerprint(found))
-            prefixes.append(found[order[: len(found) - _at_least(len(found), similarity) + 1]].view(np.int64))
-        return pd.DataFrame({"fp": fps, "prefix": prefixes})
+        sets = [shingle_set(t, shingle) for t in texts]
+        return pd.DataFrame({"fp": [wide_fingerprint(x) for x in sets], "keys": [_keys(x) for x in sets]})
 
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns])
     rows = docs.select(F.col(id_col).alias("id"), node(F.col(text_col)).alias("node"), row.alias("row"))
     others = [F.col(f"row.`{c}`") for c in docs.columns if c not in (id_col, text_col)]
-    order = F.struct(F.col("id").isNull(), "id", F.col(f"row.`{text_col}`"), F.to_json(F.struct(F.lit(0), *others)))
-    best = F.min_by(F.struct("id", "node.prefix", "row"), order)
+    # digests: the order travels with each row
+    order = F.struct(F.col("id").isNull(), "id", F.sha2(F.col(f"row.`{text_col}`").cast("binary"), 256), F.sha2(F.to_json(F.struct(F.lit(0), *others)), 256))
+    best = F.min_by(F.struct("id", "node.keys", "row"), order)
     # one row a fingerprint, combined in each task before the shuffle
     nodes = cut(rows.groupBy(F.col("node.fp").alias("fp")).agg(best.alias("best")).select("fp", "best.*"))
     links = cut(similar_links(nodes, F.col(f"row.`{text_col}`"), shingle, similarity))
