@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 #: ASCII white space; everything else belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of one Arrow batch: texts can be long, and each executor holds several batches at once.
-BATCH_ROWS = 1000
-_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Most rows and bytes of one Arrow batch: texts can be long, and each executor holds several batches at once. A longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 500, 2 << 20
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -21,20 +21,25 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """Holds Arrow batches of whole texts to ``rows`` rows while a job runs inside; the session's setting comes back."""
-    before = spark.conf.get(_ROWS)
-    spark.conf.set(_ROWS, str(min(int(before), rows)))
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Holds Arrow batches of whole texts to BATCH_ROWS and BATCH_BYTES while a job runs inside; the session's settings come back."""
+    before = {key: spark.conf.get(key) for key in (_ROWS, _BYTES)}
+    _hold(spark)
     try:
         yield
     finally:
-        spark.conf.set(_ROWS, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def _hold(spark: SparkSession) -> None:
+    spark.conf.set(_ROWS, str(min(int(spark.conf.get(_ROWS)), BATCH_ROWS)))
+    spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
 def few_rows(df: DataFrame) -> DataFrame:
-    """``df``, with its session's Arrow batches held to BATCH_ROWS rows from now on: for queries and stages whose last step reads whole texts."""
-    conf = df.sparkSession.conf
-    conf.set(_ROWS, str(min(int(conf.get(_ROWS)), BATCH_ROWS)))
+    """``df``, with its session's Arrow batches held to BATCH_ROWS and BATCH_BYTES from now on: for queries and stages whose last step reads whole texts."""
+    _hold(df.sparkSession)
     return df
 
 
