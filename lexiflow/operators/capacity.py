@@ -2,8 +2,10 @@
 
 All keys (component, step, policy) are solved in one job. Rounds of
 proportional offers place most of the mass; augmenting rounds then move it
-along residual paths, one path per key and round, until none is left: the
-total is then the maximum for every key.
+along residual paths, one path per search tree and round, until none is left:
+the total is then the maximum for every key. Each loser with mass left grows a
+tree of its own and no node is in two trees, so the paths of a round are
+disjoint and all of them hold at once.
 """
 
 from __future__ import annotations
@@ -54,19 +56,20 @@ def allocate(loss: DataFrame, gain: DataFrame, edges: DataFrame, *key: str, roun
 
 
 def _paths(flow: DataFrame, k: list[str]) -> DataFrame:
-    """(key, path, push): one shortest residual path per key, by frontier joins over all keys at once."""
+    """(key, root, path, push): disjoint residual paths, at most one from each loser (root), by frontier joins over all keys at once."""
     sent, got = flow.groupBy(*k, "src").agg(F.sum("flow").alias("f"), F.first("have").alias("v")), flow.groupBy(*k, "dst").agg(F.sum("flow").alias("f"), F.first("want").alias("v"))
     room = settled(got.filter(F.col("v") - F.col("f") > EPS).select(*k, "dst", (F.col("v") - F.col("f")).alias("room")))
     empty = F.array().cast("array<struct<src:string,dst:string,sign:int>>")
-    front = settled(sent.filter(F.col("v") - F.col("f") > EPS).select(*k, "src", empty.alias("path"), (F.col("v") - F.col("f")).alias("push")))
+    front = settled(sent.filter(F.col("v") - F.col("f") > EPS).select(*k, "src", F.col("src").alias("root"), empty.alias("path"), (F.col("v") - F.col("f")).alias("push")))
     forward = flow.filter(F.col("cap") - F.col("flow") > EPS).select(*k, "src", "dst", (F.col("cap") - F.col("flow")).alias("c"))
     back = flow.filter(F.col("flow") > EPS).select(*k, "src", "dst", F.col("flow").alias("c"))
     seen_src, seen_dst, found = front.select(*k, "src"), None, None
+    widest = F.max_by(F.struct("root", "path", "push"), F.struct(F.col("push"), F.to_json("path"))).alias("b")
 
     def step(rows, node, sign):
         edge = F.struct("src", "dst", F.lit(sign).alias("sign"))
         rows = rows.withColumn("path", F.concat("path", F.array(edge))).withColumn("push", F.least("push", "c"))
-        return rows.groupBy(*k, node).agg(F.max_by("path", F.struct(F.col("push"), F.to_json("path"))).alias("path"), F.max("push").alias("push"))
+        return rows.groupBy(*k, node).agg(widest).select(*k, node, "b.*")
 
     while True:
         reach = step(front.join(forward, [*k, "src"]), "dst", 1)
@@ -74,10 +77,10 @@ def _paths(flow: DataFrame, k: list[str]) -> DataFrame:
             reach = reach.join(seen_dst, [*k, "dst"], "left_anti")
         reach = settled(reach)
         ends = reach.join(room, [*k, "dst"]).withColumn("push", F.least("push", "room"))
-        best = settled(ends.groupBy(*k).agg(F.max_by("path", F.struct(F.col("push"), F.to_json("path"))).alias("path"), F.max("push").alias("push")))
+        best = settled(ends.groupBy(*k, F.col("root").alias("tree")).agg(widest).select(*k, "b.*"))
         found = best if found is None else found.unionByName(best)
-        # keys that have their path wait for the next round; the others search on from the receivers they reached
-        more = reach.join(found.select(*k), k, "left_anti") if k else (reach if best.isEmpty() else reach.limit(0))
+        # trees that have their path wait for the next round; the others search on from the receivers they reached
+        more = reach.join(found.select(*k, "root"), [*k, "root"], "left_anti")
         seen_dst = reach.select(*k, "dst") if seen_dst is None else seen_dst.unionByName(reach.select(*k, "dst"))
         front = settled(step(more.join(back, [*k, "dst"]), "src", -1).join(seen_src, [*k, "src"], "left_anti"))
         if front.isEmpty():
@@ -85,6 +88,12 @@ def _paths(flow: DataFrame, k: list[str]) -> DataFrame:
         seen_src = seen_src.unionByName(front.select(*k, "src"))
 
 
+def open_routes(loss: DataFrame, gain: DataFrame, edges: DataFrame, *key: str) -> DataFrame:
+    """(key, src, dst, cap): edges (src, dst) from words that lose to words that gain, capped by both."""
+    out = edges.join(loss, "src").withColumnRenamed("v", "have")
+    return out.join(gain, [*key, "dst"]).select(*key, "src", "dst", F.least("have", "v").alias("cap"))
+
+
 def budgets(pairs: DataFrame, *key: str, basis: str = "signed") -> tuple[DataFrame, DataFrame]:
     """loss and gain of words with rates a and b: what changes (signed), or all there is (stock)."""
     a, b = F.col("a"), F.col("b")

@@ -41,8 +41,13 @@ def hide(order: list, hidden: set) -> list:
 
 
 def step_pairs(rates: DataFrame, col: str, order: list) -> DataFrame:
-    """(step, word, a, b) for neighbouring columns: each column's rates go to the two steps it takes part in, no self-join."""
-    ends = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(str(c)).alias("c"), F.lit(side).alias("side")) for i, pair in enumerate(steps(order)) for c, side in zip(pair, "ab", strict=True)])
+    """(step, word, a, b) for neighbouring columns."""
+    return leg_pairs(rates, col, steps(order))
+
+
+def leg_pairs(rates: DataFrame, col: str, legs: list[tuple]) -> DataFrame:
+    """(step, word, a, b) for legs (source, target), numbered: each column's rates go to the legs it takes part in, no self-join."""
+    ends = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(str(c)).alias("c"), F.lit(side).alias("side")) for i, pair in enumerate(legs) for c, side in zip(pair, "ab", strict=True)])
     mine = F.filter(ends, lambda e: e["c"] == F.col(col).cast("string"))
     rows = rates.select("word", "rate", F.explode(mine).alias("e"))
     side = lambda s: F.coalesce(F.sum(F.when(F.col("e.side") == s, F.col("rate"))), F.lit(0.0))
@@ -56,6 +61,40 @@ def dormancy(rates: DataFrame, place: str) -> DataFrame:
     return rows.filter("back - left > 1")
 
 
+def parked_pairs(rates: DataFrame, col: str, order: list) -> DataFrame:
+    """``step_pairs`` with dormant_out and dormant_in: mass that leaves a word for a later column, and mass that comes back to it."""
+    place = F.create_map(*[F.lit(x) for i, c in enumerate(order) for x in (c, i)])
+    parked = dormancy(rates.withColumn("place", place[F.col(col)]), "place")
+    out = parked.select(F.col("left").alias("step"), "word", F.col("mass").alias("dormant_out"))
+    back = parked.select((F.col("back") - 1).alias("step"), "word", F.col("mass").alias("dormant_in"))
+    rows = step_pairs(rates, col, order).join(out, ["step", "word"], "left").join(back, ["step", "word"], "left")
+    return rows.fillna(0.0, ["dormant_out", "dormant_in"])
+
+
+def movable(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """loss (step, src, v) and gain (step, dst, v) of ``parked_pairs``: changes that dormancy does not explain."""
+    loss = F.greatest(F.col("a") - F.col("b") - F.col("dormant_out"), F.lit(0.0))
+    gain = F.greatest(F.col("b") - F.col("a") - F.col("dormant_in"), F.lit(0.0))
+    return pairs.select("step", F.col("word").alias("src"), loss.alias("v")).filter("v > 0"), pairs.select("step", F.col("word").alias("dst"), gain.alias("v")).filter("v > 0")
+
+
+def ledgers(pairs: DataFrame, flows: DataFrame) -> DataFrame:
+    """Totals per step: source, target, kept, routed, unplaced, unfilled, dormant_out, dormant_in."""
+    loss, gain = movable(pairs)
+    sums = pairs.groupBy("step").agg(F.sum("a").alias("source"), F.sum("b").alias("target"), F.sum(F.least("a", "b")).alias("kept"), F.sum("dormant_out").alias("dormant_out"), F.sum("dormant_in").alias("dormant_in"))
+    for rows, value, name in ((loss, "v", "loss"), (gain, "v", "gain"), (flows, "flow", "routed")):
+        sums = sums.join(rows.groupBy("step").agg(F.sum(value).alias(name)), "step", "left").fillna(0.0, [name])
+    return sums.select("step", "source", "target", "kept", "routed", (F.col("loss") - F.col("routed")).alias("unplaced"), (F.col("gain") - F.col("routed")).alias("unfilled"), "dormant_out", "dormant_in")
+
+
+def mass_by_label(flows: DataFrame, cap: int, other: str = "other rules") -> DataFrame:
+    """(step, label, mass) for flows (step, label, flow): the ``cap`` labels of most mass over all steps, the rest pooled."""
+    per = flows.groupBy("step", "label").agg(F.sum("flow").alias("mass"))
+    top = per.groupBy("label").agg(F.sum("mass").alias("s")).orderBy(F.desc(F.round("s", 6)), "label").limit(cap).select("label", F.lit(True).alias("kept"))
+    rows = per.join(F.broadcast(top), "label", "left")
+    return rows.groupBy("step", F.when(F.col("kept"), F.col("label")).otherwise(other).alias("label")).agg(F.sum("mass").alias("mass"))
+
+
 def kept_since(rates: DataFrame, place: str, columns: int) -> DataFrame:
     """(col, origin, mass): rate of each column that has been kept since each origin column.
 

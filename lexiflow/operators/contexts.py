@@ -92,13 +92,13 @@ def equal_odds(strata: DataFrame, *keys: str) -> DataFrame:
     choose = lambda n, k: log_factorial(n) - log_factorial(k) - log_factorial(n - k)
     n0 = F.col("n") - F.col("n1")
     lo, hi = F.greatest(F.lit(0), F.col("h") - n0), F.least("h", "n1")
-    rows = strata.select(*keys, "stratum", "h1", "h", "n1", "n", F.explode(F.sequence(lo, hi)).alias("k"))
-    lw = choose(F.col("n1"), F.col("k")) + choose(n0, F.col("h") - F.col("k")) - choose(F.col("n"), F.col("h"))
-    rows = rows.select(*keys, "stratum", "h1", "k", F.exp(lw).alias("w"))
+    rows = strata.select(*keys, "stratum", "h1", "h", "n1", "n", F.explode(F.sequence(lo, hi)).alias("_k"))
+    lw = choose(F.col("n1"), F.col("_k")) + choose(n0, F.col("h") - F.col("_k")) - choose(F.col("n"), F.col("h"))
+    rows = rows.select(*keys, "stratum", "h1", "_k", F.exp(lw).alias("_w"))
     first = strata.groupBy(*keys).agg(F.min("stratum").alias("s0"), F.max("stratum").alias("s1"), F.sum("h1").alias("hits"))
     rows = rows.join(first, list(keys))
-    a = rows.filter("stratum = s0").select(*keys, "hits", F.col("k").alias("ka"), F.col("w").alias("wa"))
-    b = rows.filter("stratum = s1 and s1 <> s0").select(*keys, F.col("k").alias("kb"), F.col("w").alias("wb"))
-    both = a.join(b, list(keys)).groupBy(*keys, "hits", (F.col("ka") + F.col("kb")).alias("k")).agg(F.sum(F.col("wa") * F.col("wb")).alias("w"))
-    own = both.filter("k = hits").select(*keys, F.col("w").alias("own"))
-    return both.join(own, list(keys)).groupBy(*keys).agg(F.least(F.lit(1.0), F.sum(F.when(F.col("w") <= F.col("own") * (1 + 1e-9), F.col("w")).otherwise(0.0))).alias("p"))
+    a = rows.filter("stratum = s0").select(*keys, "hits", F.col("_k").alias("ka"), F.col("_w").alias("wa"))
+    b = rows.filter("stratum = s1 and s1 <> s0").select(*keys, F.col("_k").alias("kb"), F.col("_w").alias("wb"))
+    both = a.join(b, list(keys)).groupBy(*keys, "hits", (F.col("ka") + F.col("kb")).alias("_k")).agg(F.sum(F.col("wa") * F.col("wb")).alias("_w"))
+    own = both.filter("_k = hits").select(*keys, F.col("_w").alias("own"))
+    return both.join(own, list(keys)).groupBy(*keys).agg(F.least(F.lit(1.0), F.sum(F.when(F.col("_w") <= F.col("own") * (1 + 1e-9), F.col("_w")).otherwise(0.0))).alias("p"))

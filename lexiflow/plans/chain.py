@@ -63,6 +63,42 @@ def c24(spark, d):
     return capacity.accounting(p, none, "step").select("step", r6("retained").alias("kept"), r6("loss").alias("loss"), r6("gain").alias("gain"))
 
 
+def step_flows(spark, d):
+    """Pairs of words per step with their parked mass, and the allocation of the rest along the rule edges, all steps in one job."""
+    pairs = graph.settled(chain.parked_pairs(graph.settled(rates(spark, d)), "col", order(spark, d)))
+    loss, gain = chain.movable(pairs)
+    routes = capacity.open_routes(loss, gain, edges(spark, d).select("src", "dst"), "step")
+    return pairs, capacity.allocate(loss, gain, routes, "step")
+
+
+@query("c24_step_flows")
+def c24b(spark, d):
+    """Ledger of each step with flows and dormancy. Checked in the tests against a brute-force maximum."""
+    return chain.ledgers(*step_flows(spark, d)).select("step", *[r6(c).alias(c) for c in ("source", "target", "kept", "routed", "unplaced", "unfilled", "dormant_out", "dormant_in")])
+
+
+@query("a33_rules_by_step")
+def a33b(spark, d):
+    """Routed mass of each step by label of rules, the six largest and the rest."""
+    _, flows = step_flows(spark, d)
+    labelled = flows.join(edges(spark, d), ["src", "dst"]).withColumn("label", F.array_join("codes", "+"))
+    return chain.mass_by_label(labelled, 6).select("step", "label", r6("mass").alias("mass"))
+
+
+#: Source and target language of each leg.
+LEGS = [("en", "fr"), ("fr", "es"), ("en", "es"), ("es", "fr"), ("fr", "en"), ("es", "en"), ("en", "de"), ("de", "en")]
+
+
+@query("c35_leg_flows")
+def c35(spark, d):
+    """Ledgers of eight pairs of languages, one allocation keyed by leg."""
+    r = rate_ops.rates(rate_ops.word_counts(toks(spark, d), "lang"), "lang")
+    pairs = graph.settled(chain.leg_pairs(r, "lang", LEGS).withColumnRenamed("step", "leg"))
+    loss, gain = capacity.budgets(pairs, "leg")
+    flows = capacity.allocate(loss, gain, capacity.open_routes(loss, gain, edges(spark, d).select("src", "dst"), "leg"), "leg")
+    return capacity.accounting(pairs, flows, "leg").select("leg", *[r6(c).alias(c) for c in ("retained", "loss", "gain", "matched", "unplaced", "unfilled")])
+
+
 @query("a32_bigram_ledger", STEP + ", u AS (SELECT step, a, b, list_concat(['^'], regexp_extract_all(word, '(ckh|cth|cph|cfh|ch|sh|e{1,4}|i{1,4}|.)'), ['$']) AS u FROM st), g AS (SELECT step, unnest(list_transform(range(1, len(u)), lambda i: u[i] || ' ' || u[i + 1])) AS bigram, a, b FROM u), s AS (SELECT step, bigram, sum(a) AS a, sum(b) AS b FROM g GROUP BY ALL) SELECT step, bigram, round(least(a,b),6) AS kept, round(greatest(a-b,0),6) AS sent, round(greatest(b-a,0),6) AS received FROM s")
 def a32(spark, d):
     p = chain.step_pairs(rates(spark, d), "col", order(spark, d)).select("step", "a", "b", F.explode(chain.bigrams(F.col("word"))).alias("bigram"))
@@ -97,13 +133,9 @@ def halves(spark, d):
 
 
 def flow_inputs(spark, d):
-    p = halves(spark, d)
+    p = graph.settled(halves(spark, d))
     loss, gain = capacity.budgets(p)
-    e = edges(spark, d).select("src", "dst")
-    capped = e.join(loss, "src").withColumnRenamed("v", "lv").join(gain, "dst").select("src", "dst", F.least("lv", "v").alias("cap"))
-    comp = graph.components(e)
-    key = lambda df, c: df.join(comp.select(F.col("word").alias(c), "component"), c)
-    return p, key(loss, "src"), key(gain, "dst"), key(capped, "src")
+    return p, loss, gain, capacity.open_routes(loss, gain, edges(spark, d).select("src", "dst"))
 
 
 @query("c15_capacity_bound", CAPS + ", s AS (SELECT src, least(max(v), sum(cap)) AS x FROM cp WHERE cap > 0 GROUP BY src), t AS (SELECT dst, least(max(w), sum(cap)) AS x FROM cp WHERE cap > 0 GROUP BY dst) SELECT round((SELECT sum(x) FROM s), 6) AS sent, round((SELECT sum(x) FROM t), 6) AS received")
@@ -119,7 +151,7 @@ def c15b(spark, d):
 def c15(spark, d):
     """Maximum allocation of the halves' differences along the rule edges. Checked in the tests against brute force."""
     p, loss, gain, e = flow_inputs(spark, d)
-    flows = capacity.allocate(loss, gain, e, "component")
+    flows = capacity.allocate(loss, gain, e)
     return capacity.accounting(p, flows).select(*[r6(c).alias(c) for c in ("retained", "loss", "gain", "matched", "unplaced", "unfilled")])
 
 
@@ -127,7 +159,7 @@ def c15(spark, d):
 def a33(spark, d):
     """Allocated mass by label of rules, and into or out of a set of words."""
     _, loss, gain, e = flow_inputs(spark, d)
-    flows = capacity.allocate(loss, gain, e, "component").join(edges(spark, d), ["src", "dst"])
+    flows = capacity.allocate(loss, gain, e).join(edges(spark, d), ["src", "dst"])
     removed = F.col("src").startswith("th") | F.col("dst").startswith("th")
     return flows.groupBy(F.array_join("codes", "+").alias("label")).agg(r6(F.sum("flow")).alias("mass"), r6(F.coalesce(F.sum(F.when(removed, F.col("flow"))), F.lit(0.0))).alias("removed"))
 

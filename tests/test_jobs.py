@@ -65,6 +65,66 @@ def test_allocation_is_maximal_for_every_key(spark):
     assert over.isEmpty()
 
 
+def test_step_ledgers_with_dormancy(spark):
+    rng = random.Random(11)
+    order, words = [2, 5, 7, 11], [f"w{i}" for i in range(9)]
+    rate = {(c, w): rng.uniform(1, 9) for c in order for w in words if rng.random() < 0.6}
+    routes = [(a, b) for a in words for b in words if a != b and rng.random() < 0.3]
+    rates = spark.createDataFrame([(c, w, v) for (c, w), v in rate.items()], "col int, word string, rate double")
+    pairs = chain.parked_pairs(rates, "col", order)
+    loss, gain = chain.movable(pairs)
+    flows = capacity.allocate(loss, gain, capacity.open_routes(loss, gain, spark.createDataFrame(routes, "src string, dst string"), "step"), "step", rounds=1)
+    got = {r.step: r for r in chain.ledgers(pairs, flows).collect()}
+    for i, (s, t) in enumerate(zip(order, order[1:], strict=False)):
+        out, back = defaultdict(float), defaultdict(float)
+        for w in words:
+            at = [k for k, c in enumerate(order) if (c, w) in rate]
+            for left, right in zip(at, at[1:], strict=False):
+                if right - left > 1:
+                    mass = min(rate[order[left], w], rate[order[right], w])
+                    out[w] += mass * (left == i)
+                    back[w] += mass * (right == i + 1)
+        lo = {w: rate.get((s, w), 0) - rate.get((t, w), 0) - out[w] for w in words}
+        ga = {w: rate.get((t, w), 0) - rate.get((s, w), 0) - back[w] for w in words}
+        lo, ga = ({w: v for w, v in x.items() if v > 0} for x in (lo, ga))
+        want = maximum(lo, ga, [(a, b, min(lo[a], ga[b])) for a, b in routes if a in lo and b in ga])
+        assert got[i].routed == pytest.approx(want, abs=1e-6)
+        assert got[i].kept == pytest.approx(sum(min(rate.get((s, w), 0), rate.get((t, w), 0)) for w in words))
+        assert got[i].unplaced == pytest.approx(sum(lo.values()) - want, abs=1e-6) and got[i].unfilled == pytest.approx(sum(ga.values()) - want, abs=1e-6)
+        assert got[i].dormant_out == pytest.approx(sum(out.values())) and got[i].dormant_in == pytest.approx(sum(back.values()))
+    labelled = flows.withColumn("label", F.col("src"))
+    top = chain.mass_by_label(labelled, 2).collect()
+    assert {r.label for r in top} <= {*words, "other rules"} and len({r.label for r in top} - {"other rules"}) <= 2
+    assert sum(r.mass for r in top) == pytest.approx(sum(r.routed for r in got.values()))
+
+
+def test_equal_odds_against_convolution(spark):
+    def tables(h, n1, n):
+        return {k: math.comb(n1, k) * math.comb(n - n1, h - k) / math.comb(n, h) for k in range(max(0, h - n + n1), min(h, n1) + 1)}
+
+    cases = {"u": [(3, 5, 10, 40), (1, 6, 8, 30)], "v": [(0, 4, 9, 20), (7, 8, 12, 25)]}
+    t = spark.createDataFrame([(w, i, *c) for w, cs in cases.items() for i, c in enumerate(cs)], "w string, stratum int, h1 long, h long, n1 long, n long")
+    got = {r.w: r.p for r in contexts.equal_odds(t, "w").collect()}
+    for w, ((h1, h, n1, n), (g1, g, m1, m)) in cases.items():
+        both = defaultdict(float)
+        for i, x in tables(h, n1, n).items():
+            for j, y in tables(g, m1, m).items():
+                both[i + j] += x * y
+        assert got[w] == pytest.approx(sum(x for x in both.values() if x <= both[h1 + g1] * (1 + 1e-9)), rel=1e-6)
+
+
+def test_neighbour_test_against_pairs(spark):
+    rows = [(i, "g" if i < 7 else "h", float(i * i % 5)) for i in range(12)]
+    pairs = [("x", i, i + 1) for i in range(11)] + [("y", i, i + 2) for i in range(10)]
+    shares = spark.createDataFrame(rows, "page long, grp string, share double")
+    got = {r.kind: r for r in variants.neighbour_test(spark.createDataFrame(pairs, "kind string, a long, b long"), shares, 3).collect()}
+    for kind in "xy":
+        ds = [abs(rows[a][2] - rows[b][2]) for k, a, b in pairs if k == kind]
+        assert got[kind].observed == pytest.approx(sum(ds) / len(ds)) and got[kind].pairs == len(ds)
+    same = variants.neighbour_test(spark.createDataFrame(pairs, "kind string, a long, b long"), shares.withColumn("share", F.when(F.col("grp") == "g", 1.0).otherwise(3.0)), 3).collect()
+    assert all(r.shuffled == pytest.approx(r.observed) for r in same)  # a shuffle stays within its group
+
+
 def test_components_of_a_long_path_and_removal(spark):
     names = [f"w{i:03d}" for i in range(60)]
     path = [(a, b, ["R"]) for a, b in zip(names, names[1:], strict=False)] + [("p", "q", ["R", "Z"]), ("q", "r", ["Z"])]
