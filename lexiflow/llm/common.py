@@ -21,10 +21,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession) -> Iterator[None]:
-    """Holds Arrow batches of whole texts to BATCH_ROWS and BATCH_BYTES while a job runs inside; the session's settings come back."""
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Holds Arrow batches of whole texts to ``rows`` and BATCH_BYTES while a job runs inside; the session's settings come back."""
     before = {key: spark.conf.get(key) for key in (_ROWS, _BYTES)}
-    _hold(spark)
+    _hold(spark, rows)
     try:
         yield
     finally:
@@ -32,8 +32,9 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
-def _hold(spark: SparkSession) -> None:
-    spark.conf.set(_ROWS, str(min(int(spark.conf.get(_ROWS)), BATCH_ROWS)))
+def _hold(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    most = int(spark.conf.get(_ROWS))  # 0 or less: no limit
+    spark.conf.set(_ROWS, str(min(most, rows) if most > 0 else rows))
     spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
@@ -43,8 +44,8 @@ def few_rows(df: DataFrame) -> DataFrame:
     return df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and cut its lineage. Texts inside go through small Arrow batches.
+def cut(df: DataFrame, rows: int = BATCH_ROWS) -> DataFrame:
+    """Write ``df`` to the shared checkpoint folder and cut its lineage. Texts inside go through small Arrow batches of at most ``rows``.
 
     The folder is the cluster's ``spark.checkpoint.dir``. Only a local master
     gets a temporary one where none is set; on a cluster that is an error, as
@@ -55,7 +56,7 @@ def cut(df: DataFrame) -> DataFrame:
         if not context.master.startswith("local[") and context.master != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    with small_batches(df.sparkSession):
+    with small_batches(df.sparkSession, rows):
         return df.checkpoint()
 
 

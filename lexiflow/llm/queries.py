@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiflow.llm import bpe, exact_dedup, html_extraction, mixing, quality_classifier, quality_rules, sharding, simhash, toxicity, url_filter
+from lexiflow.llm import bpe, exact_dedup, fill_in_middle, html_extraction, mixing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, toxicity, url_filter, vector_codes
 
 QUERIES = {
     "op1_nnpu_toxicity": toxicity.op1_nnpu_toxicity,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_pivotal_mixing": mixing.op9_pivotal_mixing,
     "op10_ring_sharding": sharding.op10_ring_sharding,
+    "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+    "op12_ball_codes": vector_codes.op12_ball_codes,
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
 
 #: The other operators have no SQL; tests compare them with brute force or held-out labels.
