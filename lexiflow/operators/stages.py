@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiflow.operators import graph, network
+
 
 def same_spelling(rows: DataFrame) -> DataFrame:
     """Credit of keeping a spelling: direct (source to target) and staged (through the middle): rows (word, a, m, b)."""
@@ -31,3 +33,137 @@ def timed(pairs: DataFrame, first: bool, second: bool, swap) -> DataFrame:
     middle = swap(F.col("word")) if first else F.col("word")
     rows = pairs.select("word", middle.alias("at_middle"))
     return rows.withColumn("at_target", swap(F.col("at_middle")) if second else F.col("at_middle"))
+
+
+# Routed accounting: same spellings in closed form, the rest as a largest flow through three layers.
+
+#: Settings of an account: how mass may travel, and on which leg the exchange takes place.
+MODES, TIMINGS = ("direct", "staged", "both"), {"none": (False, False), "first": (True, False), "second": (False, True), "both": (True, True)}
+TOTALS = ("source", "middle", "target", "same", "direct", "staged", "stops", "routed", "credited", "through", "left", "missing", "unreached", "baseline", "gained", "lost", "net")
+EPS = 1e-9
+
+
+def linked(words: DataFrame, routes: DataFrame, swap=None) -> DataFrame:
+    """(word, component) of ``words`` (word) that a route (src, dst) or the exchange joins to another of them."""
+    pairs = routes.select("src", "dst")
+    if swap is not None:
+        # an exchange before or after a route joins its ends' exchanged spellings as well
+        pairs = pairs.unionByName(words.select(F.col("word").alias("src"), swap(F.col("word")).alias("dst")))
+        pairs = pairs.unionByName(routes.select(swap(F.col("src")).alias("src"), "dst")).unionByName(routes.select("src", swap(F.col("dst")).alias("dst")))
+    return graph.components(pairs.filter("src <> dst").distinct()).join(words.select("word").distinct(), "word", "left_semi")
+
+
+def settings(modes=MODES, timings=("none",)) -> list[tuple[str, str, bool, bool]]:
+    return [(m, t, *TIMINGS[t]) for m in modes for t in timings]
+
+
+def account(rows: DataFrame, routes: DataFrame, *key: str, modes=MODES, timings=("none",), swap=None, stops: bool = True, most: int = network.ARCS) -> tuple[DataFrame, DataFrame]:
+    """Accounts of mass from a source through a middle to a target population: (ledgers per word, flows).
+
+    rows (key, word, a, m, b): rates of the three populations; routes (src,
+    dst): pairs along which mass may move, in that direction. ``swap`` is an
+    exchange of spellings that is its own inverse; a timing says on which legs
+    it takes place. All keys, modes and timings are solved in one job.
+
+    A word keeps its (exchanged) spelling first. What is left of a source goes
+    along a route straight to a target, or to a middle word within its rate and
+    from there to a target, as much as can be credited; only then is mass that
+    reaches the middle counted as stopping there.
+    """
+    identity = lambda c: c
+    swap = swap or identity
+    k = [*key, "mode", "timing"]
+    cases = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(t).alias("timing"), F.lit(f).alias("first"), F.lit(s).alias("second")) for m, t, f, s in settings(modes, timings)])).alias("s")
+    w = F.col("word")
+    each = rows.select(*key, "word", "a", "m", "b", cases).select(*key, "word", "a", "m", "b", "s.*")
+    each = each.withColumn("m", F.when(F.col("mode") == "direct", 0.0).otherwise(F.col("m")))
+    each = each.withColumn("at_middle", F.when(F.col("first"), swap(w)).otherwise(w))
+    each = each.withColumn("to_target", F.when(F.col("first") != F.col("second"), swap(w)).otherwise(w)).withColumn("on", F.when(F.col("second"), swap(w)).otherwise(w))
+    each = graph.settled(each)
+    # 1. same spellings
+    b = each.select(*k, w.alias("to_target"), F.col("b").alias("b_there"))
+    m = each.select(*k, w.alias("at_middle"), F.col("m").alias("m_there"))
+    own = each.join(b, [*k, "to_target"], "left").join(m, [*k, "at_middle"], "left")
+    same = F.when(F.col("mode") == "staged", F.least("a", F.coalesce("b_there", F.lit(0.0)), F.coalesce("m_there", F.lit(0.0)))).otherwise(F.least("a", F.coalesce("b_there", F.lit(0.0))))
+    own = graph.settled(own.select(*k, "word", "a", "m", "b", "at_middle", "to_target", "on", same.alias("same")))
+    got = own.select(*k, F.col("to_target").alias("word"), F.col("same").alias("same_in"))
+    passed = own.filter("mode = 'staged'").select(*k, F.col("at_middle").alias("word"), F.col("same").alias("same_through"))
+    left = own.join(got, [*k, "word"], "left").join(passed, [*k, "word"], "left").fillna(0.0, ["same_in", "same_through"])
+    left = left.withColumns({"ar": F.col("a") - F.col("same"), "br": F.col("b") - F.col("same_in"), "mr": F.col("m") - F.col("same_through")})
+    groups = linked(rows.select("word").distinct(), routes, None if swap is identity else swap)
+    left = graph.settled(left.join(groups, "word", "left").withColumn("component", F.coalesce("component", "word")))
+    # 2. what is left, over routes
+    g = [*k, "component"]
+    sources, targets, middles = left.filter(F.col("ar") > EPS), left.filter(F.col("br") > EPS), left.filter((F.col("mr") > EPS) & (F.col("mode") != "direct"))
+    node = lambda layer, c: F.concat(F.lit(layer), c)
+    arc = lambda a, b, cap, kind: (a.alias("a"), b.alias("b"), cap.alias("cap"), F.lit(kind).alias("kind"))
+    there = targets.select(*k, w.alias("dst"), "br")
+    half = middles.select(*k, w.alias("dst"), "mr")
+    stay = lambda df, c: df.select(*g, "word", *[x for x in ("ar", "mr") if x in df.columns], F.col(c).alias("dst"))
+    along = lambda df, c: df.withColumn("src", F.col(c)).join(routes, "src").filter(F.col("dst") != F.col("src"))
+    straight = along(sources.filter(F.col("mode") != "staged"), "to_target").select(*g, "word", "ar", "dst").join(there, [*k, "dst"])
+    leg1 = along(sources.filter(F.col("mode") != "direct"), "at_middle").select(*g, "word", "ar", "dst").unionByName(stay(sources.filter(F.col("mode") != "direct").select(*g, "word", "ar", "at_middle"), "at_middle")).join(half, [*k, "dst"])
+    leg2 = along(middles, "on").select(*g, "word", "mr", "dst").unionByName(stay(middles.select(*g, "word", "mr", "on"), "on")).join(there, [*k, "dst"])
+    arcs = (
+        straight.select(*g, *arc(node("e:", w), node("h:", F.col("dst")), F.least("ar", "br"), "direct"))
+        .unionByName(leg1.select(*g, *arc(node("e:", w), node("i:", F.col("dst")), F.least("ar", "mr"), "leg1")))
+        .unionByName(middles.select(*g, *arc(node("i:", w), node("o:", w), F.col("mr"), "through")))
+        .unionByName(leg2.select(*g, *arc(node("o:", w), node("h:", F.col("dst")), F.least("mr", "br"), "leg2")))
+    )
+    supply = sources.select(*g, node("e:", w).alias("node"), F.col("ar").alias("v"))
+    demand = targets.select(*g, node("h:", w).alias("node"), F.col("br").alias("v"), F.lit(1).alias("tier"))
+    if stops:
+        demand = demand.unionByName(middles.select(*g, node("o:", w).alias("node"), F.col("mr").alias("v"), F.lit(2).alias("tier")))
+    solved = network.maximum(arcs.drop("kind"), supply, demand, *g, most=most)
+    layer = F.concat(F.substring("a", 1, 1), F.substring("b", 1, 1))
+    kind = F.when(layer == "eh", "direct").when(layer == "ei", "leg1").when(layer == "io", "through").otherwise("leg2")
+    flows = graph.settled(solved.select(*g, F.expr("substring(a, 3)").alias("src"), F.expr("substring(b, 3)").alias("dst"), kind.alias("kind"), "flow"))
+    # 3. ledgers
+    leaves = flows.groupBy(*k, F.col("src").alias("word")).agg(*[F.sum(F.when(F.col("kind") == x, F.col("flow")).otherwise(0.0)).alias(n) for x, n in (("direct", "direct"), ("leg1", "to_middle"), ("leg2", "passed_on"), ("through", "inflow_routed"))])
+    comes = flows.filter("kind in ('direct', 'leg2')").groupBy(*k, F.col("dst").alias("word")).agg(F.sum("flow").alias("received"))
+    out = left.join(leaves, [*k, "word"], "left").join(comes, [*k, "word"], "left").fillna(0.0, ["direct", "to_middle", "passed_on", "inflow_routed", "received"])
+    zero = F.lit(0.0)
+    credited, inflow = F.col("same_in") + F.col("received"), F.col("same_through") + F.col("inflow_routed")
+    ledger = out.select(
+        *k, "component", "word", F.col("a").alias("source"), F.col("m").alias("middle"), F.col("b").alias("target"), "same", "same_in", "same_through", "direct", "to_middle",
+        inflow.alias("inflow"), (F.col("same_through") + F.col("passed_on")).alias("passed"), F.greatest(zero, F.col("inflow_routed") - F.col("passed_on")).alias("stops"), "received",
+        credited.alias("credited"), F.greatest(zero, F.col("ar") - F.col("direct") - F.col("to_middle")).alias("left"), F.greatest(zero, F.col("b") - credited).alias("missing"),
+        F.greatest(zero, F.col("m") - inflow).alias("unreached"), F.least("a", "b").alias("baseline"),
+    )
+    return graph.settled(ledger), flows
+
+
+def account_totals(ledger: DataFrame, *by: str) -> DataFrame:
+    """TOTALS per group ``by`` of the ledgers of ``account``."""
+    total = lambda c, n: F.sum(c).alias(n)
+    gain = F.col("credited") - F.col("baseline")
+    rows = ledger.groupBy(*by).agg(
+        *[total(c, c) for c in ("source", "middle", "target", "same", "direct", "stops", "left", "missing", "unreached", "baseline", "credited")],
+        total(F.col("passed") - F.col("same_through"), "staged"), total("passed", "through"),
+        total(F.greatest(gain, F.lit(0.0)), "gained"), total(F.greatest(-gain, F.lit(0.0)), "lost"),
+    )
+    rows = rows.withColumn("routed", F.col("direct") + F.col("staged")).withColumn("net", F.col("credited") - F.col("baseline"))
+    return rows.select(*by, *TOTALS)
+
+
+def unexplained(ledger: DataFrame, top: int, *by: str) -> DataFrame:
+    """(by, component, lead, size, missing, left): the components of two words or more with most mass missing and left; lead: the word of the largest source and target rates."""
+    weight = F.col("source") + F.col("target")
+    rows = ledger.groupBy(*by, "component").agg(F.max_by("word", F.struct(F.round(weight, 6), "word")).alias("lead"), F.count("*").alias("size"), F.sum("missing").alias("missing"), F.sum("left").alias("left"))
+    rows = rows.filter("size > 1")
+    order = [F.desc(F.round(F.col("missing") + F.col("left"), 6)), F.col("component")]
+    if not by:
+        return rows.orderBy(*order).limit(top)
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= top).drop("rank")
+
+
+def exchange_effect(ledger: DataFrame, label, *by: str) -> DataFrame:
+    """(by, without, with, gain, and the credit moved into words of each label): accounts with timing none against those with another, by class and mode.
+
+    ``label`` names words (k, t, kt or null) into which moved credit is counted.
+    """
+    plain = F.col("timing") == "none"
+    words = ledger.groupBy(*by, "word").agg(F.sum(F.when(plain, F.col("credited")).otherwise(0.0)).alias("x"), F.sum(F.when(~plain, F.col("credited")).otherwise(0.0)).alias("y"))
+    moved = lambda name: F.coalesce(F.sum(F.when(label == name, F.col("y") - F.col("x"))), F.lit(0.0)).alias(f"into_{name}")
+    rows = words.groupBy(*by).agg(F.count("*").alias("words"), F.sum("x").alias("without"), F.sum("y").alias("with"), *[moved(n) for n in ("k", "t", "kt")])
+    return rows.withColumn("gain", F.col("with") - F.col("without"))
