@@ -93,14 +93,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     Null texts have no words; texts without words take the whole part of their
     source's rate. Rows without a source form a source of their own, the last
-    one. Rows without an id or with a repeated one are told apart by size only;
-    rows alike in all of these are drawn apart all the same. An empty table
-    gives an empty one; other columns are ignored.
+    one. Ids may have any type that can be grouped. Rows without an id or with
+    a repeated one are told apart by size only; rows alike in all of these are
+    drawn apart all the same. An empty table gives an empty one; other columns
+    are ignored.
     """
     rows = docs.select(
-        F.col(id_col).cast("long").alias("key"),
-        F.col(source_col).alias("source"),
-        F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        F.col(f"`{id_col}`").alias("key"),
+        F.col(f"`{source_col}`").alias("source"),
+        F.regexp_count(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
     )
     # repeated ids become one row with a count, and are numbered again below
     rows = cut(rows.groupBy("key", "source", "size").agg(F.count("*").alias("times")))
@@ -138,6 +139,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return out.select(F.col("key").alias(id_col), "source", "size", "source_size", "target", (F.floor(rate) + F.col("p")).cast("int").alias("copies"))
 
 
+def mixed_rows(docs: DataFrame, text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as ``mix`` takes it.
+
+    Rows are told apart by two 64-bit hashes of all their columns, so ids may
+    be null, repeated or of any type, and columns may have any names. Rows that
+    are equal in all columns share the copies that they are given together.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    whole = [x for c in columns for x in (c, c.isNull())]  # a null leaves a hash as it is
+    key = F.struct(F.xxhash64(*whole).alias("one"), F.xxhash64(F.lit(1), *whole).alias("two")).alias("key")
+    plan = docs.select(key, F.col(f"`{text_col}`").alias("text"), F.col(f"`{source_col}`").alias("source"))
+    taken = mix(plan, "key", **options).groupBy("key").agg(F.sum("copies").cast("int").alias("taken"), F.count("*").alias("times"))
+    taken = cut(taken.filter("taken > 0").select(F.col("key.one").alias("one"), F.col("key.two").alias("two"), "taken", "times"))
+    rows = docs.select(F.struct(*columns).alias("row"), key).select("row", "key.one", "key.two").join(taken, ["one", "two"])
+    if not taken.filter("times > 1").isEmpty():  # equal rows become one first
+        same = rows.filter("times > 1").groupBy("one", "two").agg(F.any_value("row").alias("row"), F.any_value("taken").alias("taken"))
+        rows = rows.filter("times = 1").select("row", "taken").unionByName(same.select("row", "taken"))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("taken")))).select("row.*")
+
+
 def op9_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(read(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

@@ -1,17 +1,23 @@
 """Quality rules: robust multivariate outliers.
 
-Each document's statistics become a vector: log mean word length, and the
-square roots of symbols per word, of the share of repeated lines and of the
-share of words in repeated windows. For each language and source, the minimum
-covariance determinant (MCD) location and scatter are found by concentration
-steps over all rows: the rows nearest to the present estimate give the next
-one, until no determinant falls any more. Two starts are tried, medians with
-the quartile range and all rows' mean and covariance, and the smaller
-determinant wins. A document is rejected when its Mahalanobis distance is over
-a chi-square bound. Scatters are regularised by ``FLOOR``.
-
-Every step is one aggregation of sums per group, combined before the shuffle;
-what comes to the driver is nothing. A group of any size is only ever summed.
+Each document's statistics become a vector that varies from text to text: log
+mean word length, log rate of punctuation, log of different words against a
+power of all words, log rate of symbols. The first three are pulled to their
+language's median as far as a text is short. For each language and source, the
+minimum covariance determinant (MCD) location and scatter are found by
+concentration steps over all rows: the rows nearest to the present estimate
+give the next one, until no determinant moves any more. Two starts are tried,
+medians with the quartile range and all rows' mean and covariance, and the
+smaller determinant wins. A document is rejected when its squared Mahalanobis
+distance is over ``BOUND``.
+
+Groups of every size are judged by the same rule: a group's estimate is mixed
+with its language's by its number of rows against ``LANGUAGE_ROWS``, and a
+language's scatter with a weak wide one of ``WEAK_ROWS`` rows.
+
+A step is one aggregation: rows are counted and summed by group and distance
+(in narrow steps of its logarithm), and the nearest of these sums are added up.
+Nothing comes to the driver, and a group of any size is only ever summed.
 """
 
 from __future__ import annotations
@@ -20,50 +26,55 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiflow.llm.common import cut, read
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_marks", "n_different")
 STAT_TYPE = "struct<" + ",".join(f"{c}:long" for c in STATS) + ">"
 #: Dimensions of the vector.
 P = 4
-#: Share of a group's rows that each concentration step keeps, most steps, and the fall of a log determinant that counts.
-KEEP, STEPS, STILL = 0.75, 7, 1e-3
-#: Chi-square with 4 degrees of freedom at 0.9999.
-BOUND = 23.513
-#: Standard deviations that scatters count with at least: less variation than this is no outlier, however uniform a group is.
-FLOOR = (0.06, 0.12, 0.2, 0.2)
-#: A group with fewer scored rows takes the estimate of its language, and a language with fewer that of all.
-LEAST = 50
+#: Share of a group's rows that each concentration step keeps, the change of a log determinant that counts, and steps after which the search ends in any case.
+KEEP, STILL, MOST_STEPS = 0.75, 1e-3, 60
+#: Squared distance over which a document is an outlier: distances of clean texts have a heavier tail than chi-square with 4 degrees of freedom.
+BOUND = 40.0
+#: Rows for which a language counts in the scatter and in the location of each of its groups.
+LANGUAGE_ROWS, LOCATION_ROWS = 50, 5
+#: Rows and standard deviations of the weak scatter that keeps few rows from being taken for a distribution.
+WEAK_ROWS, WEAK = 20, (0.3, 0.5, 0.3, 1.5)
+#: Kept shares of KEEP make scatters too small by this factor (chi-square consistency, P = 4).
+CONSISTENT = 1.33
+#: Steps of distance to a doubling.
+FINE = 32
 #: Groups whose rules are broadcast (0.3 KB each) rather than joined by a shuffle.
 MOST_RULES = 20_000
-#: Words of mean length that a document's mean word length is mixed with.
-PRIOR_WORDS = 20
+#: Words of its language's median that a text's own are mixed with, and the growth of different words with all.
+PRIOR_WORDS, GROWTH = 60, 0.85
+MARKS = ".,;:!?"
 
 
-def _repeated_words(words: list[bytes], window: int = WINDOW) -> int:
-    """Words in windows that occur twice or more; exact: windows are numbered by doubling 1, 2, 4, 8 words."""
+def _repeated_words(words: list[bytes], window: int = WINDOW) -> tuple[int, int]:
+    """(words in windows that occur twice or more, different words); exact: windows are numbered by doubling 1, 2, 4, 8 words."""
     n, seen = len(words), {}
     if n <= window:
-        return 0
+        return 0, len(set(words))
     ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), dtype=np.int64, count=n)
     if len(seen) == n:
-        return 0
+        return 0, n
     width = 1
     while width < window:
         _, ids, counts = np.unique(ids[:-width] * (n + 1) + ids[width:], return_inverse=True, return_counts=True)
         if len(counts) == len(ids):
-            return 0
+            return 0, len(seen)
         width *= 2
     twice = np.flatnonzero(counts[ids] > 1)
     edges = np.zeros(n + 1, np.int64)
     np.add.at(edges, twice, 1)
     np.add.at(edges, twice + window, -1)
-    return int((np.cumsum(edges[:-1]) > 0).sum())
+    return int((np.cumsum(edges[:-1]) > 0).sum()), len(seen)
 
 
 def statistics(text: str | None) -> tuple[int, ...]:
@@ -73,7 +84,8 @@ def statistics(text: str | None) -> tuple[int, ...]:
     words = text.encode("utf-8", "surrogatepass").split()  # bytes split at ASCII white space only
     lines = [x for x in text.split("\n") if x.encode("utf-8", "surrogatepass").split()]
     chars = len(text) - sum(map(text.count, " \t\n\x0b\x0c\r"))
-    return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), _repeated_words(words), len(lines)
+    repeated, different = _repeated_words(words)
+    return len(words), chars, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), sum(map(text.count, MARKS)), different
 
 
 def stats_of(text: Column) -> Column:
@@ -91,19 +103,19 @@ def base_failed() -> Column:
     return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
 
 
-def _vector(mean_length: Column) -> list[Column]:
+def _vector() -> list[Column]:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    length = (F.col("word_chars") + PRIOR_WORDS * mean_length) / (F.col("n_words") + PRIOR_WORDS)
     return [
-        F.ln(F.greatest(length, F.lit(1e-3))),
-        F.sqrt(F.col("n_symbols") / n),
-        F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
-        F.sqrt(F.col("n_repeat_words") / n),
+        F.ln(F.greatest(F.col("word_chars") / n, F.lit(1e-3))),
+        F.ln((F.col("n_marks") + 1) / (n + 2)),
+        F.ln(F.greatest(F.col("n_different"), F.lit(1))) - GROWTH * F.ln(n),
+        F.ln((F.col("n_symbols") + 1) / (n + 2)),
     ]
 
 
 _XS = [f"x{i}" for i in range(P)]
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+_GROUP, _SUMS = ["lang", "source"], [f"s{i}" for i in range(P)] + [f"q{i}{j}" for i in range(P) for j in range(i, P)]
 
 
 def _distance(mean: Column, inverse: Column) -> Column:
@@ -113,76 +125,65 @@ def _distance(mean: Column, inverse: Column) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def _levels() -> list[tuple[str, list[Column]]]:
-    """Each row counts for its group, for its language and for all."""
-    none = F.lit(None).cast("string")
-    return [F.struct(F.lit(2).alias("level"), F.col("lang"), F.col("source")), F.struct(F.lit(1).alias("level"), F.col("lang"), none.alias("source")), F.struct(F.lit(0).alias("level"), none.alias("lang"), none.alias("source"))]
-
-
 def _estimate(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sums to mean and inverse scatter, one row per group."""
-    n = np.maximum(pdf["n"].to_numpy(float), 1.0)
+    """Sums of groups beside their languages' (l_) to mean, inverse scatter and log determinant, one row per group."""
+    n, of = pdf["n"].to_numpy(float), pdf["l_n"].to_numpy(float)
     mean = pdf[[f"s{i}" for i in range(P)]].to_numpy(float) / n[:, None]
-    cov = np.zeros((len(pdf), P, P))
-    for i, j in _PAIRS:
-        cov[:, i, j] = cov[:, j, i] = pdf[f"q{i}{j}"].to_numpy(float) / n - mean[:, i] * mean[:, j]
-    # a kept share of KEEP makes scatters too small by this factor (chi-square consistency, P = 4)
-    cov = cov * 1.33 + np.diag(np.square(FLOOR))
+    centre = pdf[[f"l_s{i}" for i in range(P)]].to_numpy(float) / of[:, None]
+    square = lambda prefix: np.stack([np.stack([pdf[f"{prefix}{min(i, j)}{max(i, j)}"].to_numpy(float) for j in range(P)], axis=1) for i in range(P)], axis=1)
+    language = (square("l_c") + WEAK_ROWS * np.diag(np.square(WEAK))) / (of + WEAK_ROWS)[:, None, None]
+    cov = CONSISTENT * (square("c") + LANGUAGE_ROWS * language) / (n + LANGUAGE_ROWS)[:, None, None]
+    mean = (n[:, None] * mean + LOCATION_ROWS * centre) / (n + LOCATION_ROWS)[:, None]
     inverse, (_, logdet) = np.linalg.inv(cov), np.linalg.slogdet(cov)
-    keys = pdf[["level", "lang", "source", "start", "n"]].copy()
-    return keys.assign(mean=list(mean), inverse=[[m[i, j] for i, j in _PAIRS] for m in inverse], logdet=logdet)
+    return pdf[["lang", "source", "start"]].assign(mean=list(mean), inverse=[[m[i, j] for i, j in _PAIRS] for m in inverse], logdet=logdet)
 
 
-_EST = "level int, lang string, source string, start int, n long, mean array<double>, inverse array<double>, logdet double"
+_EST = "lang string, source string, start int, mean array<double>, inverse array<double>, logdet double"
 
 
-def _from_sums(rows: DataFrame) -> DataFrame:
-    sums = [F.count("*").alias("n"), *[F.sum(x).alias(f"s{i}") for i, x in enumerate(_XS)], *[F.sum(F.col(_XS[i]) * F.col(_XS[j])).alias(f"q{i}{j}") for i, j in _PAIRS]]
-    per_group = rows.groupBy("level", "lang", "source", "start").agg(*sums)
-    return per_group.mapInPandas(lambda it: (_estimate(pdf) for pdf in it if len(pdf)), _EST)
+def _from_sums(sums: DataFrame) -> DataFrame:
+    """Estimates of groups from rows (lang, source, start, n, _SUMS)."""
+    scatter = [(F.col(f"q{i}{j}") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n")).alias(f"c{i}{j}") for i, j in _PAIRS]
+    rows = sums.select(*_GROUP, "start", "n", *_SUMS[:P], *scatter)
+    summed = ["n", *_SUMS[:P], *[f"c{i}{j}" for i, j in _PAIRS]]
+    language = Window.partitionBy("lang", "start")  # a row per source
+    return rows.select("*", *[F.sum(c).over(language).alias(f"l_{c}") for c in summed]).mapInPandas(lambda it: (_estimate(pdf) for pdf in it if len(pdf)), _EST)
 
 
-def _on(names: list[str], prefix: str) -> Column:
-    """Equal names and prefixed names, null equal to null."""
-    cond = F.lit(True)
-    for k in names:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
-    return cond
+def _summed(rows: DataFrame, *by: str) -> DataFrame:
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(_XS)] + [F.sum(F.col(_XS[i]) * F.col(_XS[j])).alias(f"q{i}{j}") for i, j in _PAIRS]
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *sums)
 
 
-def _renamed(df: DataFrame, names: list[str], prefix: str) -> DataFrame:
-    return df.withColumnsRenamed({k: f"{prefix}{k}" for k in names})
+def _medians(rows: DataFrame, by: list[str], shares: tuple[float, ...] = (0.5,)) -> DataFrame:
+    """Exact quantiles of the vector in hundredths, of which there are a bounded number."""
+    return rows.groupBy(*by).agg(*[F.percentile(F.round(x, 2), list(shares)).alias(x) for x in _XS])
 
 
 def fit(stats: DataFrame) -> DataFrame:
-    """MCD estimates: one row (level, lang, source, rows, mean, inverse, logdet) per group, language and overall.
-
-    ``stats`` has lang, source and the vector x0.. of rows that pass the base
-    rule.
-    """
-    keys = ["level", "lang", "source"]
-    leveled = stats.select(F.explode(F.array(*_levels())).alias("g"), *_XS).select("g.level", "g.lang", "g.source", *_XS)
-    quartiles = leveled.groupBy(*keys).agg(F.count("*").alias("n"), *[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in _XS])
-    spread = [F.pow((F.get(x, F.lit(2)) - F.get(x, F.lit(0))) / 1.349, 2) + FLOOR[i] ** 2 for i, x in enumerate(_XS)]
-    inverse = F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i, j in _PAIRS])
-    medians = quartiles.select(*keys, F.lit(0).alias("start"), "n", F.array(*[F.get(x, F.lit(1)) for x in _XS]).alias("mean"), inverse.alias("inverse"), F.lit(None).cast("double").alias("logdet"))
-    now = cut(medians.unionByName(_from_sums(leveled.withColumn("start", F.lit(1)))))
-    # groups of proven number are broadcast, so that no level gathers its rows in one task
+    """MCD estimates: one row (lang, source, mean, inverse, logdet) per group of ``stats`` (lang, source, x0..); its keys are not null."""
+    stats = cut(stats)
+    quartiles = _medians(stats, _GROUP, (0.25, 0.5, 0.75))
+    spread = [F.pow((F.get(x, F.lit(2)) - F.get(x, F.lit(0))) / 1.349, 2) + 1e-2 * WEAK[i] ** 2 for i, x in enumerate(_XS)]
+    medians = quartiles.select(*_GROUP, F.lit(0).alias("start"), F.array(*[F.get(x, F.lit(1)) for x in _XS]).alias("mean"), F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i, j in _PAIRS]).alias("inverse"), F.lit(None).cast("double").alias("logdet"))
+    everything = _summed(stats, *_GROUP).withColumn("start", F.lit(1))
+    now = cut(medians.unionByName(_from_sums(everything)))
     small = _of_bounded_number(now)
-    sizes = now.filter("start = 0").select(*keys, F.col("n").alias("rows"))
-    for _ in range(STEPS):
-        near = leveled.join(small(_renamed(now.select(*keys, "start", "mean", "inverse"), keys, "e_")), _on(keys, "e_"))
-        scored = near.select(*keys, "start", *_XS, _distance(F.col("mean"), F.col("inverse")).alias("d2"))
-        most = scored.groupBy(*keys, "start").agg(F.percentile_approx("d2", KEEP, 1000).alias("most"))
-        of = [*keys, "start"]
-        after = cut(_from_sums(scored.join(small(_renamed(most, of, "m_")), _on(of, "m_")).filter("d2 <= most")))
-        before = _renamed(now.select(*of, F.col("logdet").alias("b_logdet")), of, "b_")
-        moved = not after.join(small(before), _on(of, "b_")).filter(F.coalesce(F.col("b_logdet") - F.col("logdet") > STILL, F.lit(True))).isEmpty()
+    of = [*_GROUP, "start"]
+    nearest = Window.partitionBy(*of).orderBy("far").rowsBetween(Window.unboundedPreceding, -1)  # a row per step of distance
+    for _ in range(MOST_STEPS):
+        scored = stats.join(small(now.select(*of, "mean", "inverse")), _GROUP)
+        far = F.floor(F.log2(_distance(F.col("mean"), F.col("inverse")) + 1e-6) * FINE)
+        rings = _summed(scored.withColumn("far", far), *of, "far").withColumn("before", F.coalesce(F.sum("n").over(nearest), F.lit(0)))
+        whole = F.sum("n").over(Window.partitionBy(*of))
+        core = rings.withColumn("all", whole).filter(F.col("before") < KEEP * F.col("all"))
+        after = cut(_from_sums(core.groupBy(*of).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _SUMS])))
+        before = now.select(*of, F.col("logdet").alias("was"))
+        moved = not after.join(small(before), of).filter(F.coalesce(F.abs(F.col("was") - F.col("logdet")) > STILL, F.lit(True))).isEmpty()
         now = after
         if not moved:
             break
-    best = now.groupBy(*keys).agg(F.min_by(F.struct("mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("best"))
-    return cut(best.join(_renamed(sizes, keys, "z_"), _on(keys, "z_")).select(*keys, "rows", "best.*"))
+    return now.groupBy(*_GROUP).agg(F.min_by(F.struct("mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("best")).select(*_GROUP, "best.*")
 
 
 def _of_bounded_number(groups: DataFrame):
@@ -190,53 +191,61 @@ def _of_bounded_number(groups: DataFrame):
     return F.broadcast if groups.limit(MOST_RULES + 1).count() <= MOST_RULES else lambda df: df
 
 
-def _rules(stats: DataFrame) -> DataFrame:
-    """(lang, source, mean_length, mean, inverse) for every group of ``stats`` (lang, source, STATS)."""
-    groups = ["lang", "source"]
-    words = cut(stats.groupBy(*groups).agg(F.try_divide(F.sum("word_chars"), F.sum("n_words")).alias("mean_length")))
-    words = words.withColumn("mean_length", F.coalesce("mean_length", F.lit(1.0)))
-    passed = stats.filter(~base_failed()).join(_renamed(words, groups, "w_"), _on(groups, "w_"))
-    fitted = fit(passed.select(*groups, *[x.alias(n) for x, n in zip(_vector(F.col("mean_length")), _XS, strict=True)]))
-    own = _renamed(fitted.filter((F.col("level") == 2) & (F.col("rows") >= LEAST)).select(*groups, F.struct("mean", "inverse").alias("own")), groups, "o_")
-    lang = fitted.filter((F.col("level") == 1) & (F.col("rows") >= LEAST)).select(F.col("lang").alias("l_lang"), F.struct("mean", "inverse").alias("of_lang"))
-    every = fitted.filter("level = 0").select(F.lit(True).alias("a"), F.struct("mean", "inverse").alias("of_all"))
-    rules = words.join(own, _on(groups, "o_"), "left").join(lang, _on(["lang"], "l_"), "left").withColumn("a", F.lit(True)).join(F.broadcast(every), "a", "left")  # every: one row
-    best = F.coalesce("own", "of_lang", "of_all")
-    return rules.select(*groups, "mean_length", best["mean"].alias("mean"), best["inverse"].alias("inverse"))
-
-
-def _judged(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """``rows`` (lang, source, STATS, ...) with base_failed, distance (null where no estimate exists) and kept."""
-    groups = ["lang", "source"]
-    joined = rows.join(_renamed(rules, groups, "r_"), _on(groups, "r_"))
-    joined = joined.withColumns(dict(zip(_XS, _vector(F.col("mean_length")), strict=True)))
+def _named(docs: DataFrame, lang_col: str, source_col: str, *more: Column) -> DataFrame:
+    """lang and source as keys that are never null, and ``more``."""
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit(""))
+    return docs.select(key(lang_col).alias("lang"), key(source_col).alias("source"), *more)
+
+
+def _placed(rows: DataFrame, centres: DataFrame) -> DataFrame:
+    """``rows`` (lang, STATS) with their vectors, pulled to ``centres`` (lang, x0..) as far as a text is short."""
+    own = F.col("n_words") / (F.col("n_words") + PRIOR_WORDS)
+    at = lambda i: F.get(f"c_{_XS[i]}", F.lit(0))
+    x = [at(i) + (v - at(i)) * own if i < P - 1 else v for i, v in enumerate(_vector())]
+    joined = rows.join(centres.withColumnsRenamed({c: f"c_{c}" for c in _XS}), "lang")
+    return joined.withColumns(dict(zip(_XS, x, strict=True))).drop(*[f"c_{c}" for c in _XS])
+
+
+def _rules(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(centres of languages, estimates of groups) of the rows of ``stats`` (lang, source, STATS) that pass the base rule."""
+    passed = stats.filter(~base_failed())
+    centres = cut(_medians(passed.withColumns(dict(zip(_XS, _vector(), strict=True))), ["lang"]))
+    centres = _of_bounded_number(centres)(centres)
+    rules = cut(fit(_placed(passed, centres).select(*_GROUP, *_XS)))
+    return centres, _of_bounded_number(rules)(rules.select(*_GROUP, "mean", "inverse"))
+
+
+def _judged(rows: DataFrame, centres: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` (lang, source, STATS, ...) with base_failed, distance (null for groups of which no row passes the base rule) and kept."""
+    own = rules.withColumnsRenamed({"lang": "r_lang", "source": "r_source"})
+    empty = F.array(F.lit(None).cast("double"))
+    all_centres = rows.select("lang").distinct().join(centres, "lang", "left").select("lang", *[F.coalesce(x, empty).alias(x) for x in _XS])
+    joined = _placed(rows, _of_bounded_number(all_centres)(all_centres)).join(own, (F.col("lang") == F.col("r_lang")) & (F.col("source") == F.col("r_source")), "left")
     joined = joined.withColumn("base_failed", base_failed()).withColumn("distance", _distance(F.col("mean"), F.col("inverse")))
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= BOUND)
-    return joined.withColumn("kept", kept).drop("r_lang", "r_source", "mean_length", "mean", "inverse", *_XS)
+    return joined.withColumn("kept", kept).drop("r_lang", "r_source", "mean", "inverse", *_XS)
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: id_col, STATS, base_failed, distance, kept.
 
     Null and empty texts have no words and fail the base rule. A null language
-    or source is a group of its own; groups of fewer than LEAST scored rows
-    take their language's estimate, or that of all. Where nothing passes the
-    base rule there is no estimate and the base rule alone decides. Repeated
-    rows give a row each; an empty table gives an empty one; other columns are
-    ignored.
+    or source is a group of its own. Where nothing of a group passes the base
+    rule there is no estimate, and none is needed. Repeated rows give a row
+    each; an empty table gives an empty one; other columns are ignored.
     """
-    named = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), stats_of(F.col(text_col)).alias("s"))
+    named = _named(docs, lang_col, source_col, F.col(f"`{id_col}`").alias("id"), stats_of(F.col(f"`{text_col}`")).alias("s"))
     stats = cut(named.select("id", "lang", "source", "s.*"))
-    return _judged(stats, _rules(stats)).drop("lang", "source").withColumnRenamed("id", id_col)
+    return _judged(stats, *_rules(stats)).select(F.col("id").alias(id_col), *STATS, "base_failed", "distance", "kept")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of ``docs`` that ``judge`` keeps, with all their columns. Texts are read twice and never shuffled."""
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), stats_of(F.col(text_col)).alias("s"))
-    stats = cut(named.select("lang", "source", "s.*"))
-    rules = _rules(stats)
-    rules = _of_bounded_number(rules)(rules)  # of proven size, so texts need no shuffle
-    return _judged(named.select("row", "lang", "source", "s.*"), rules).filter("kept").select("row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    text = stats_of(F.col(f"`{text_col}`")).alias("s")
+    stats = cut(_named(docs, lang_col, source_col, text).select("lang", "source", "s.*"))
+    centres, rules = _rules(stats)
+    return _judged(_named(docs, lang_col, source_col, row, text).select("row", "lang", "source", "s.*"), centres, rules).filter("kept").select("row.*")
 
 
 def op3_mcd_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
