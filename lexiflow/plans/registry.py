@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiflow.plans import chain, extras, families, rules, search, units, variants  # noqa: F401
+from lexiflow.plans import accounts, chain, extras, families, paths, rules, search, units, variants  # noqa: F401
 from lexiflow.plans.base import ORACLE_SQL, QUERIES  # noqa: F401
 
 #: Word overlap of the English and the French population.
