@@ -277,3 +277,58 @@ def a46(spark, d):
     return toks(spark, d, "prev").groupBy("lang").agg(r6(F.avg(F.when(~F.isnan(ratio), ratio))).alias("mean"))
 
 
+#: Splits of the sheets into a fitted and a held-out half.
+SPLITS = ("even", "odd", "early", "late")
+
+
+def split_counts(spark, d):
+    """(split, half, pop, cls, word, n): half 0 is fitted, 1 held out; populations are even and odd English sources."""
+    t = toks(spark, d, keep=("lang", "source")).filter("lang='en'")
+    even = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int") % 2 == 0
+    t = t.groupBy("sheet", F.when(even, "A").otherwise("B").alias("pop"), F.when(F.col("first"), "first").otherwise("body").alias("cls"), "word").agg(F.count("*").alias("n"))
+    parity, run = F.col("sheet") % 2, F.floor(F.col("sheet") / 2) % 2
+    halves = F.array(*[F.struct(F.lit(s).alias("split"), h.alias("half")) for s, h in zip(SPLITS, (parity, 1 - parity, run, 1 - run), strict=True)])
+    rows = t.select("pop", "cls", "word", "n", F.explode(halves).alias("s"))
+    return rows.groupBy("s.split", "s.half", "pop", "cls", "word").agg(F.sum("n").alias("n"))
+
+
+def rule_sets(spark, d):
+    """(rules, word, rule, front, dst): hits of all rules, and of the supported ones."""
+    from lexiflow.plans.rules import CATALOG
+
+    supported = [c for c, confidence, _, _ in CATALOG if confidence == "supported"]
+    names = F.when(F.col("rule").isin(*supported), F.array(F.lit("all"), F.lit("supported"))).otherwise(F.array(F.lit("all")))
+    return hits(spark, d).select(F.explode(names).alias("rules"), "word", "rule", "front", "dst")
+
+
+def fitted(spark, d):
+    from lexiflow.operators.graph import settled
+
+    rows, h = settled(fit.blocks(split_counts(spark, d))), settled(rule_sets(spark, d))
+    part = lambda half, pop: rows.filter((F.col("half") == half) & (F.col("pop") == pop)).drop("half", "pop")
+    theta, values = fit.fit_many(part(0, "A"), part(0, "B"), h)
+    return theta, values, fit.evaluate_many(part(1, "A"), part(1, "B"), h, theta)
+
+
+@query("c32_rule_sets")
+def c32b(spark, d):
+    """All rules against the supported ones over four splits, fitted in one job and scored on the held-out halves, with the mean and the number of splits higher or lower."""
+    out = fit.compare_rules(fitted(spark, d)[2], "all", "supported")
+    return out.select("split", *[r6(c).alias(c) for c in ("before", "compared", "active", "difference")], "higher", "lower")
+
+
+@query("c30_fractions")
+def c30b(spark, d):
+    """The fitted fraction of each cell, by split and rule set."""
+    return fitted(spark, d)[0].select("split", "rules", "cell", r6("theta").alias("theta"))
+
+
+@query("c30_cells_of_splits", MENU + HALF + """, sp AS (SELECT s.split, word, count(*) AS n FROM tokens, LATERAL (VALUES ('even', (page // 4) % 2), ('odd', 1 - (page // 4) % 2), ('early', (page // 4 // 2) % 2), ('late', 1 - (page // 4 // 2) % 2)) s(split, half) WHERE lang = 'en' AND s.half = 0 AND CAST(source[4:] AS INT) % 2 = 0 GROUP BY ALL),
+rs AS (SELECT DISTINCT r.rules, word, rule, front FROM hit, LATERAL (VALUES ('all'), ('supported')) r(rules) WHERE r.rules = 'all' OR rule IN ('ED_ING', 'RE_ER')),
+su AS (SELECT split, rules, rule, front, sum(n) AS support FROM sp JOIN rs USING (word) GROUP BY ALL), ow AS (SELECT *, support >= 5 AND front <> 'other' AS own FROM su),
+re AS (SELECT split, rules, rule, sum(support) AS rest FROM ow WHERE NOT own GROUP BY ALL)
+SELECT split, rules, rule, front, CASE WHEN own THEN rule || '|' || front ELSE rule || '|other' END AS cell FROM ow LEFT JOIN re USING (split, rules, rule) WHERE own OR rest >= 5""")
+def c30c(spark, d):
+    """Which cell each rule's front is fitted in, by split and rule set."""
+    counts = split_counts(spark, d).filter("half = 0 and pop = 'A'").groupBy("split", "word").agg(F.sum("n").alias("n"))
+    return fit.environments(counts, rule_sets(spark, d))
