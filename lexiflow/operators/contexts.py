@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiflow.operators.ranks import numbered, running
+
 
 def without_neighbours(toks: DataFrame, label: str, names: list[str]) -> DataFrame:
     return toks.filter(~F.col(label).isin(*names)) if names else toks
@@ -74,13 +76,14 @@ def exact_tests(tables: DataFrame, *keys: str) -> DataFrame:
 
 
 def holm(tests: DataFrame, p: str, *ties: str) -> DataFrame:
-    """Step-down adjusted p; a missing one counts as 1 and stays missing. One row per test: a bounded family."""
+    """Step-down adjusted p; a missing one counts as 1 and stays missing. Families of any size: ranks and maxima are put together from ranges."""
     filled = F.coalesce(F.col(p), F.lit(1.0))
-    order = Window.orderBy(filled, *ties)
-    ranked = tests.withColumn("rank", F.row_number().over(order)).withColumn("m", F.count("*").over(Window.partitionBy()))
-    step = F.least(F.lit(1.0), filled * (F.col("m") - F.col("rank") + 1))
-    adjusted = F.max(step).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return ranked.withColumn("adjusted", F.when(F.col(p).isNotNull(), adjusted)).drop("rank", "m")
+    order = [filled.asc(), *[F.col(t).asc() for t in ties]]
+    m = tests.agg(F.count("*").alias("_m"))  # one row
+    ranked = numbered(tests, order, name="_rank").crossJoin(F.broadcast(m))
+    step = F.least(F.lit(1.0), filled * (F.col("_m") - F.col("_rank") + 1))
+    out = running(ranked, step, [F.col("_rank").asc()], name="_most", largest=True)
+    return out.withColumn("adjusted", F.when(F.col(p).isNotNull(), F.col("_most"))).drop("_rank", "_m", "_most")
 
 
 def equal_odds(strata: DataFrame, *keys: str) -> DataFrame:

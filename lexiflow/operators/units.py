@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexiflow.operators.graph import settled
+from lexiflow.operators.ranks import running
+
 from lexiflow.operators.rates import PER
 
 
@@ -62,22 +65,29 @@ def statistics(rows: DataFrame, group: str, unit: str, match: str) -> DataFrame:
 
 def correlations(rows: DataFrame, x: str, y: str, *by: str) -> DataFrame:
     """Pearson and Spearman (average ranks); null under three rows or where a side is constant."""
-    x, y = F.col(x).cast("double"), F.col(y).cast("double")
-    part = Window.partitionBy(*by)
+    # equal pairs are counted first; ranks come from the counts of different values, so that no group is sorted in one task
+    by = list(by)
+    pairs = settled(rows.select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).groupBy(*by, "x", "y").agg(F.count("*").alias("c")))
 
-    def rank(c):
-        lower = F.rank().over(part.orderBy(c))
-        return lower + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2
+    def ranked(c):
+        counts = pairs.filter(F.col(c).isNotNull()).groupBy(*by, c).agg(F.sum("c").alias("k"))
+        upto = running(counts, F.col("k"), [F.col(c)], *by, name="upto")
+        return upto.select(*[F.col(g).alias(f"{c}_{g}") for g in by], F.col(c).alias(f"{c}_value"), (F.col("upto") - (F.col("k") - 1) / 2).alias(f"r{c}"))
 
-    rows = rows.select(*by, x.alias("x"), y.alias("y")).withColumn("rx", rank(F.col("x"))).withColumn("ry", rank(F.col("y")))
+    for c in ("x", "y"):
+        on = F.col(c) == F.col(f"{c}_value")
+        for g in by:
+            on = on & F.col(g).eqNullSafe(F.col(f"{c}_{g}"))
+        pairs = pairs.join(ranked(c), on, "left").drop(f"{c}_value", *[f"{c}_{g}" for g in by])
 
     def pearson(a, b):
-        n = F.count("*")
-        cov = n * F.sum(F.col(a) * F.col(b)) - F.sum(a) * F.sum(b)
-        va, vb = n * F.sum(F.col(a) * F.col(a)) - F.sum(a) * F.sum(a), n * F.sum(F.col(b) * F.col(b)) - F.sum(b) * F.sum(b)
+        total = lambda v: F.sum(v * F.col("c"))
+        a, b, n = F.col(a), F.col(b), F.sum("c")
+        cov = n * total(a * b) - total(a) * total(b)
+        va, vb = n * total(a * a) - total(a) * total(a), n * total(b * b) - total(b) * total(b)
         return F.when((n >= 3) & (va > 1e-9) & (vb > 1e-9), F.try_divide(cov, F.sqrt(va * vb)))
 
-    return rows.groupBy(*by).agg(pearson("x", "y").alias("pearson"), pearson("rx", "ry").alias("spearman"))
+    return pairs.groupBy(*by).agg(pearson("x", "y").alias("pearson"), pearson("rx", "ry").alias("spearman"))
 
 
 def nearest_rank(rows: DataFrame, value: str, q: float, *by: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiflow.operators.ranks import numbered
+
 # Site variables: key -> (pattern over the spaced units of a word, variants that count as new).
 # Groups of a pattern: what stays before, the variant, what stays after.
 # Units and variants.
@@ -94,8 +96,8 @@ def neighbour_test(pairs: DataFrame, shares: DataFrame, shuffles: int, seed: int
     pages by the order of a hash.
     """
     each = shares.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(shuffles))))
-    by = Window.partitionBy("draw", "grp")
-    ranked = each.withColumn("i", F.row_number().over(by.orderBy("page"))).withColumn("j", F.when(F.col("draw") == 0, F.col("i")).otherwise(F.row_number().over(by.orderBy(F.xxhash64(F.lit(seed), "draw", "page"), "page"))))
+    mixed = F.when(F.col("draw") == 0, F.lit(0)).otherwise(F.xxhash64(F.lit(seed), "draw", "page"))
+    ranked = numbered(numbered(each, [F.col("page").asc()], "draw", "grp", name="i"), [mixed.asc(), F.col("page").asc()], "draw", "grp", name="j")
     dealt = ranked.select("draw", "grp", "page", "i").join(ranked.select("draw", "grp", F.col("j").alias("i"), "share"), ["draw", "grp", "i"])
     s = dealt.select("draw", "page", "share")
     a, b = s.select("draw", F.col("page").alias("a"), F.col("share").alias("sa")), s.select("draw", F.col("page").alias("b"), F.col("share").alias("sb"))

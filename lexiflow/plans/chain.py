@@ -18,14 +18,14 @@ cr AS (SELECT *, sum(n) OVER (PARTITION BY col) AS total, n * 10000.0 / sum(n) O
 
 
 def counts(spark, d):
-    t = toks(spark, d, keep=("lang", "source")).filter("lang='en'").withColumn("col", F.regexp_extract("source", r"(\d+)$", 1).cast("int"))
+    t = toks(spark, d, keep=("lang", "source")).filter("lang='en'").withColumn("col", F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")).filter("col is not null")
     return chain.column_counts(t, "col")
 
 
 def order(spark, d) -> list[int]:
     """The columns of the chain: the numbers of all sources of English documents, a row each."""
-    number = F.regexp_extract("source", r"(\d+)$", 1).cast("int").alias("col")
-    return [r.col for r in C.table(spark, d, "documents").filter("lang='en'").select(number).distinct().sort("col").collect()]
+    number = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int").alias("col")
+    return [r.col for r in C.table(spark, d, "documents").filter("lang='en'").select(number).filter("col is not null").distinct().sort("col").collect()]
 
 
 def rates(spark, d):

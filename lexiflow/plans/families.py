@@ -120,7 +120,9 @@ def s12(spark, d):
     return fam.partition_faults(w.select(F.concat_ws("|", "prefix", "tail").alias("grp"), "word"), w).agg(F.count("*").alias("faults"))
 
 
-@query("s11_family_gate", FAM + " SELECT 0 AS faults")
+@query("s11_family_gate", FAM + """, w AS (SELECT DISTINCT word, site, prefix || '|' || tail AS family FROM fw), rt AS (SELECT s.word AS source, t.word AS target, s.site AS s, t.site AS t, s.family AS f, t.family AS g FROM w s JOIN w t ON s.family = t.family AND s.site = 'o' AND t.site = 'a'),
+ct AS (SELECT w.word, p.pop, coalesce(sum(fw.n), 0) AS n FROM w CROSS JOIN (VALUES ('A'), ('B')) p(pop) LEFT JOIN fw ON fw.word = w.word AND fw.pop = p.pop GROUP BY ALL)
+SELECT CAST((SELECT count(*) FROM (SELECT word FROM w GROUP BY word HAVING count(DISTINCT family) > 1)) + (SELECT count(*) FROM ct WHERE n IS NULL OR n < 0) + (SELECT count(*) FILTER (n_a IS NULL OR n_a <= 0) + count(*) FILTER (n_b IS NULL OR n_b <= 0) FROM sz) + (SELECT count(*) FROM rt WHERE f <> g OR s <> 'o' OR t <> 'a' OR source NOT IN (SELECT word FROM w) OR target NOT IN (SELECT word FROM w)) AS INT) AS faults""")
 def s11(spark, d):
     """The gate over families with a route from each t word to its k word; every count of either population is given."""
     w = site(spark, d).withColumn("family", F.concat_ws("|", "prefix", "tail")).withColumn("site", F.when(F.col("site") == "a", "k").otherwise("t"))

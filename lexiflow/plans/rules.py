@@ -18,7 +18,7 @@ menu AS (SELECT 'ED_ING' AS code, word AS src, word[:-3] || 'ing' AS dst FROM ew
   UNION ALL SELECT 'RE_ER', word, word[:-3] || 'er' FROM ew WHERE word LIKE '%re'
   UNION ALL SELECT 'EN_ER', word, word[:-3] || 'er' FROM ew WHERE word LIKE '%en'
   UNION ALL SELECT 'RE_IN', word, 'in' || word[3:] FROM ew WHERE word LIKE 're%'),
-edge AS (SELECT src, dst, array_to_string(list_sort(list_distinct(list(code))), '+') AS codes FROM menu WHERE dst IN (SELECT word FROM ew) AND dst <> src GROUP BY src, dst)"""
+edge AS MATERIALIZED (SELECT src, dst, array_to_string(list_sort(list_distinct(list(code))), '+') AS codes FROM menu WHERE dst IN (SELECT word FROM ew) AND dst <> src GROUP BY src, dst)"""
 
 
 def english(spark, d):
@@ -137,9 +137,6 @@ def c10(spark, d):
     return graph.incident(edges(spark, d)).filter("word like 'thin%'").groupBy("word").agg(F.array_join(F.array_sort(F.collect_list("near")), " ").alias("near"))
 
 
-COMPONENTS = MENU.replace("WITH", "WITH RECURSIVE", 1) + ", und AS (SELECT src AS a, dst AS b FROM edge UNION SELECT dst, src FROM edge)"
-
-
 @query("c11_c48_components")
 def c11(spark, d):
     """(word, component): the smallest word reachable."""

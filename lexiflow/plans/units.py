@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexiflow.operators import rates, units
+from lexiflow.operators.ranks import numbered
 from lexiflow.plans.base import query, r6
 from lexiflow.plans.search import toks
 from lexiflow.sources import corpus as C
@@ -110,4 +110,4 @@ def t1(spark, d):
 def t6(spark, d):
     rows = model(spark, d).select("lang", "page", F.when(F.col("code") != "none", r6(F.col("ing") * 10000.0 / F.col("tokens"))).alias("position"), (F.col("page") % 7).alias("rank"))
     order = units.path_order(rows, "position", "rank", "page")
-    return rows.select("lang", "page", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).alias("place"))
+    return numbered(rows, order, "lang").select("lang", "page", "place")
