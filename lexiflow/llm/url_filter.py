@@ -61,6 +61,10 @@ def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
+#: Letters by which a word is found in a name.
+PIECE = 24
+
+
 class Segmenter:
     """Unigram Viterbi. A letter sequence outside the vocabulary costs the more the longer it is.
 
@@ -83,22 +87,25 @@ class Segmenter:
             left -= k
         seeds = {w: max(counts.get(w, 0), 10 * usual) for w in SEEDS}
         self.total = sum(n * k for n, (k, _) in spread.items()) + sum(n - counts.get(w, 0) for w, n in seeds.items())
-        self.longest = min(24, max([*map(len, SEEDS), *(longest for _, longest in spread.values())]))
         self.cost = {w: -math.log(n / self.total) for w, n in {**counts, **seeds}.items()}
 
     def unknown(self, length: int) -> float:
         return math.log(self.total) + 2.3 * (length - 1)
 
     def pieces(self, name: str) -> list[str]:
-        """Different parts of ``name`` that can be words."""
-        return sorted({name[i : i + k] for i in range(len(name)) for k in range(2, min(self.longest, len(name) - i) + 1)})
+        """Different parts of ``name`` that can be words of at most PIECE letters, or begin longer ones."""
+        return sorted({name[i : i + k] for i in range(len(name)) for k in range(2, min(PIECE, len(name) - i) + 1)})
 
     def split(self, name: str, counts: dict[str, int] | None = None) -> tuple[str, ...]:
         known = {**{w: -math.log(n / self.total) for w, n in counts.items()}, **self.cost} if counts else self.cost
+        lengths = sorted({len(w) for w in known})
         best, back = [0.0], [0]
+        loose, since = math.inf, 0  # the best that ends in an unknown sequence, and where that one began
         for end in range(1, len(name) + 1):
-            options = [(best[s] + known.get(name[s:end], self.unknown(end - s)), s) for s in range(max(0, end - self.longest), end)]
-            cost, start = min(options)
+            longer, anew = loose + self.unknown(2) - self.unknown(1), best[end - 1] + self.unknown(1)
+            loose, since = (longer, since) if longer <= anew else (anew, end - 1)
+            options = [(best[end - k] + known[w], end - k) for k in lengths if k <= end and (w := name[end - k : end]) in known]
+            cost, start = min([*options, (loose, since)])
             best.append(cost)
             back.append(start)
         out, end = [], len(name)
@@ -131,7 +138,8 @@ def segmented(urls: DataFrame, words: DataFrame) -> DataFrame:
     each = both.select("host", "path", "pages", F.size("of_host").alias("hosts"), F.posexplode_outer(F.concat("of_host", "of_path")).alias("at", "name"))
     each = cut(each)
     different = each.filter(~F.col("name").rlike("^[0-9]")).select("name").distinct().withColumn("key", F.sha2("name", 256))
-    found = different.select("key", F.explode(pieces("name")).alias("word")).join(words, "word").groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("found"))
+    begun = words.withColumn("piece", F.left("word", F.lit(PIECE)))  # longer words are found by their beginning
+    found = different.select("key", F.explode(pieces("name")).alias("piece")).join(begun, "piece").groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("found"))
     parts = different.join(found, "key", "left").select("name", split("name", F.col("found.word"), F.col("found.n")).alias("parts"))
     joined = each.join(parts, "name", "left")
     split_to = F.when(F.col("name").isNull(), F.array().cast("array<string>")).otherwise(F.coalesce("parts", F.array(F.lit("#"))))

@@ -626,17 +626,17 @@ def test_deep_and_long_pages(spark):
 
 
 def test_every_word_counts_in_urls(spark):
-    rare = ["zygoblat", "zzfrumious"]
+    rare = ["zygoblat", "zzfrumious" + "qwertyuiop" * 3]  # the second is longer than what words are found by
     common = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) + "q" for i in range(60_000)]  # all before them by count
     html = [" ".join(common[i : i + 5000] * 2) for i in range(0, 60_000, 5000)] + [" ".join(rare)]
     df = spark.createDataFrame([(i, h) for i, h in enumerate(html)], "page_id long, html string")
-    urls = spark.createDataFrame([("zygoblatzzfrumious.12", "/Zygoblat/", 3), ("", "", 1)], "host string, path string, pages long")
+    urls = spark.createDataFrame([(f"{rare[0]}{rare[1]}.12", "/Zygoblat/", 3), ("", "", 1)], "host string, path string, pages long")
     got = {r.host: r for r in url_filter.segmented(urls, url_filter.word_counts(df)).collect()}
-    assert got["zygoblatzzfrumious.12"].tokens == [*rare, "#", "/zygoblat"] and got["zygoblatzzfrumious.12"].pages == 3
+    assert got[f"{rare[0]}{rare[1]}.12"].tokens == [*rare, "#", "/zygoblat"] and got[f"{rare[0]}{rare[1]}.12"].pages == 3
     assert got[""].tokens == [] and not got[""].seeded
 
     # the verdicts rest on the same words: brute force over all counts
-    hosts = ["zygoblatzzfrumious", "zygoblatcasino", "zzfrumious", "zygoblat"]
+    hosts = ["".join(rare), "zygoblatcasino", rare[1], "zygoblat"]
     judged = url_filter.judge(df.withColumn("url", F.concat(F.lit("http://"), F.array(*map(F.lit, hosts))[F.col("page_id").cast("int") % 4], F.lit("/"))))
     whole = url_filter.Segmenter(Counter(w for h in html for w in h.split()))
     folds = {r.host: r.f for r in spark.createDataFrame([(h,) for h in hosts], "host string").select("host", F.pmod(F.xxhash64(F.lit("fold"), "host"), F.lit(url_filter.FOLDS)).alias("f")).collect()}
@@ -704,5 +704,8 @@ def test_viterbi_is_optimal():
             for rest in every(name[i:]):
                 yield (name[:i], *rest)
 
+    long = "abcdefghijklmnopqrstuvwxyzabc"  # words of any length are words
+    t = url_filter.Segmenter({long: 30, "the": 50, long[:24]: 2})
+    assert t.split("the" + long + "the") == ("the", long, "the") and t.split("z" * 60 + "the") == ("z" * 60, "the")
     for name in ("therein", "inthere", "xthe", "rexin"):
         assert cost(s.split(name)) == pytest.approx(min(map(cost, every(name))))
