@@ -6,7 +6,7 @@ power of all words, log rate of symbols. The first three are pulled to their
 language's median as far as a text is short. For each language and source, the
 minimum covariance determinant (MCD) location and scatter are found by
 concentration steps over all rows: the rows nearest to the present estimate
-give the next one, until no determinant moves any more. Two starts are tried,
+give the next one, until no determinant falls any more; the smallest found counts. Two starts are tried,
 medians with the quartile range and all rows' mean and covariance, and the
 smaller determinant wins. A document is rejected when its squared Mahalanobis
 distance is over ``BOUND``.
@@ -37,8 +37,8 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 STAT_TYPE = "struct<" + ",".join(f"{c}:long" for c in STATS) + ">"
 #: Dimensions of the vector.
 P = 4
-#: Share of a group's rows that each concentration step keeps, the change of a log determinant that counts, and steps after which the search ends in any case.
-KEEP, STILL, MOST_STEPS = 0.75, 1e-3, 60
+#: Share of a group's rows that each concentration step keeps, the fall of a log determinant that counts, and steps after which the search ends in any case.
+KEEP, STILL, MOST_STEPS = 0.75, 1e-2, 60
 #: Squared distance over which a document is an outlier: distances of clean texts have a heavier tail than chi-square with 4 degrees of freedom.
 BOUND = 40.0
 #: Rows for which a language counts in the scatter and in the location of each of its groups.
@@ -167,7 +167,8 @@ def fit(stats: DataFrame) -> DataFrame:
     spread = [F.pow((F.get(x, F.lit(2)) - F.get(x, F.lit(0))) / 1.349, 2) + 1e-2 * WEAK[i] ** 2 for i, x in enumerate(_XS)]
     medians = quartiles.select(*_GROUP, F.lit(0).alias("start"), F.array(*[F.get(x, F.lit(1)) for x in _XS]).alias("mean"), F.array(*[1 / spread[i] if i == j else F.lit(0.0) for i, j in _PAIRS]).alias("inverse"), F.lit(None).cast("double").alias("logdet"))
     everything = _summed(stats, *_GROUP).withColumn("start", F.lit(1))
-    now = cut(medians.unionByName(_from_sums(everything)))
+    own = F.struct("mean", "inverse", "logdet")
+    now = cut(medians.unionByName(_from_sums(everything)).withColumn("best", F.when(F.col("logdet").isNotNull(), own)))
     small = _of_bounded_number(now)
     of = [*_GROUP, "start"]
     nearest = Window.partitionBy(*of).orderBy("far").rowsBetween(Window.unboundedPreceding, -1)  # a row per step of distance
@@ -177,13 +178,13 @@ def fit(stats: DataFrame) -> DataFrame:
         rings = _summed(scored.withColumn("far", far), *of, "far").withColumn("before", F.coalesce(F.sum("n").over(nearest), F.lit(0)))
         whole = F.sum("n").over(Window.partitionBy(*of))
         core = rings.withColumn("all", whole).filter(F.col("before") < KEEP * F.col("all"))
-        after = cut(_from_sums(core.groupBy(*of).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _SUMS])))
-        before = now.select(*of, F.col("logdet").alias("was"))
-        moved = not after.join(small(before), of).filter(F.coalesce(F.abs(F.col("was") - F.col("logdet")) > STILL, F.lit(True))).isEmpty()
-        now = after
-        if not moved:
+        estimate = _from_sums(core.groupBy(*of).agg(F.sum("n").alias("n"), *[F.sum(c).alias(c) for c in _SUMS]))
+        beside = estimate.join(small(now.select(*of, F.col("best").alias("was"))), of)
+        less = F.coalesce(F.col("logdet") < F.col("was.logdet"), F.lit(True))
+        now = cut(beside.select(*of, "mean", "inverse", "logdet", F.when(less, own).otherwise(F.col("was")).alias("best"), F.coalesce(F.col("was.logdet") - F.col("logdet") > STILL, F.lit(True)).alias("fell")))
+        if now.filter("fell").isEmpty():
             break
-    return now.groupBy(*_GROUP).agg(F.min_by(F.struct("mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("best")).select(*_GROUP, "best.*")
+    return now.groupBy(*_GROUP).agg(F.min_by("best", F.struct("best.logdet", "start")).alias("best")).select(*_GROUP, "best.*")
 
 
 def _of_bounded_number(groups: DataFrame):
