@@ -44,7 +44,7 @@ BOUND = 40.0
 #: Rows for which a language counts in the scatter and in the location of each of its groups.
 LANGUAGE_ROWS, LOCATION_ROWS = 50, 5
 #: Rows and standard deviations of the weak scatter that keeps few rows from being taken for a distribution.
-WEAK_ROWS, WEAK = 20, (0.3, 0.5, 0.3, 1.5)
+WEAK_ROWS, WEAK = 4, (0.15, 0.4, 0.15, 1.5)
 #: Kept shares of KEEP make scatters too small by this factor (chi-square consistency, P = 4).
 CONSISTENT = 1.33
 #: Steps of distance to a doubling.
