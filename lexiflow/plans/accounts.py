@@ -124,3 +124,27 @@ def c31b(spark, d):
     out, into = (live.select(F.col(c).alias("word")).distinct().withColumn(n, F.lit(True)) for c, n in (("src", "route_out"), ("dst", "route_in")))
     words = rows.filter("abs(a - b) > 1e-9").select("word", "sheets_a", "sheets_b")
     return words.join(out, "word", "left").join(into, "word", "left").fillna(False, ["route_out", "route_in"])
+
+
+@query("c16_policy_credits")
+def c16(spark, d):
+    """Credit of the families that rules and the exchange of o for a make, under policies for exchanges and on both bases, against no exchange."""
+    from lexiflow.operators import families, policies
+
+    part = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int") % 2
+    t = toks(spark, d, keep=("lang", "source")).filter("lang = 'en'").withColumn("word", W.merged(F.col("word"))).withColumn("part", part).filter("word <> '' and part is not null")
+    r = rate_ops.rates(rate_ops.word_counts(t, "part"), "part")
+    at = lambda i, c, zero: F.coalesce(F.max(F.when(F.col("part") == i, F.col(c))), F.lit(zero))
+    wide = graph.settled(r.groupBy("word").agg(at(0, "rate", 0.0).alias("a"), at(1, "rate", 0.0).alias("b"), at(0, "n", 0).alias("n_a"), at(1, "n", 0).alias("n_b")))
+    rules = routes(spark, d).select(F.col("src").alias("source"), F.col("dst").alias("target"), F.lit(False).alias("exchange"), F.lit(False).alias("after_o"))
+    swapped = F.regexp_replace("word", "o", "a")
+    pairs = wide.filter("word like '%o%'").select(F.col("word").alias("source"), swapped.alias("target"), F.lit(True).alias("exchange"), F.col("word").rlike("[aeiou]o").alias("after_o"))
+    pairs = pairs.join(wide.select(F.col("word").alias("target")), "target", "left_semi")
+    every = graph.settled(rules.unionByName(pairs.select(rules.columns)))
+    of = graph.settled(graph.components(every.select(F.col("source").alias("src"), F.col("target").alias("dst"))))
+    words = graph.settled(wide.join(of, "word").withColumnRenamed("component", "family"))
+    owned = graph.settled(every.join(of.select(F.col("word").alias("source"), F.col("component").alias("family")), "source"))
+    found = policies.against_none(*policies.solve(words, owned))
+    sums = found.groupBy("policy", "basis").agg(*[F.sum(c).alias(c) for c in ("before", "after", "gross_gain", "loss")])
+    gains = families.totals(found.select("policy", "basis", "family", "gain"), "policy", "basis")
+    return rounded(sums.join(gains, ["policy", "basis"]), "policy", "basis", "positive")
