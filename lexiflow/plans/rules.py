@@ -119,6 +119,41 @@ def a6(spark, d):
     return s.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes])
 
 
+CONTEXT = MENU + """, cx AS (SELECT regexp_replace(word, '^q', '') AS word, idx = 0 AS start, coalesce(prev LIKE 'th%', false) AS th, idx + 1 = size AS fin, first, count(*) AS n FROM tokens WHERE lang = 'en' AND word <> 'q' GROUP BY ALL),
+br0 AS (SELECT word, n, 'ED_ING' AS code, [word[:-3] || 'ing'] AS outs, 0.3 AS w FROM cx WHERE start AND word LIKE '%ed'
+  UNION ALL SELECT word, n, 'ER_ING', [word[:-3] || 'ing'], 0.25 FROM cx WHERE th AND word LIKE '%er'
+  UNION ALL SELECT word, n, 'RE_ER', [word[:-3] || 'er'], 0.2 FROM cx WHERE first AND word LIKE '%re'
+  UNION ALL SELECT cx.word, n, 'ANY', m.outs, 0.2 FROM cx JOIN (SELECT src, list(DISTINCT dst) AS outs FROM edge GROUP BY src) m ON m.src = cx.word WHERE fin),
+br AS (SELECT word, code, unnest(outs) AS dst, n * w / len(outs) AS mass FROM br0 WHERE NOT (len(outs) = 1 AND outs[1] = word)),
+go AS (SELECT word, dst, code, sum(mass) AS mass FROM br GROUP BY ALL)"""
+
+
+def in_context(spark, d):
+    """Rules that look at a word's place, line and neighbour, and a menu of all attested outputs at line ends."""
+    t = toks(spark, d, "prev", "size").filter("lang='en'").withColumn("word", W.merged(F.col("word"))).filter("word <> ''")
+    start, fin, th = F.col("idx") == 0, F.col("idx") + 1 == F.col("size"), F.coalesce(F.col("prev").startswith("th"), F.lit(False))
+    cells = t.groupBy("word", start.alias("start"), th.alias("th"), fin.alias("fin"), "first").agg(F.count("*").alias("n"))
+    known = edges(spark, d).groupBy(F.col("src").alias("word")).agg(F.collect_set("dst").alias("outs")).withColumn("code", F.lit("ANY"))
+    case = rules.ContextRule
+    which = [
+        case("ED_ING", "suffix", 0.3, "ed", "ing", F.col("start")),
+        case("ER_ING", "suffix", 0.25, "er", "ing", F.col("th")),
+        case("RE_ER", "suffix", 0.2, "re", "er", F.col("first")),
+        case("ANY", "known", 0.2, where=F.col("fin")),
+    ]
+    return rules.simulate_in_context(cells, which, known)
+
+
+@query("c1_context_simulation", CONTEXT + " SELECT word, round(sum(mass), 6) AS mass FROM (SELECT word, n AS mass FROM ew UNION ALL SELECT word, -mass FROM go UNION ALL SELECT dst, mass FROM go) GROUP BY word")
+def c1b(spark, d):
+    return in_context(spark, d)[0].select("word", r6("mass").alias("mass"))
+
+
+@query("j5_context_routes", CONTEXT + " SELECT word, dst, code, round(mass, 6) AS mass FROM go")
+def j5(spark, d):
+    return in_context(spark, d)[1].select("word", "dst", "code", r6("mass").alias("mass"))
+
+
 # Graph
 
 

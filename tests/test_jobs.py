@@ -148,6 +148,18 @@ def test_simulation_budget_and_outputs(spark):
         rules.simulate(counts, [("A", "prefix", "b", "q", 0.5)])[0].collect()
 
 
+def test_simulation_in_context(spark):
+    cells = spark.createDataFrame([("baked", True, 6), ("baked", False, 4), ("king", True, 2)], "word string, start boolean, n long")
+    menu = spark.createDataFrame([("M", "king", ["kong", "king"]), ("M", "baked", ["baked"]), ("X", "king", ["x"])], "code string, word string, outs array<string>")
+    rule = rules.ContextRule
+    after, routes = rules.simulate_in_context(cells, [rule("A", "suffix", 0.5, "ed", "ing", F.col("start")), rule("M", "known", 0.4)], menu)
+    got = {r.word: r.mass for r in after.collect()}
+    assert got == pytest.approx({"baked": 7.0, "baking": 3.0, "king": 1.6, "kong": 0.4})
+    assert {(r.word, r.dst, r.code): r.mass for r in routes.collect()} == pytest.approx({("baked", "baking", "A"): 3.0, ("king", "kong", "M"): 0.4, ("king", "king", "M"): 0.4})
+    with pytest.raises(Exception, match="over 100%"):
+        rules.simulate_in_context(cells, [rule("A", "suffix", 0.8, "ed", "ing"), rule("B", "prefix", 0.4, "b", "c")])[0].collect()
+
+
 def test_live_routes(spark):
     r = spark.createDataFrame([("a", ["X+Y"]), ("b", ["X", "Z.2"]), ("c", ["X.1"])], "w string, codes array<string>")
     assert {x.w for x in rules.live_routes(r, ["X", "Y"]).collect()} == {"a", "c"}
