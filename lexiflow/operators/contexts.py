@@ -56,25 +56,6 @@ def contrast(rows: DataFrame, gap: float = 0.01, lift: float = 2.0, large: float
     )
 
 
-def log_factorial(n: Column) -> Column:
-    """ln n!: exact sums to 20, Stirling's series beyond (error under 1e-12)."""
-    x = F.greatest(n.cast("double"), F.lit(1.0))
-    series = x * F.ln(x) - x + 0.5 * F.ln(2 * 3.141592653589793 * x) + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
-    return F.when(n <= 20, F.ln(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
-
-
-def exact_tests(tables: DataFrame, *keys: str) -> DataFrame:
-    """Two-sided fixed-margin p of tables (h1 hits of n1 selected, h hits of n): sums all tables as unlikely or more."""
-    choose = lambda n, k: log_factorial(n) - log_factorial(k) - log_factorial(n - k)
-    n0 = F.col("n") - F.col("n1")
-    weight = lambda k: choose(F.col("n1"), k) + choose(n0, F.col("h") - k)
-    lo, hi = F.greatest(F.lit(0), F.col("h") - n0), F.least("h", "n1")
-    rows = tables.select(*keys, "h1", "h", "n1", "n", weight(F.col("h1")).alias("own"), F.explode(F.sequence(lo, hi)).alias("k"))
-    w = weight(F.col("k"))
-    total = choose(F.col("n"), F.col("h"))
-    return rows.groupBy(*keys).agg(F.least(F.lit(1.0), F.sum(F.when(w <= F.col("own") + 1e-9, F.exp(w - total)).otherwise(0.0))).alias("p"))
-
-
 def holm(tests: DataFrame, p: str, *ties: str) -> DataFrame:
     """Step-down adjusted p; a missing one counts as 1 and stays missing. Families of any size: ranks and maxima are put together from ranges."""
     filled = F.coalesce(F.col(p), F.lit(1.0))
@@ -85,23 +66,3 @@ def holm(tests: DataFrame, p: str, *ties: str) -> DataFrame:
     out = running(ranked, step, [F.col("_rank").asc()], name="_most", largest=True)
     return out.withColumn("adjusted", F.when(F.col(p).isNotNull(), F.col("_most"))).drop("_rank", "_m", "_most")
 
-
-def equal_odds(strata: DataFrame, *keys: str) -> DataFrame:
-    """Two-sided p of equal odds over two strata: tables (keys, stratum, h1, h, n1, n).
-
-    The distribution of all hits in focus is the convolution of the strata's:
-    a join of their few possible counts on the key. Tests of a handful of keys.
-    """
-    choose = lambda n, k: log_factorial(n) - log_factorial(k) - log_factorial(n - k)
-    n0 = F.col("n") - F.col("n1")
-    lo, hi = F.greatest(F.lit(0), F.col("h") - n0), F.least("h", "n1")
-    rows = strata.select(*keys, "stratum", "h1", "h", "n1", "n", F.explode(F.sequence(lo, hi)).alias("_k"))
-    lw = choose(F.col("n1"), F.col("_k")) + choose(n0, F.col("h") - F.col("_k")) - choose(F.col("n"), F.col("h"))
-    rows = rows.select(*keys, "stratum", "h1", "_k", F.exp(lw).alias("_w"))
-    first = strata.groupBy(*keys).agg(F.min("stratum").alias("s0"), F.max("stratum").alias("s1"), F.sum("h1").alias("hits"))
-    rows = rows.join(first, list(keys))
-    a = rows.filter("stratum = s0").select(*keys, "hits", F.col("_k").alias("ka"), F.col("_w").alias("wa"))
-    b = rows.filter("stratum = s1 and s1 <> s0").select(*keys, F.col("_k").alias("kb"), F.col("_w").alias("wb"))
-    both = a.join(b, list(keys)).groupBy(*keys, "hits", (F.col("ka") + F.col("kb")).alias("_k")).agg(F.sum(F.col("wa") * F.col("wb")).alias("_w"))
-    own = both.filter("_k = hits").select(*keys, F.col("_w").alias("own"))
-    return both.join(own, list(keys)).groupBy(*keys).agg(F.least(F.lit(1.0), F.sum(F.when(F.col("_w") <= F.col("own") * (1 + 1e-9), F.col("_w")).otherwise(0.0))).alias("p"))

@@ -5,19 +5,27 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiflow.functions import words as W
-from lexiflow.operators import contexts
+from lexiflow.operators import exact
 from lexiflow.plans.base import query, r6
-from lexiflow.plans.search import pair, toks
+from lexiflow.plans.search import first_lines, pair, toks
 from lexiflow.sources import corpus as C
 
 
-@query("c7_equal_odds")
+ODDS = """, t AS (SELECT lang, word, count(*) FILTER (first) AS h1, count(*) AS h FROM tokens WHERE lang IN ('en','fr') GROUP BY ALL), m AS (SELECT lang, sum(h1)::BIGINT AS n1, sum(h)::BIGINT AS n FROM t GROUP BY lang),
+s AS (SELECT * FROM t JOIN m USING (lang)),
+v AS (SELECT word, a.h1, a.h, a.n1, a.n, coalesce(b.h, 0) AS g, coalesce(b.n1, 0) AS m1, coalesce(b.n, 0) AS m, a.h1 + coalesce(b.h1, 0) AS tot FROM (SELECT * FROM s WHERE lang = 'en') a LEFT JOIN (SELECT * FROM s WHERE lang = 'fr') b USING (word)
+  UNION ALL SELECT word, h1, h, n1, n, 0, 0, 0, h1 FROM s WHERE lang = 'fr' AND word NOT IN (SELECT word FROM s WHERE lang = 'en')),
+r AS (SELECT *, greatest(0, h - (n - n1), tot - least(g, m1)) AS lo, least(h, n1, tot - greatest(0, g - (m - m1))) AS hi FROM v),
+x AS (SELECT *, unnest(range(lo, hi + 1)) AS k FROM r),
+lw AS (SELECT word, h1, k, coalesce(sum(ln((n1 - k + 1)::DOUBLE * (h - k + 1) / (k::DOUBLE * (n - n1 - h + k)) * ((tot - k + 1)::DOUBLE * (m - m1 - g + tot - k + 1)) / ((m1 - tot + k)::DOUBLE * (g - tot + k)))) FILTER (k > lo) OVER (PARTITION BY word ORDER BY k), 0) AS l FROM x),
+pk AS (SELECT word, max(l) AS top, max(l) FILTER (k = h1) AS own FROM lw GROUP BY word)"""
+
+
+@query("c7_equal_odds", ODDS + " SELECT word, round(least(1, sum(exp(l - top)) FILTER (l <= own + 1e-9) / sum(exp(l - top))), 6) AS p FROM lw JOIN pk USING (word) GROUP BY word")
 def c7(spark, d):
-    """Exact test of hits in first lines over two strata (en, fr) with equal odds."""
-    n = toks(spark, d).filter("lang in ('en','fr') and word in ('de','on','en','an','re')").groupBy("lang", "word").agg(F.count_if("first").alias("h1"), F.count("*").alias("h"))
-    totals = toks(spark, d).filter("lang in ('en','fr')").groupBy("lang").agg(F.count_if("first").alias("n1"), F.count("*").alias("n"))
-    rows = n.join(F.broadcast(totals), "lang")
-    return contexts.equal_odds(rows.withColumnRenamed("lang", "stratum"), "word").select("word", r6("p").alias("p"))
+    """Exact test of all words of two strata (en, fr): equal odds of standing in first lines."""
+    rows = first_lines(spark, d).filter("lang in ('en','fr')").withColumnRenamed("lang", "stratum")
+    return exact.equal_odds(rows, "word").select("word", r6("p").alias("p"))
 
 
 @query("f6_evaluation_keys", "SELECT lang, CASE WHEN lang IN ('en','fr') THEN '1' ELSE '2' END AS split, '1' AS fit, '2' AS test FROM (SELECT DISTINCT lang FROM documents)", base=False)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.functions import words as W
 from lexiflow.functions.pattern import glob, matcher, rate_base
-from lexiflow.operators import contexts, rates
+from lexiflow.operators import contexts, exact, rates
 from lexiflow.plans.base import query, r6
 from lexiflow.sources import corpus as C
 
@@ -303,15 +303,36 @@ def c8(spark, d):
     return rows.select("word", r6("effect").alias("effect"), (F.col("effect") > 1e-9).alias("shared"))
 
 
-@query("c6_w3_exact_tests_holm")
+#: Weights of all tables with the margins of each word, from running sums of their ratios' logarithms.
+EXACT = """, t AS (SELECT lang, word, count(*) FILTER (first) AS h1, count(*) AS h FROM tokens GROUP BY ALL), m AS (SELECT lang, sum(h1)::BIGINT AS n1, sum(h)::BIGINT AS n FROM t GROUP BY lang),
+g AS (SELECT DISTINCT lang, h, n1, n FROM t JOIN m USING (lang)), x AS (SELECT *, unnest(range(greatest(0, h - (n - n1)), least(h, n1) + 1)) AS k FROM g),
+lw AS (SELECT *, coalesce(sum(ln((n1 - k + 1)::DOUBLE * (h - k + 1) / (k::DOUBLE * (n - n1 - h + k)))) FILTER (k > greatest(0, h - (n - n1))) OVER (PARTITION BY lang, h ORDER BY k), 0) AS l FROM x),
+pk AS (SELECT lang, h, max(l) AS top FROM lw GROUP BY ALL), w AS (SELECT lang, h, k, l, exp(l - top) AS w FROM lw JOIN pk USING (lang, h)),
+hh AS (SELECT DISTINCT lang, h, h1 FROM t), own AS (SELECT hh.*, w.l AS own FROM hh JOIN w ON w.lang = hh.lang AND w.h = hh.h AND w.k = hh.h1),
+e AS (SELECT lang, h, h1, least(1, sum(w) FILTER (l <= own + 1e-9) / sum(w)) AS p, least(1, coalesce(sum(w) FILTER (k >= h1), 0) / sum(w)) AS greater FROM own JOIN w USING (lang, h) GROUP BY ALL)"""
+
+
+def first_lines(spark, d):
+    """(lang, word, h1, h, n1, n): tokens of the word in first lines and in all, and those of the language."""
+    n = toks(spark, d).groupBy("lang", "word").agg(F.count_if("first").alias("h1"), F.count("*").alias("h"))
+    totals = n.groupBy(F.col("lang").alias("l")).agg(F.sum("h1").alias("n1"), F.sum("h").alias("n"))
+    return n.join(totals, F.col("lang").eqNullSafe(F.col("l"))).drop("l")
+
+
+@query("c6_w3_exact_tests_holm", EXACT + ", j AS (SELECT word, p, row_number() OVER (ORDER BY p, word) AS r, count(*) OVER () AS m FROM t JOIN e USING (lang, h, h1) WHERE lang = 'en') SELECT word, round(p, 6) AS p, round(max(least(1, p * (m - r + 1))) OVER (ORDER BY r), 6) AS adjusted FROM j")
 def c6(spark, d):
-    """Fixed-margin exact tests of words in first lines, Holm-adjusted."""
-    n = toks(spark, d).filter("lang='en'").groupBy("word").agg(F.count_if("first").alias("h1"), F.count("*").alias("h")).filter("h >= 50")
-    totals = toks(spark, d).filter("lang='en'").agg(F.count_if("first").alias("n1"), F.count("*").alias("n"))
-    tested = contexts.exact_tests(n.crossJoin(F.broadcast(totals)), "word")
+    """Fixed-margin exact tests of all English words in first lines, Holm-adjusted."""
+    tested = exact.fixed_margins(first_lines(spark, d).filter("lang='en'"), "word")
     return contexts.holm(tested, "p", "word").select("word", r6("p").alias("p"), r6("adjusted").alias("adjusted"))
 
 
+@query("c8_exact_shared", EXACT + " SELECT word, round(min(h1 * 1.0 / n1 - (h - h1) * 1.0 / (n - n1)), 6) AS effect, round(max(greater), 6) AS p FROM t JOIN m USING (lang) JOIN e USING (lang, h, h1) WHERE lang IN ('en', 'fr') GROUP BY word HAVING count(*) = 2")
+def c8b(spark, d):
+    """Words that are enriched in first lines of both populations, by exact one-sided tests."""
+    s = exact.shared_enrichment(first_lines(spark, d).filter("lang in ('en','fr')"), "lang", "word")
+    return s.select("word", r6("effect").alias("effect"), r6("p").alias("p"))
+
+
 @query("c43_two_searches", "SELECT lang AS side, word, count(*) AS n FROM tokens WHERE lang IN ('en','de') AND word LIKE '%er' AND idx = 0 GROUP BY ALL")
 def c43(spark, d):
     t = where(spark, d, glob("*er").where("li"))
