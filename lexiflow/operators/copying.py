@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCOPES = ("page", "local3", "local10", "usual")
+from lexiflow.operators.ranks import numbered
 
 
 def reconcile(events: DataFrame, toks: DataFrame) -> DataFrame:
@@ -17,16 +17,6 @@ def reconcile(events: DataFrame, toks: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).drop("found", "last")
 
 
-def in_scope(distance: Column, donor_line: Column, line: Column) -> dict[str, Column]:
-    """Whether a donor counts in each scope; the usual page leaves out its first two lines once three are complete."""
-    return {
-        "page": F.lit(True),
-        "local3": distance <= 3,
-        "local10": distance <= 10,
-        "usual": F.when(line >= 3, donor_line >= 2).otherwise(donor_line == line - 1),
-    }
-
-
 def donor_flags(events: DataFrame) -> DataFrame:
     """Events (page, family, word, new, line, idx) with the number of donors in each scope and of later exact words.
 
@@ -76,12 +66,64 @@ def persistence(events: DataFrame, horizon: int = 3) -> DataFrame:
     return news.groupBy("page", "family").agg(F.count_if((F.col("line") > F.col("start")) & (F.col("line") <= F.col("start") + horizon)).alias("again"))
 
 
-def shuffled_lines(events: DataFrame, seed: int) -> DataFrame:
-    """Events with the lines of each page in a random order that depends on the seed."""
-    lines = events.select("page", "line").distinct()
-    order = Window.partitionBy("page").orderBy(F.xxhash64(F.lit(seed), "page", "line"), "line")
-    new = lines.withColumn("to", F.row_number().over(order) - 1)
-    return events.join(new, ["page", "line"]).withColumn("line", F.col("to").cast("long")).drop("to")
+def shuffled_lines(events: DataFrame, runs: int) -> DataFrame:
+    """Events once for each run 0 to ``runs``, with ``run``; run 0 is as given.
+
+    In the others the lines of a page change places: the numbers of its lines
+    that hold events are dealt out anew, in the order of a digest of run, page
+    and line. Only the lines of one page meet.
+    """
+    lines = events.select("page", "line").distinct().withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs))))
+    page = Window.partitionBy("run", "page")
+    mixed = F.when(F.col("run") > 0, F.md5(F.concat_ws(":", "run", "page", "line"))).otherwise("")
+    placed = lines.withColumn("i", F.row_number().over(page.orderBy("line"))).withColumn("j", F.row_number().over(page.orderBy(mixed, "line")))
+    there = placed.select("run", "page", F.col("i").alias("j"), F.col("line").alias("to"))
+    moves = placed.join(there, ["run", "page", "j"]).select("run", "page", "line", "to")
+    return events.join(moves, ["page", "line"]).withColumn("line", F.col("to")).drop("to")
+
+
+def spread(rows: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by, observed, mean, low, high, p) of rows (by, run, value): run 0 against the others.
+
+    low and high hold the middle 95 % of the runs (nearest ranks); p is the share
+    of runs, the observed one among them, that are as large or larger. A row of
+    the groups holds one number a run, whatever the size of the data.
+    """
+    drawn, own = F.array_sort(F.collect_list(F.when(F.col("run") > 0, F.col(value)))), F.max(F.when(F.col("run") == 0, F.col(value)))
+    each = rows.groupBy(*by).agg(own.alias("observed"), F.avg(F.when(F.col("run") > 0, F.col(value))).alias("mean"), drawn.alias("_drawn"))
+    n = F.size("_drawn")
+    at = lambda q: F.get("_drawn", F.floor(q * (n - 1) + 0.5).cast("int"))
+    more = F.size(F.filter("_drawn", lambda v: v >= F.col("observed")))
+    return each.select(*by, "observed", "mean", at(0.025).alias("low"), at(0.975).alias("high"), ((more + 1) / (n + 1)).alias("p"))
+
+
+def order_control(events: DataFrame, runs: int, *by: str) -> DataFrame:
+    """(by, scope, targets, observed, mean, low, high, p): targets with an earlier donor, in the given and in shuffled line orders.
+
+    All runs are one job: a page of a run counts as a page of its own.
+    """
+    apart = shuffled_lines(events, runs).withColumn("page", F.struct("run", "page")).drop("run")
+    flags = donor_flags(apart).select("page.run", *by, F.explode(F.array(*[F.struct(F.lit(c).alias("scope"), (F.col(c) > 0).alias("has")) for c in ("page_donors", "local3", "local10")])).alias("s"))
+    counts = flags.groupBy("run", *by, "s.scope").agg(F.count("*").alias("targets"), F.count_if("s.has").cast("long").alias("with_donor"))
+    targets = counts.filter("run = 0").select(*[F.col(c).alias(f"_{c}") for c in by], F.col("scope").alias("_scope"), "targets")
+    on = F.col("scope") == F.col("_scope")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return spread(counts, "with_donor", *by, "scope").join(targets, on).drop("_scope", *[f"_{c}" for c in by])
+
+
+def replicates(pages: DataFrame, runs: int) -> DataFrame:
+    """(run, stage, n, k) of pages (page, stage, n, k): run 0 is as observed, in the others pages are dealt to the stages anew.
+
+    A stage keeps its number of pages. Pages are numbered in the order of their
+    stages and in that of a digest of run and page, and the two numbers meet;
+    no stage is sorted in one task.
+    """
+    slots = numbered(pages.select("stage", "page"), [F.col("stage").asc(), F.col("page").asc()], name="place").select("stage", "place")
+    each = pages.select("page", F.col("stage").alias("own"), "n", "k", F.explode(F.sequence(F.lit(0), F.lit(runs))).alias("run"))
+    mixed = [F.when(F.col("run") == 0, F.col("own")).asc(), F.when(F.col("run") > 0, F.md5(F.concat_ws(":", "run", "page"))).asc(), F.col("page").asc()]
+    dealt = numbered(each, mixed, "run", name="place")
+    return dealt.join(slots, "place").groupBy("run", "stage").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
 
 
 def parent_links(rows: DataFrame, id_col: str, parents: str, *carry: str) -> DataFrame:

@@ -326,7 +326,7 @@ def c6(spark, d):
     return contexts.holm(tested, "p", "word").select("word", r6("p").alias("p"), r6("adjusted").alias("adjusted"))
 
 
-@query("c8_exact_shared", EXACT + " SELECT word, round(min(h1 * 1.0 / n1 - (h - h1) * 1.0 / (n - n1)), 6) AS effect, round(max(greater), 6) AS p FROM t JOIN m USING (lang) JOIN e USING (lang, h, h1) WHERE lang IN ('en', 'fr') GROUP BY word HAVING count(*) = 2")
+@query("c8_exact_shared", EXACT + " SELECT word, round(min(h1 * 1.0 / n1 - (h - h1) * 1.0 / (n - n1)), 6) + 0.0 AS effect, round(max(greater), 6) AS p FROM t JOIN m USING (lang) JOIN e USING (lang, h, h1) WHERE lang IN ('en', 'fr') GROUP BY word HAVING count(*) = 2")
 def c8b(spark, d):
     """Words that are enriched in first lines of both populations, by exact one-sided tests."""
     s = exact.shared_enrichment(first_lines(spark, d).filter("lang in ('en','fr')"), "lang", "word")

@@ -60,6 +60,34 @@ def a19(spark, d):
     return units.histogram(rows, "v", "lang", bins=12)
 
 
+ROUND = UNIT + """, v AS (SELECT lang, {v} AS v FROM um), p AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS i, count(*) OVER () AS n FROM v WHERE v > 0),
+q AS (SELECT max(n) AS n, max(v) AS most, max(v) FILTER (i = floor(0.25 * (n - 1) + 0.5)) AS q1, max(v) FILTER (i = floor(0.75 * (n - 1) + 0.5)) AS q3, max(v) FILTER (i = floor(0.95 * (n - 1) + 0.5)) AS q95 FROM p),
+up AS (SELECT most, CASE WHEN n >= 20 THEN q95 WHEN n >= 5 THEN least(most, q3 + 3 * (q3 - q1)) ELSE most END AS upper FROM q),
+h AS (SELECT v, i, most, upper, count(*) OVER () AS n FROM p, up WHERE v <= upper),
+f AS (SELECT max(most) AS most, max(upper) AS upper, max(n) AS n, 2 * (max(v) FILTER (i = floor(0.75 * (n - 1) + 0.5)) - max(v) FILTER (i = floor(0.25 * (n - 1) + 0.5))) / cbrt(max(n)) AS fd FROM h),
+w AS (SELECT most, upper, upper / least(48, greatest(6, floor(CASE WHEN fd > 0 THEN upper / fd ELSE log2(n) + 1 END + 0.5))) AS raw FROM f), sc AS (SELECT *, pow(10.0, floor(log10(raw))) AS s FROM w),
+nw AS (SELECT most, upper, s * CASE WHEN raw <= s * (1 + 1e-9) THEN 1 WHEN raw <= 2 * s * (1 + 1e-9) THEN 2 WHEN raw <= 2.5::DOUBLE * s * (1 + 1e-9) THEN 2.5::DOUBLE WHEN raw <= 5 * s * (1 + 1e-9) THEN 5 ELSE 10 END AS nice FROM sc),
+e AS (SELECT most, width, ceil((upper - 1e-12) / width) * width AS top FROM (SELECT most, upper, {width} AS width FROM nw)),
+b AS (SELECT lang, CASE WHEN v <= 0 THEN 0 WHEN v > top + 1e-12 THEN -1 ELSE ceil((v - 1e-12) / width) END::BIGINT AS bin, width, top, most FROM v, e)
+SELECT lang, bin, round(CASE WHEN bin > 0 THEN (bin - 1) * width WHEN bin < 0 THEN top ELSE 0 END, 6) AS lo, round(CASE WHEN bin > 0 THEN bin * width WHEN bin < 0 THEN most ELSE 0 END, 6) AS hi, count(*) AS n FROM b GROUP BY ALL"""
+
+
+def rounded(h):
+    return h.select("lang", "bin", r6("lo").alias("lo"), r6("hi").alias("hi"), "n")
+
+
+@query("a19_f12_round_histogram", ROUND.format(v="ing * 10000.0 / tokens", width="nice"))
+def a19b(spark, d):
+    """Matches per 10,000 words of each page on bins of a round width."""
+    return rounded(units.round_histogram(model(spark, d).select("lang", (F.col("ing") * 10000.0 / F.col("tokens")).alias("v")), "v", "lang"))
+
+
+@query("a19_f12_count_histogram", ROUND.format(v="ing::DOUBLE", width="greatest(1, ceil(nice))"))
+def a19c(spark, d):
+    """Matches of each page on bins of a whole, round width."""
+    return rounded(units.round_histogram(model(spark, d).select("lang", F.col("ing").cast("double").alias("v")), "v", "lang", whole=True))
+
+
 @query("a20_nearest_rank", UNIT + ", r AS (SELECT lang, tokens, row_number() OVER (PARTITION BY lang ORDER BY tokens) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM um) SELECT lang, tokens AS value FROM r WHERE i = floor(0.9 * (n - 1) + 0.5)")
 def a20(spark, d):
     return units.nearest_rank(model(spark, d), "tokens", 0.9, "lang")

@@ -237,15 +237,53 @@ def a47(spark, d):
     return rows.withColumn("share", r6(F.col("k") / F.col("n")))
 
 
-@query("c40_line_order_control")
+RUNS = 40
+CONTROL = VOWELS + f""", r AS (SELECT unnest(range(0, {RUNS + 1})) AS run), l AS (SELECT DISTINCT page, locus AS line FROM sv),
+o AS (SELECT run, page, line, row_number() OVER (PARTITION BY run, page ORDER BY line) AS i, row_number() OVER (PARTITION BY run, page ORDER BY CASE WHEN run > 0 THEN md5(run || ':' || page || ':' || line) ELSE '' END, line) AS j FROM l, r),
+mv AS (SELECT a.run, a.page, a.line, b.line AS dest FROM o a JOIN o b ON a.run = b.run AND a.page = b.page AND b.i = a.j),
+e AS (SELECT mv.run, mv.page, dest AS line, fam, new, TRY_CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) // 5 AS stage FROM sv JOIN mv ON sv.page = mv.page AND sv.locus = mv.line),
+dd AS (SELECT run, stage, line > CASE WHEN new THEN min(line) FILTER (NOT new) OVER f ELSE min(line) FILTER (new) OVER f END AS page_donors,
+  CASE WHEN new THEN count(*) FILTER (NOT new) OVER f3 ELSE count(*) FILTER (new) OVER f3 END > 0 AS local3, CASE WHEN new THEN count(*) FILTER (NOT new) OVER f10 ELSE count(*) FILTER (new) OVER f10 END > 0 AS local10 FROM e
+  WINDOW f AS (PARTITION BY run, page, fam), f3 AS (PARTITION BY run, page, fam ORDER BY line RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING), f10 AS (PARTITION BY run, page, fam ORDER BY line RANGE BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+c AS (SELECT run, stage, 'page_donors' AS scope, count(*) AS targets, count(*) FILTER (page_donors) AS v FROM dd GROUP BY ALL UNION ALL SELECT run, stage, 'local3', count(*), count(*) FILTER (local3) FROM dd GROUP BY ALL UNION ALL SELECT run, stage, 'local10', count(*), count(*) FILTER (local10) FROM dd GROUP BY ALL),
+a AS (SELECT stage, scope, max(targets) AS targets, max(v) FILTER (run = 0) AS observed, avg(v) FILTER (run > 0) AS mean, list_sort(list(v) FILTER (run > 0)) AS vs FROM c GROUP BY ALL)"""
+
+
+def stage_of(source):
+    return F.floor(F.regexp_extract(source, r"(\d+)$", 1).try_cast("int") / 5)
+
+
+@query("c40_line_order_control", CONTROL + f" SELECT stage, scope, targets, observed, round(mean, 6) AS mean, vs[2] AS low, vs[{RUNS - 1}] AS high, round((1 + len(list_filter(vs, lambda x: x >= observed))) / {RUNS + 1}.0, 6) AS p FROM a")
 def c40(spark, d):
-    """Donor counts in the given line order (run 0) and in three shuffled ones (1 to 3)."""
-    e, out = events(spark, d), None
-    for run in range(4):
-        flags = copying.donor_flags(copying.shuffled_lines(e, run) if run else e)
-        s = copying.copy_stats(flags).select(F.lit(run).alias("run"), "targets", "with_page_donors", "candidate_pairs")
-        out = s if out is None else out.unionByName(s)
-    return out
+    """Targets with an earlier donor per stage and scope, against ``RUNS`` shuffled line orders."""
+    e = annotated(spark, d).select("page", "family", "word", "new", F.col("locus").cast("long").alias("line"), "idx", stage_of("source").alias("stage"))
+    s = copying.order_control(e, RUNS, "stage")
+    return s.select("stage", "scope", "targets", "observed", r6("mean").alias("mean"), "low", "high", r6("p").alias("p"))
+
+
+SEEDS = 8
+DEALT = VOWELS + f""", pg AS (SELECT page, TRY_CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) // 5 AS stage, count(*) AS n, count(*) FILTER (new) AS k FROM sv GROUP BY ALL),
+sl AS (SELECT stage, row_number() OVER (ORDER BY stage NULLS FIRST, page) AS place FROM pg), r AS (SELECT unnest(range(0, {SEEDS + 1})) AS run),
+dl AS (SELECT run, n, k, row_number() OVER (PARTITION BY run ORDER BY CASE WHEN run = 0 THEN stage END NULLS FIRST, CASE WHEN run > 0 THEN md5(run || ':' || page) END, page) AS place FROM pg, r),
+tr AS (SELECT run, stage, sum(n)::BIGINT AS n, sum(k)::BIGINT AS k, sum(k) * 1.0 / sum(n) AS share FROM dl JOIN sl USING (place) GROUP BY run, stage)"""
+
+
+def dealt(spark, d):
+    pages = annotated(spark, d).groupBy("page", stage_of("source").alias("stage")).agg(F.count("*").alias("n"), F.count_if("new").alias("k"))
+    return copying.replicates(pages, SEEDS).withColumn("share", F.col("k") / F.col("n"))
+
+
+@query("a47_replicate_trajectories", DEALT + " SELECT run, stage, n, k, round(share, 6) AS share FROM tr")
+def a47b(spark, d):
+    """k of n per seed and stage, seed 0 as observed; the others deal the pages to stages of the same sizes."""
+    return dealt(spark, d).select("run", "stage", "n", "k", r6("share").alias("share"))
+
+
+@query("a47_replicate_spread", DEALT + f", a AS (SELECT stage, max(share) FILTER (run = 0) AS observed, avg(share) FILTER (run > 0) AS mean, list_sort(list(share) FILTER (run > 0)) AS vs FROM tr GROUP BY stage) SELECT stage, round(observed, 6) AS observed, round(mean, 6) AS mean, round(vs[1], 6) AS low, round(vs[{SEEDS}], 6) AS high, round((1 + len(list_filter(vs, lambda x: x >= observed))) / {SEEDS + 1}.0, 6) AS p FROM a")
+def a47c(spark, d):
+    """The observed share of each stage against the seeds."""
+    s = copying.spread(dealt(spark, d), "share", "stage")
+    return s.select("stage", *[r6(c).alias(c) for c in ("observed", "mean", "low", "high", "p")])
 
 
 @query("c41_persistence", EV + ", n AS (SELECT page, fam, line, min(line) OVER (PARTITION BY page, fam) AS s FROM e WHERE new) SELECT page, fam AS family_name, count(*) FILTER (line > s AND line <= s + 3) AS again FROM n GROUP BY page, fam")

@@ -214,8 +214,10 @@ def test_family_faults(spark):
 
 def test_shuffled_lines_keep_events(spark):
     e = spark.createDataFrame([(1, "f", "w", i % 2 == 0, i, 0) for i in range(6)], "page long, family string, word string, new boolean, line long, idx int")
-    s = copying.shuffled_lines(e, 1)
-    assert sorted(r.line for r in s.collect()) == list(range(6)) and s.count() == 6
+    s = copying.shuffled_lines(e, 3)
+    for run in range(4):
+        assert sorted(r.line for r in s.filter(F.col("run") == run).collect()) == list(range(6))
+    assert s.filter("run = 0").select(*e.columns).exceptAll(e).isEmpty()
     assert copying.donor_pairs(e).count() == 9
 
 
