@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -58,27 +59,61 @@ def components(edges: DataFrame, *key: str) -> DataFrame:
         now = new.drop("old")
 
 
-def distances(edges: DataFrame, seed: str, most: int) -> DataFrame:
-    """(word, distance, parent, codes) of words within ``most`` steps: one frontier join a step; least parent on ties."""
+def distances(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """(seed, word, distance, parent, codes) of all words that seeds (word) reach, or those within ``most`` steps.
+
+    Parents lead back along a shortest path; on ties the least word. Steps of all
+    seeds are one join: a word's neighbours lie at most one step from it, so a
+    new layer is told from old words by the last two layers alone.
+    """
     both = edges.select("src", "dst", "codes").union(edges.select("dst", "src", "codes"))
     both = settled(both.groupBy("src", "dst").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("codes")))).alias("codes")))
-    spark = edges.sparkSession
-    seen = spark.range(1).select(F.lit(seed).alias("word"), F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent"), F.array().cast("array<string>").alias("codes"))
-    for step in range(1, most + 1):
-        edge = seen.filter(F.col("distance") == step - 1).select(F.col("word").alias("src"))
-        found = both.join(edge, "src").groupBy("dst").agg(F.min(F.struct(F.col("src").alias("parent"), "codes")).alias("via"))
-        new = found.join(seen.select(F.col("word").alias("dst")), "dst", "left_anti")
-        seen = settled(seen.unionByName(new.select(F.col("dst").alias("word"), F.lit(step).alias("distance"), "via.parent", "via.codes")))
-    return seen.withColumn("codes", F.array_join("codes", "+"))
-
-
-def removal_impact(edges: DataFrame, codes: list[str]) -> DataFrame:
-    """(removed, lost): words that end in another component than before, one component job for all removals."""
-    cases = F.explode(F.array(F.lit(""), *[F.lit(c) for c in codes])).alias("removed")
-    rows = edges.select(cases, "src", "dst", "codes")
-    left = rows.filter((F.col("removed") == "") | (F.size(F.array_except("codes", F.array("removed"))) > 0))
-    found = settled(components(left, "removed"))
+    first = seeds.select("word").distinct().select(F.col("word").alias("seed"), "word", F.lit(0).alias("distance"), F.lit(None).cast("string").alias("parent"), F.array().cast("array<string>").alias("codes"))
+    layers = [settled(first)]
+    while most is None or len(layers) <= most:
+        edge = layers[-1].select("seed", F.col("word").alias("src"))
+        found = both.join(edge, "src").groupBy("seed", F.col("dst").alias("word")).agg(F.min(F.struct(F.col("src").alias("parent"), "codes")).alias("via"))
+        known = reduce(DataFrame.union, [layer.select("seed", "word") for layer in layers[-2:]])
+        new = settled(found.join(known, ["seed", "word"], "left_anti").select("seed", "word", F.lit(len(layers)).alias("distance"), "via.parent", "via.codes"))
+        if new.isEmpty():
+            break
+        layers.append(new)
+    return reduce(DataFrame.unionByName, layers).withColumn("codes", F.array_join("codes", "+"))
+
+
+def without(edges: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """(removed, src, dst, codes, left): edges once for no removal ('') and once for each group of rules, with the codes left.
+
+    Codes of an edge are alternatives; a composed code (parts joined by +) goes with any of its parts.
+    """
+    cases = [F.struct(F.lit(name).alias("removed"), F.array(*map(F.lit, codes)).cast("array<string>").alias("out")) for name, codes in [("", []), *groups.items()]]
+    rows = edges.select(F.explode(F.array(*cases)).alias("c"), "src", "dst", "codes").select("c.*", "src", "dst", "codes")
+    return rows.withColumn("left", F.filter("codes", lambda c: ~F.arrays_overlap(F.split(c, r"\+"), F.col("out")))).drop("out")
+
+
+def removal_impact(edges: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """(removed, isolated, split): words left without an edge and components that arise, one component job for all removals."""
+    found = settled(components(without(edges, groups).filter(F.size("left") > 0), "removed"))
     sizes = found.groupBy("removed").agg(F.count("*").alias("words"), F.countDistinct("component").alias("components"))
     base = sizes.filter("removed = ''").select(F.col("words").alias("all_words"), F.col("components").alias("all_components"))
-    out = sizes.filter("removed <> ''").crossJoin(F.broadcast(base))
-    return out.select("removed", (F.col("all_words") - F.col("words")).alias("isolated"), (F.col("components") - F.col("all_components") + F.col("all_words") - F.col("words")).alias("split"))
+    left = edges.sparkSession.createDataFrame([(name,) for name in groups], "removed string").join(sizes, "removed", "left").fillna(0)  # a row per group
+    lost = F.col("all_words") - F.col("words")
+    return left.crossJoin(F.broadcast(base)).select("removed", lost.alias("isolated"), (F.col("components") - F.col("all_components") + lost).alias("split"))
+
+
+def word_impact(edges: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
+    """(removed, word, members, remaining, detached, links) of every word and group of rules.
+
+    Size of the word's component before and after the removal, and the links
+    (an edge counts once per code) that go in the component it was in.
+    """
+    rows = without(edges, groups)
+    found = settled(components(rows.filter(F.size("left") > 0), "removed"))
+    sized = settled(found.join(found.groupBy("removed", "component").agg(F.count("*").alias("size")), ["removed", "component"]))
+    before = sized.filter("removed = ''").select("word", F.col("component").alias("whole"), F.col("size").alias("members"))
+    gone = rows.filter("removed <> ''").select("removed", F.col("src").alias("word"), (F.size("codes") - F.size("left")).alias("gone")).groupBy("removed", "word").agg(F.sum("gone").alias("gone"))
+    links = gone.join(before.select("word", "whole"), "word").groupBy("removed", "whole").agg(F.sum("gone").alias("links"))
+    every = before.withColumn("removed", F.explode(F.array(*[F.lit(name) for name in groups])))
+    out = every.join(sized.filter("removed <> ''").select("removed", "word", "size"), ["removed", "word"], "left").join(links, ["removed", "whole"], "left")
+    remaining = F.coalesce("size", F.lit(1))
+    return out.select("removed", "word", "members", remaining.alias("remaining"), (F.col("members") - remaining).alias("detached"), F.coalesce("links", F.lit(0)).alias("links"))

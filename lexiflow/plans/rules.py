@@ -180,14 +180,31 @@ def c11(spark, d):
 
 @query("c12_shortest_path")
 def c12(spark, d):
+    """Shortest paths from one word to all that it reaches."""
     e = edges(spark, d)
-    return graph.distances(e, "anating", 4)
+    return graph.distances(e, spark.createDataFrame([("anating",)], "word string")).drop("seed")
+
+
+@query("c12_paths")
+def c12b(spark, d):
+    """Shortest paths from each of a family of words to all that it reaches."""
+    e = graph.settled(edges(spark, d))
+    return graph.distances(e, e.filter("src like 'an%'").select(F.col("src").alias("word")))
 
 
 @query("c13_rule_removal")
 def c13(spark, d):
     """Words that leave their component when a rule is taken out, for all rules in one job."""
-    return graph.removal_impact(edges(spark, d), [c for c, *_ in RULES])
+    return graph.removal_impact(edges(spark, d), {c: [c] for c, *_ in RULES})
+
+
+@query("c13_word_impact")
+def c13b(spark, d):
+    """Component of every word before and after each rule, and each group of rules, is taken out."""
+    groups = {c: [c] for c, *_ in RULES}
+    for code, _, group, _ in CATALOG:
+        groups.setdefault(f"group {group}", []).append(code)
+    return graph.word_impact(graph.settled(edges(spark, d)), groups)
 
 
 @query("c14_j7_visible", MENU + " SELECT e.src, e.dst FROM edge e JOIN ew a ON a.word = e.src AND a.n >= 3 JOIN ew b ON b.word = e.dst AND b.n >= 3")

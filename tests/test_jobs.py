@@ -116,9 +116,9 @@ def test_components_of_a_long_path_and_removal(spark):
     e = spark.createDataFrame(path, "src string, dst string, codes array<string>")
     got = {r.word: r.component for r in graph.components(e).collect()}
     assert all(got[n] == "w000" for n in names) and {got["p"], got["q"], got["r"]} == {"p"}
-    impact = {r.removed: (r.isolated, r.split) for r in graph.removal_impact(e, ["R", "Z"]).collect()}
+    impact = {r.removed: (r.isolated, r.split) for r in graph.removal_impact(e, {"R": ["R"], "Z": ["Z"]}).collect()}
     assert impact == {"R": (60, 59), "Z": (1, 1)}
-    far = {r.word: (r.distance, r.parent) for r in graph.distances(e, "p", 3).collect()}
+    far = {r.word: (r.distance, r.parent) for r in graph.distances(e, spark.createDataFrame([("p",)], "word string"), 3).collect()}
     assert far == {"p": (0, None), "q": (1, "p"), "r": (2, "q")}
 
 
