@@ -288,6 +288,63 @@ def c5(spark, d):
     return out.select("class", r6("effect").alias("effect"), r6("se").alias("se"), "df", "supported", "review")
 
 
+def weighted(rows, weights):
+    """SQL of a weighted contrast; ``rows`` selects sheet, class and part."""
+    values = ", ".join(f"({i}, {w})" for i, w in enumerate(weights))
+    return f""", g AS ({rows}), cell AS (SELECT sheet, class, part, count(*) AS h FROM g GROUP BY ALL), m AS (SELECT sheet, part, sum(h) AS m FROM cell GROUP BY ALL), n AS (SELECT part, sum(m)::DOUBLE AS n, count(*) AS g FROM m GROUP BY part),
+t AS (SELECT class, part, sum(h) AS t FROM cell GROUP BY ALL), w AS (SELECT * FROM (VALUES {values}) v(part, w)),
+p AS (SELECT c.class, n.part, w, n, g, coalesce(t, 0)::DOUBLE AS t FROM (SELECT DISTINCT class FROM cell) c CROSS JOIN n JOIN w USING (part) LEFT JOIN t ON t.class = c.class AND t.part = n.part),
+s AS (SELECT p.class, m.sheet, sum(p.w * (coalesce(c.h, 0) - p.t / p.n * m.m) / p.n) AS score FROM p JOIN m USING (part) LEFT JOIN cell c ON c.class = p.class AND c.part = p.part AND c.sheet = m.sheet GROUP BY ALL),
+v AS (SELECT class, sum(score * score) AS ss, count(*) AS gg FROM s GROUP BY class),
+o AS (SELECT class, sum(w * t / n) AS effect, sum(n) AS n, count(*) AS k, min(g) - 1 AS df, bool_and(g >= 6 AND t >= 5 AND n - t >= 5) AS supported FROM p GROUP BY class)
+SELECT class, round(effect, 6) + 0.0 AS effect, round(sqrt(ss * gg / (gg - 1) * (n - 1) / (n - k)), 6) AS se, df, supported FROM o JOIN v USING (class)"""
+
+
+def two_populations(spark, d, label):
+    """sheet, class and part (0, 1: first lines and others of en; 2, 3: of fr)."""
+    t = toks(spark, d, "prev").filter("lang in ('en','fr')")
+    return t.select("sheet", label.alias("class"), (F.when(F.col("lang") == "fr", 2).otherwise(0) + F.when(F.col("first"), 0).otherwise(1)).alias("part"))
+
+
+PART = "CASE WHEN lang = 'fr' THEN 2 ELSE 0 END + CASE WHEN first THEN 0 ELSE 1 END"
+BEFORE = "coalesce(prev, '(none)')"
+
+
+@query("c3_section_contrast", weighted(f"SELECT sheet, {PREV} AS class, ({PART}) // 2 AS part FROM tokens WHERE lang IN ('en','fr')", (-1, 1)))
+def c3a(spark, d):
+    """Neighbour classes of two populations, with errors by sheet."""
+    rows = two_populations(spark, d, W.prev_class(F.col("prev"))).withColumn("part", F.floor(F.col("part") / 2))
+    return contexts.weighted_contrast(rows, (-1, 1)).withColumns({"effect": r6("effect"), "se": r6("se")})
+
+
+@query("c3_selection_contrast", weighted(f"SELECT sheet, {PREV} AS class, {PART} AS part FROM tokens WHERE lang IN ('en','fr')", (-1, 1, 1, -1)))
+def c3b(spark, d):
+    """How first lines change neighbour classes in one population against the other."""
+    return contexts.weighted_contrast(two_populations(spark, d, W.prev_class(F.col("prev"))), (-1, 1, 1, -1)).withColumns({"effect": r6("effect"), "se": r6("se")})
+
+
+@query("c9_word_contrast", weighted(f"SELECT sheet, {BEFORE} AS class, {PART} AS part FROM tokens WHERE lang IN ('en','fr')", (-1, 1, 1, -1)))
+def c9b(spark, d):
+    """The same for each word before."""
+    return contexts.weighted_contrast(two_populations(spark, d, F.coalesce("prev", F.lit("(none)"))), (-1, 1, 1, -1)).withColumns({"effect": r6("effect"), "se": r6("se")})
+
+
+REVIEW = f""", g AS (SELECT {BEFORE} AS class, {PART} AS part FROM tokens WHERE lang IN ('en','fr')), h AS (SELECT class, count(*) FILTER (part = 0)::DOUBLE AS h0, count(*) FILTER (part = 1)::DOUBLE AS h1, count(*) FILTER (part = 2)::DOUBLE AS h2, count(*) FILTER (part = 3)::DOUBLE AS h3 FROM g GROUP BY class),
+n AS (SELECT sum(h0) AS n0, sum(h1) AS n1, sum(h2) AS n2, sum(h3) AS n3 FROM h), r AS (SELECT class, (h0 + h1) / (n0 + n1) AS a, (h2 + h3) / (n2 + n3) AS b, h0 / n0 AS fa, h2 / n2 AS fb FROM h, n),
+l AS (SELECT *, fa - a AS ea, fb - b AS eb, CASE WHEN fa = a THEN 1 WHEN a = 0 THEN 'inf'::DOUBLE ELSE fa / a END AS la, CASE WHEN fb = b THEN 1 WHEN b = 0 THEN 'inf'::DOUBLE ELSE fb / b END AS lb FROM r),
+k AS (SELECT class, 'section' AS kind, b - a AS effect, CASE WHEN b = a THEN 1 WHEN a = 0 THEN 'inf'::DOUBLE ELSE b / a END AS lift, true AS up FROM l
+  UNION ALL SELECT class, 'selection', eb - ea, CASE WHEN lb = la THEN 1 WHEN la = 0 THEN 'inf'::DOUBLE ELSE lb / la END, true FROM l
+  UNION ALL SELECT class, 'shared', least(ea, eb), least(la, lb), ea > 0 AND eb > 0 AND (ea >= 0.05 OR ea >= 0.01 AND (la >= 2 OR la <= 0.5)) AND (eb >= 0.05 OR eb >= 0.01 AND (lb >= 2 OR lb <= 0.5)) FROM l)
+SELECT class, kind, round(effect, 6) + 0.0 AS effect, CASE WHEN lift < 'inf'::DOUBLE THEN round(lift, 6) END AS lift, up AND (kind = 'shared' OR abs(effect) + 1e-12 >= 0.05 OR abs(effect) + 1e-12 >= 0.01 AND (lift >= 2 OR lift <= 0.5)) AS flagged FROM k"""
+
+
+@query("c3_c4_review", REVIEW)
+def c4b(spark, d):
+    """Review flags of the words before: between populations, of the selections, and shared; an infinite lift is null."""
+    out = contexts.review(two_populations(spark, d, F.coalesce("prev", F.lit("(none)"))))
+    return out.select("class", "kind", r6("effect").alias("effect"), F.when(F.col("lift") < float("inf"), r6("lift")).alias("lift"), "flagged")
+
+
 @query("c9_drill_down", f", g AS (SELECT prev, first AS focus, {PREV} AS class FROM tokens WHERE lang='en') SELECT prev, count(*) FILTER (focus) AS selected, count(*) AS n FROM g WHERE class = '-y' GROUP BY prev")
 def c9(spark, d):
     t = toks(spark, d, "prev").filter("lang='en'").filter(W.prev_class(F.col("prev")) == "-y")
