@@ -135,7 +135,3 @@ def evaluation_key(key: Column) -> list[Column]:
     take = lambda i: F.regexp_extract(key, r"^([^|]*)\|fit(\d)_eval(\d)", i)
     split = F.when(take(1) == "A", "1").when(take(1) == "B", "2").otherwise(take(1))
     return [split, take(2), take(3)]
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))

@@ -35,12 +35,6 @@ def edges(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.array_sort(F.collect_set("code")).alias("codes"))
 
 
-def undirected(edge_rows: DataFrame) -> DataFrame:
-    """Edges both ways, but for forward-only ones."""
-    back = edge_rows.filter("not forward_only").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "codes", "forward_only")
-    return edge_rows.select("src", "dst", "codes", "forward_only").unionByName(back).dropDuplicates(["src", "dst"])
-
-
 def live_routes(routes: DataFrame, active: list[str], codes: str = "codes") -> DataFrame:
     """Routes of which every part (``A+B``, ``C1.2`` counts as C1) is an active rule."""
     part = lambda c: F.split(F.regexp_replace(c, r"\.\d+$", ""), r"\+")
