@@ -84,11 +84,11 @@ def distances(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> Da
 def without(edges: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """(removed, src, dst, codes, left): edges once for no removal ('') and once for each group of rules, with the codes left.
 
-    Codes of an edge are alternatives; a composed code (parts joined by +) goes with any of its parts.
+    Codes of an edge are alternatives; a composed code (parts joined by +) goes with any of its parts, C1.2 with C1.
     """
     cases = [F.struct(F.lit(name).alias("removed"), F.array(*map(F.lit, codes)).cast("array<string>").alias("out")) for name, codes in [("", []), *groups.items()]]
     rows = edges.select(F.explode(F.array(*cases)).alias("c"), "src", "dst", "codes").select("c.*", "src", "dst", "codes")
-    return rows.withColumn("left", F.filter("codes", lambda c: ~F.arrays_overlap(F.split(c, r"\+"), F.col("out")))).drop("out")
+    return rows.withColumn("left", F.filter("codes", lambda c: ~F.arrays_overlap(F.transform(F.split(c, r"\+"), lambda p: F.regexp_replace(p, r"\.\d+$", "")), F.col("out")))).drop("out")
 
 
 def removal_impact(edges: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
