@@ -128,6 +128,13 @@ def a48(spark, d):
     return docs.groupBy("lang", F.col("code").alias("kind")).agg(F.array_join(ids, " ").alias("pages"))
 
 
+@query("a48_page_places", ", p AS (SELECT d.lang, coalesce('q' || l.quality, 'none') AS kind, d.doc_id AS page FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT lang, kind, page, row_number() OVER (PARTITION BY lang, kind ORDER BY page) AS place FROM p")
+def a48b(spark, d):
+    """The same list with a row per page and its place in the group, for groups of any size."""
+    docs = units.page_class(C.table(spark, d, "documents").select(F.col("doc_id").alias("page"), "lang"), classes(spark, d))
+    return numbered(docs.select("lang", F.col("code").alias("kind"), "page"), [F.col("page").asc()], "lang", "kind")
+
+
 @query("t1_paging", "SELECT word, n, rank FROM (SELECT word, n, row_number() OVER (ORDER BY n DESC, word) AS rank FROM wc WHERE lang='en') WHERE rank BETWEEN 41 AND 80")
 def t1(spark, d):
     counts = rates.word_counts(toks(spark, d).filter("lang='en'"))
