@@ -71,15 +71,18 @@ def shuffled_lines(events: DataFrame, runs: int) -> DataFrame:
 
     In the others the lines of a page change places: the numbers of its lines
     that hold events are dealt out anew, in the order of a digest of run, page
-    and line. Only the lines of one page meet.
+    and line. Only the lines of one page meet: events are shuffled once, by
+    page, and the runs are made where they then are, without a join.
     """
-    lines = events.select("page", "line").distinct().withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs))))
-    page = Window.partitionBy("run", "page")
-    mixed = F.when(F.col("run") > 0, F.md5(F.concat_ws(":", "run", "page", "line"))).otherwise("")
-    placed = lines.withColumn("i", F.row_number().over(page.orderBy("line"))).withColumn("j", F.row_number().over(page.orderBy(mixed, "line")))
-    there = placed.select("run", "page", F.col("i").alias("j"), F.col("line").alias("to"))
-    moves = placed.join(there, ["run", "page", "j"]).select("run", "page", "line", "to")
-    return events.join(moves, ["page", "line"]).withColumn("line", F.col("to")).drop("to")
+    rest = [c for c in events.columns if c not in ("page", "line")]
+    tasks = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: few bytes here are many rows after
+    held = events.filter("page is not null and line is not null").repartition(tasks, "page").groupBy("page", "line").agg(F.collect_list(F.struct(*rest)).alias("held"))
+    pages = held.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("line", "held"))).alias("lines")).withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(runs))))
+    digest = lambda line: F.when(F.col("run") > 0, F.md5(F.concat_ws(":", "run", "page", line))).otherwise("")
+    mixed = F.array_sort(F.transform("lines", lambda x: F.struct(digest(x["line"]).alias("mixed"), x["line"].alias("line"), x["held"].alias("held"))))
+    own = F.col("lines.line")
+    dealt = pages.select("run", "page", F.explode(F.transform(mixed, lambda x, i: F.struct(F.get(own, i).alias("line"), x["held"].alias("held")))).alias("m"))
+    return dealt.select("run", "page", "m.line", F.explode("m.held").alias("e")).select("page", "line", "e.*", "run").select(*events.columns, "run")
 
 
 def spread(rows: DataFrame, value: str, *by: str) -> DataFrame:
@@ -100,16 +103,24 @@ def spread(rows: DataFrame, value: str, *by: str) -> DataFrame:
 def order_control(events: DataFrame, runs: int, *by: str) -> DataFrame:
     """(by, scope, targets, observed, mean, low, high, p): targets with an earlier donor, in the given and in shuffled line orders.
 
-    All runs are one job: a page of a run counts as a page of its own.
+    All runs are one job: a page of a run counts as a page of its own. Both
+    variants are counted in one window over a family's lines, which lie in one
+    task already, so that runs are never shuffled.
     """
-    apart = shuffled_lines(events, runs).withColumn("page", F.struct("run", "page")).drop("run")
-    flags = donor_flags(apart).select("page.run", *by, F.explode(F.array(*[F.struct(F.lit(c).alias("scope"), (F.col(c) > 0).alias("has")) for c in ("page_donors", "local3", "local10")])).alias("s"))
-    counts = flags.groupBy("run", *by, "s.scope").agg(F.count("*").alias("targets"), F.count_if("s.has").cast("long").alias("with_donor"))
-    targets = counts.filter("run = 0").select(*[F.col(c).alias(f"_{c}") for c in by], F.col("scope").alias("_scope"), "targets")
-    on = F.col("scope") == F.col("_scope")
-    for c in by:
-        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return spread(counts, "with_donor", *by, "scope").join(targets, on).drop("_scope", *[f"_{c}" for c in by])
+    apart = shuffled_lines(events.select("page", "line", "family", "new", *by), runs)
+    w = Window.partitionBy("run", "page", "family").orderBy("line")
+
+    def donors(first: int) -> Column:
+        before = w.rangeBetween(first, -1)
+        return F.when(F.col("new"), F.count_if(~F.col("new")).over(before)).otherwise(F.count_if("new").over(before)) > 0
+
+    flags = apart.filter("family is not null and new is not null").select("run", *by, *[donors(n).alias(c) for c, n in (("page_donors", Window.unboundedPreceding), ("local3", -3), ("local10", -10))])
+    sums = flags.groupBy("run", *by).agg(F.count("*").alias("targets"), *[F.count_if(c).cast("long").alias(c) for c in ("page_donors", "local3", "local10")])
+    scopes = F.explode(F.array(*[F.struct(F.lit(c).alias("scope"), F.col(c).alias("with_donor")) for c in ("page_donors", "local3", "local10")]))
+    # every run has all targets: their number is part of the group
+    counts = sums.select("run", *by, "targets", scopes.alias("s")).select("run", *by, "targets", "s.*")
+    rows = spread(counts, "with_donor", *by, "scope", "targets")
+    return rows.select(*by, "scope", "observed", "mean", "low", "high", "p", "targets")
 
 
 def replicates(pages: DataFrame, runs: int) -> DataFrame:

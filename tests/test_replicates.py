@@ -117,3 +117,10 @@ def test_statistics_and_ranks(spark):
         assert ranks[g] == ms[math.floor(0.9 * (len(ms) - 1) + 0.5)]
     empty = frame.filter(F.lit(False))
     assert units.nearest_rank(empty, "m", 0.5, "g").count() == units.round_histogram(empty.withColumn("v", F.col("m") * 1.0), "v", "g").count() == 0
+
+
+def test_order_control_shuffles_events_once(spark):
+    """The runs are made after the shuffle by page: nothing is joined, so nothing of their number is broadcast."""
+    e = spark.range(200).selectExpr("id % 9 as page", "'f' as family", "'w' as word", "id % 3 = 0 as new", "id % 20 as line", "0 as idx", "'s' as stage")
+    plan = copying.order_control(e, 40, "stage")._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "BroadcastExchange" not in plan
