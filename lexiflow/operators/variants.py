@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import groupby
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,33 +46,69 @@ def innovative_share(rows: DataFrame, *by: str) -> DataFrame:
     return each.groupBy(*by, "cls").agg(F.sum("n").alias("eligible"), F.sum(F.when(F.col("new"), F.col("n")).otherwise(0)).alias("innovative"))
 
 
-def one_edit_keys(word: Column) -> Column:
-    """Blocking keys: the word with each letter replaced by a mark, and with each letter left out. One-edit words share one."""
-    n = F.length(word)
-    at = F.sequence(F.lit(1), n)
-    cut = lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.lit("*"), F.substring(word, i + 1, n))
-    drop = lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, n))
-    return F.array_distinct(F.concat(F.transform(at, cut), F.transform(at, drop), F.array(word)))
-
-
-def one_edit(a: Column, b: Column) -> Column:
-    return F.levenshtein(a, b, 1) == 1
-
-
-def nearest_relative(toks: DataFrame, focus: Column) -> DataFrame:
-    """(page, locus, idx, word, relative, distance): the nearest other token of the page one edit away, for focus tokens.
-
-    Words are compared once per page, not per token; tokens of related words
-    then meet by page and word.
+def _halves(word: str) -> list[tuple]:
+    """Keys of which words one edit apart share one: an edit leaves the first or the second half of the shorter word as it is."""
+    n = len(word)
+    return [(size, first, word[: size // 2] if first else word[n - (size - size // 2) :]) for size in (n, n - 1) for first in (True, False)]
+
+
+def _one_edit(a: str, b: str) -> bool:
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    at = next((i for i, x in enumerate(a) if x != b[i]), len(a))
+    return len(b) - len(a) == 1 and a[at:] == b[at + 1 :]
+
+
+def _nearest(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """Rows (kind, locus, idx, words) of a page, focus tokens (kind 0) first: each focus token with its nearest relative."""
+    focus, keys, known = [], {}, {}
+    for kind, locus, idx, text in rows:
+        if kind == 0:
+            for key in _halves(text):
+                keys.setdefault(key, []).append(len(focus))
+            focus.append([locus, idx, text, None])
+        elif focus:
+            for i, word in enumerate(text.split(" ")):
+                near = known.get(word)
+                if near is None:
+                    some = {n for key in _halves(word) for n in keys.get(key, ())} if word else ()
+                    near = known[word] = [focus[n] for n in some if _one_edit(word, focus[n][2])]
+                for f in near:
+                    found = (abs(locus - f[0]), abs(i - f[1]), word, locus)
+                    if f[3] is None or found < f[3]:
+                        f[3] = found
+    for locus, idx, word, best in focus:
+        if best is not None:
+            yield locus, idx, word, best[2], best[0], (best[3] > locus) - (best[3] < locus)
+
+
+def nearest_relative(lines: DataFrame, focus: DataFrame) -> DataFrame:
+    """(page, locus, idx, word, relative, distance, side): the nearest other token of the page one edit away, for focus tokens (page, locus, idx, word) of ``lines`` (page, locus, words).
+
+    Lines and focus tokens of a page are brought together once; tokens are
+    looked up there by the halves of their words, so neither tokens nor keys
+    are shuffled.
     """
-    words = toks.select("page", "word").distinct()
-    keys = words.select("page", "word", F.explode(one_edit_keys(F.col("word"))).alias("key"))
-    other = keys.withColumnRenamed("word", "relative")
-    related = keys.join(other, ["page", "key"]).filter("word <> relative").select("page", "word", "relative").distinct().filter(one_edit(F.col("word"), F.col("relative")))
-    near = toks.select("page", F.col("locus").alias("rl"), F.col("idx").alias("ri"), F.col("word").alias("relative"))
-    rows = toks.filter(focus).select("page", "locus", "idx", "word").join(related, ["page", "word"]).join(near, ["page", "relative"])
-    best = F.min(F.struct(F.abs(F.col("rl") - F.col("locus")).alias("distance"), F.abs(F.col("ri") - F.col("idx")).alias("apart"), "relative", "rl")).alias("b")
-    return rows.groupBy("page", "locus", "idx", "word").agg(best).select("page", "locus", "idx", "word", "b.relative", "b.distance", F.signum(F.col("b.rl") - F.col("locus")).cast("int").alias("side"))
+    none = F.lit(None).cast("int")
+    rows = lines.select("page", F.lit(1).alias("kind"), "locus", none.alias("idx"), F.array_join("words", " ", "").alias("words")).unionByName(focus.select("page", F.lit(0).alias("kind"), "locus", "idx", F.col("word").alias("words")))
+    names = ["page", "locus", "idx", "word", "relative", "distance", "side"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))
+        out = []
+        for page, own in groupby(every, key=lambda r: r[0]):
+            out += [(page, *found) for found in _nearest(r[1:] for r in own)]
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32()]
+    # dealt by a hash: a union's parts may count as dealt by the page already, and then meet in different tasks
+    dealt = rows.filter("page is not null").withColumn("dealt", F.xxhash64("page")).repartition("dealt").sortWithinPartitions("page", "kind", "locus", "idx")
+    return dealt.drop("dealt").mapInArrow(run, "page long, locus int, idx int, word string, relative string, distance int, side int")
 
 
 def page_pairs(pages: DataFrame) -> DataFrame:

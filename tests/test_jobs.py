@@ -245,3 +245,26 @@ def test_oracle_agrees_on_a_few(spark, sf):
         want = c.execute(f'select {", ".join(chr(34) + x + chr(34) for x in cols)} from ({ORACLE_SQL[name]})').fetchall()
         want = sorted(str([None if v is None else round(float(v), 5) if isinstance(v, float) else (int(v) if type(v).__name__ == "Decimal" else v) for v in r]) for r in want)
         assert rows == want, name
+
+
+def test_nearest_relative(spark):
+    """Brute force over pages of short words, gaps and ties; lines and focus tokens go through one shuffle, no key does."""
+    rng = random.Random(4)
+    lines = [(p, n, [rng.choice(["", "a", "q"]) + "".join(rng.choice("ab") for _ in range(rng.randrange(1, 5))) if rng.random() < 0.9 else None for _ in range(6)]) for p in range(8) for n in range(5)]
+    toks = [(p, n, i, w) for p, n, ws in lines for i, w in enumerate(ws) if w]
+    focus = [t for t in toks if rng.random() < 0.3 and t[0] != 3]
+
+    def edits(w):
+        cut = [(w[:i], w[i:]) for i in range(len(w) + 1)]
+        abc = "abq"
+        return {a + b[1:] for a, b in cut if b} | {a + c + b for a, b in cut for c in abc} | {a + c + b[1:] for a, b in cut if b for c in abc}
+
+    want = set()
+    for p, n, i, w in focus:
+        near = [(abs(m - n), abs(j - i), x, m) for q, m, j, x in toks if q == p and x != w and x in edits(w)]
+        if near:
+            d, _, x, m = min(near)
+            want.add((p, n, i, w, x, d, (m > n) - (m < n)))
+    df = variants.nearest_relative(spark.createDataFrame(lines, "page long, locus int, words array<string>").repartition(3), spark.createDataFrame(focus, "page long, locus int, idx int, word string"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2  # the other deals the test's own lines
+    assert {tuple(r) for r in df.collect()} == want and len(want) > 20
