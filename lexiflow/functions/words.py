@@ -15,7 +15,7 @@ TIERS = ("supported", "provisional", "experimental")
 
 def merged(word: Column) -> Column:
     """Without one initial q."""
-    return F.regexp_replace(word, "^q", "")
+    return F.when(word.startswith("q"), F.substring(word, 2, 1 << 30)).otherwise(word)
 
 
 def stripped(word: Column) -> Column:

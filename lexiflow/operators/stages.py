@@ -69,11 +69,76 @@ def account(rows: DataFrame, routes: DataFrame, *key: str, modes=MODES, timings=
     along a route straight to a target, or to a middle word within its rate and
     from there to a target, as much as can be credited; only then is mass that
     reaches the middle counted as stopping there.
+
+    Words that no route touches, nor their exchanged spellings, need no
+    network: each source has one middle and one target there (``_unrouted``).
     """
+    swapped = swap is not None
+    exchange = swap or (lambda c: c)
+    ends = routes.select(F.col("src").alias("word")).unionByName(routes.select(F.col("dst").alias("word")))
+    if swapped:
+        ends = ends.unionByName(ends.select(exchange(F.col("word")).alias("word")))
+    ends = graph.settled(ends.distinct())
+    rest, ways = _unrouted(rows.join(ends, "word", "left_anti"), key, modes, timings, swap, stops)
+    ledger, flows = _routed_account(graph.settled(rows.join(ends, "word", "left_semi")), routes, *key, modes=modes, timings=timings, swap=swap, stops=stops, most=most)
+    return ledger.unionByName(rest), flows.unionByName(ways)
+
+
+def _cases(modes, timings):
+    return F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(t).alias("timing"), F.lit(f).alias("first"), F.lit(s).alias("second")) for m, t, f, s in settings(modes, timings)])).alias("s")
+
+
+def _unrouted(rows: DataFrame, key, modes, timings, swap, stops: bool) -> tuple[DataFrame, DataFrame]:
+    """``account`` of words without routes, side by side with their exchanged spellings (x and y).
+
+    What keeps its spelling leaves nothing for the network's first tier: a
+    source, its middle or its target is used up. The rest stops at the middle.
+    """
+    k, zero, names = list(key), F.lit(0.0), ("a", "m", "b")
+    wide = rows.select(*k, "word", *[F.col(c).alias(f"{c}x") for c in names])
+    if swap is not None and tuple(timings) != ("none",):
+        other = rows.select(*k, F.col("word").alias("partner"), *[F.col(c).alias(f"{c}y") for c in names])
+        wide = wide.withColumn("partner", swap(F.col("word"))).join(other, [*k, "partner"], "left").fillna(0.0, [f"{c}y" for c in names])
+    else:
+        wide = wide.withColumn("partner", F.col("word") if swap is None else swap(F.col("word"))).withColumns({f"{c}y": F.col(f"{c}x") for c in names})
+    each = wide.select("*", _cases(modes, timings)).select(*wide.columns, "s.*")
+    turn = lambda on, x, y: F.when(on, F.col(y)).otherwise(F.col(x))
+    first, second, direct, staged = F.col("first"), F.col("second"), F.col("mode") == "direct", F.col("mode") == "staged"
+    cross = first != second
+    pair = lambda name, f: {f"{name}x": f("x", "y"), f"{name}y": f("y", "x")}
+    each = each.withColumns(pair("m", lambda x, _: F.when(direct, zero).otherwise(F.col(f"m{x}"))))
+    each = each.withColumns(pair("mp", lambda x, y: turn(first, f"m{x}", f"m{y}")) | pair("bq", lambda x, y: turn(cross, f"b{x}", f"b{y}")))
+    each = each.withColumns(pair("s", lambda x, _: F.when(staged, F.least(f"a{x}", f"bq{x}", f"mp{x}")).otherwise(F.least(f"a{x}", f"bq{x}"))))
+    each = each.withColumns(pair("in", lambda x, y: turn(cross, f"s{x}", f"s{y}")) | pair("th", lambda x, y: F.when(staged, turn(first, f"s{x}", f"s{y}")).otherwise(zero)))
+    each = each.withColumns(pair("ar", lambda x, _: F.col(f"a{x}") - F.col(f"s{x}")) | pair("br", lambda x, _: F.col(f"b{x}") - F.col(f"in{x}")) | pair("mr", lambda x, _: F.col(f"m{x}") - F.col(f"th{x}")))
+    each = each.withColumns(pair("to", lambda x, y: turn(first, f"mr{x}", f"mr{y}")))  # room at the middle that a source leads to
+    stopped = lambda x: F.when(~direct & (F.col(f"ar{x}") > EPS) & (F.col(f"to{x}") > EPS) & F.lit(stops), F.least(f"ar{x}", f"to{x}")).otherwise(zero)
+    each = each.withColumns(pair("out", lambda x, _: stopped(x)))
+    came = turn(first, "outx", "outy")
+    component = F.least("word", "partner")
+    ledger = each.select(
+        *k, "mode", "timing", component.alias("component"), "word", F.col("ax").alias("source"), F.col("mx").alias("middle"), F.col("bx").alias("target"), F.col("sx").alias("same"), F.col("inx").alias("same_in"), F.col("thx").alias("same_through"), zero.alias("direct"), F.col("outx").alias("to_middle"),
+        (F.col("thx") + came).alias("inflow"), F.col("thx").alias("passed"), came.alias("stops"), zero.alias("received"),
+        F.col("inx").alias("credited"), F.greatest(zero, F.col("arx") - F.col("outx")).alias("left"), F.greatest(zero, F.col("bx") - F.col("inx")).alias("missing"),
+        F.greatest(zero, F.col("mx") - F.col("thx") - came).alias("unreached"), F.least("ax", "bx").alias("baseline"),
+    )
+    w, p = F.col("word"), F.col("partner")
+    arc = lambda on, dst, kind, flow: F.when(on & ~direct, F.struct(dst.alias("dst"), F.lit(kind).alias("kind"), flow.alias("flow")))
+    ways = F.array(
+        arc((F.col("arx") > EPS) & (F.col("tox") > EPS), F.when(first, p).otherwise(w), "leg1", F.col("outx")),
+        arc(F.col("mrx") > EPS, w, "through", came),
+        arc((F.col("mrx") > EPS) & (turn(second, "brx", "bry") > EPS), F.when(second, p).otherwise(w), "leg2", zero),
+    )
+    flows = each.select(*k, "mode", "timing", component.alias("component"), w.alias("src"), F.explode(F.array_compact(ways)).alias("f"))
+    return ledger, flows.select(*k, "mode", "timing", "component", "src", "f.*")
+
+
+def _routed_account(rows: DataFrame, routes: DataFrame, *key: str, modes, timings, swap, stops: bool, most: int) -> tuple[DataFrame, DataFrame]:
+    """``account`` of words that routes touch."""
     identity = lambda c: c
     swap = swap or identity
     k = [*key, "mode", "timing"]
-    cases = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(t).alias("timing"), F.lit(f).alias("first"), F.lit(s).alias("second")) for m, t, f, s in settings(modes, timings)])).alias("s")
+    cases = _cases(modes, timings)
     w = F.col("word")
     each = rows.select(*key, "word", "a", "m", "b", cases).select(*key, "word", "a", "m", "b", "s.*")
     each = each.withColumn("m", F.when(F.col("mode") == "direct", 0.0).otherwise(F.col("m")))

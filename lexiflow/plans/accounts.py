@@ -9,7 +9,7 @@ from lexiflow.operators import graph, stages
 from lexiflow.operators import rates as rate_ops
 from lexiflow.plans.base import query, r6
 from lexiflow.plans.rules import MENU, edges
-from lexiflow.plans.search import toks
+from lexiflow.plans.search import bag
 
 #: The exchange of the queries: each a for o and each o for a.
 SWAP = ("ao", "oa")
@@ -19,15 +19,17 @@ def swap(c):
     return F.translate(c, *SWAP)
 
 
-def counts(spark, d):
-    """(word, a, m, b, sheets_a, sheets_b): merged words of the English sources of number 0, 1 and 2 modulo 3, with rates and distinct sheets."""
+def counts(spark, d, sheets=False):
+    """(word, a, m, b): merged words of the English sources of number 0, 1 and 2 modulo 3, with rates; with ``sheets`` also sheets_a and sheets_b, distinct sheets."""
     part = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int") % 3
-    t = toks(spark, d, keep=("lang", "source")).filter("lang = 'en'").withColumn("word", W.merged(F.col("word"))).withColumn("part", part).filter("word <> '' and part is not null")
-    per = t.groupBy("part", "word", "sheet").agg(F.count("*").alias("n")).groupBy("part", "word").agg(F.sum("n").alias("n"), F.count("*").alias("sheets"))
-    r = rate_ops.rates(per, "part")
+    t = bag(spark, d, keep=(), lang="en", part=part).withColumn("word", W.merged(F.col("word"))).filter("word <> '' and part is not null")
+    per = rate_ops.word_counts(t, "part")
+    if sheets:
+        per = t.groupBy("part", "word", "sheet").agg(F.count("*").alias("n")).groupBy("part", "word").agg(F.sum("n").alias("n"), F.count("*").alias("sheets"))
+    r = rate_ops.rates(graph.settled(per), "part")
     at = lambda i, c, zero: F.coalesce(F.max(F.when(F.col("part") == i, F.col(c))), F.lit(zero))
-    wide = r.groupBy("word").agg(*[at(i, "rate", 0.0).alias(n) for i, n in enumerate("amb")], at(0, "sheets", 0).alias("sheets_a"), at(2, "sheets", 0).alias("sheets_b"))
-    return graph.settled(wide)
+    more = [at(0, "sheets", 0).alias("sheets_a"), at(2, "sheets", 0).alias("sheets_b")] if sheets else []
+    return graph.settled(r.groupBy("word").agg(*[at(i, "rate", 0.0).alias(n) for i, n in enumerate("amb")], *more))
 
 
 def routes(spark, d):
@@ -106,7 +108,7 @@ def t3(spark, d):
 @query("c31_word_residuals")
 def c31(spark, d):
     """Words with mass left or missing in a direct account, with their sheets on both sides and whether a route leads out or in."""
-    rows, e = counts(spark, d), routes(spark, d)
+    rows, e = counts(spark, d, sheets=True), routes(spark, d)
     ledger, flows = stages.account(rows, e, modes=("direct",))
     out, into = (flows.select(F.col(c).alias("word")).distinct().withColumn(n, F.lit(True)) for c, n in (("src", "route_out"), ("dst", "route_in")))
     left = ledger.filter("left > 1e-8 or missing > 1e-8").select("word", "left", "missing").join(rows.select("word", "sheets_a", "sheets_b"), "word")
@@ -117,7 +119,7 @@ def c31(spark, d):
 @query("c31_open_routes", PARTS + ", rt AS (SELECT src, dst FROM edge UNION SELECT dst, src FROM edge) SELECT x.word, x.sheets_a, x.sheets_b, EXISTS (SELECT 1 FROM rt JOIN amb y ON y.word = rt.dst AND y.b - least(y.a, y.b) > 1e-9 WHERE rt.src = x.word AND x.a - least(x.a, x.b) > 1e-9) AS route_out, EXISTS (SELECT 1 FROM rt JOIN amb y ON y.word = rt.src AND y.a - least(y.a, y.b) > 1e-9 WHERE rt.dst = x.word AND x.b - least(x.a, x.b) > 1e-9) AS route_in FROM amb x WHERE abs(x.a - x.b) > 1e-9")
 def c31b(spark, d):
     """Words that lose or gain, with their sheets and whether any route is open to them."""
-    rows, e = counts(spark, d), routes(spark, d)
+    rows, e = counts(spark, d, sheets=True), routes(spark, d)
     lose = rows.filter("a - b > 1e-9").select(F.col("word").alias("src"))
     gain = rows.filter("b - a > 1e-9").select(F.col("word").alias("dst"))
     live = e.join(lose, "src", "left_semi").join(gain, "dst", "left_semi")
@@ -132,7 +134,7 @@ def c16(spark, d):
     from lexiflow.operators import families, policies
 
     part = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int") % 2
-    t = toks(spark, d, keep=("lang", "source")).filter("lang = 'en'").withColumn("word", W.merged(F.col("word"))).withColumn("part", part).filter("word <> '' and part is not null")
+    t = bag(spark, d, keep=(), lang="en", part=part).withColumn("word", W.merged(F.col("word"))).filter("word <> '' and part is not null")
     r = rate_ops.rates(rate_ops.word_counts(t, "part"), "part")
     at = lambda i, c, zero: F.coalesce(F.max(F.when(F.col("part") == i, F.col(c))), F.lit(zero))
     wide = graph.settled(r.groupBy("word").agg(at(0, "rate", 0.0).alias("a"), at(1, "rate", 0.0).alias("b"), at(0, "n", 0).alias("n_a"), at(1, "n", 0).alias("n_b")))

@@ -10,16 +10,20 @@ from lexiflow.operators import rates as rate_ops
 from lexiflow.plans.base import query, r6
 from lexiflow.plans.rules import MENU, edges
 from lexiflow.plans.families import FAM, site, words
-from lexiflow.plans.search import toks
+from lexiflow.plans.search import bag, toks
 from lexiflow.sources import corpus as C
 
 COL = """, cc AS (SELECT CAST(source[4:] AS INT) AS col, word, count(*) AS n, count(DISTINCT page) AS pages FROM tokens WHERE lang = 'en' GROUP BY ALL),
 cr AS (SELECT *, sum(n) OVER (PARTITION BY col) AS total, n * 10000.0 / sum(n) OVER (PARTITION BY col) AS rate FROM cc)"""
 
 
+def numbered(spark, d):
+    """Words of the English sources that have a number, with it (col)."""
+    return bag(spark, d, keep=(), lang="en", col=F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")).filter("col is not null")
+
+
 def counts(spark, d):
-    t = toks(spark, d, keep=("lang", "source")).filter("lang='en'").withColumn("col", F.regexp_extract("source", r"(\d+)$", 1).try_cast("int")).filter("col is not null")
-    return chain.column_counts(t, "col")
+    return chain.column_counts(numbered(spark, d), "col")
 
 
 def order(spark, d) -> list[int]:
@@ -29,7 +33,8 @@ def order(spark, d) -> list[int]:
 
 
 def rates(spark, d):
-    return chain.column_rates(counts(spark, d), "col")
+    """Rates by column; pages are not counted, so only different words of a column are shuffled, and once."""
+    return chain.column_rates(graph.settled(rate_ops.word_counts(numbered(spark, d), "col")), "col")
 
 
 @query("a28_c26_columns", COL + " SELECT col, word, n, pages FROM cc")
@@ -128,7 +133,7 @@ CAPS = MENU + ", pc AS (SELECT CAST(source[4:] AS INT) % 2 AS pop, regexp_replac
 def halves(spark, d):
     """Rates of the merged words of English text in sources of even (a) and odd (b) number."""
     t = words(spark, d).withColumn("word", W.merged(F.col("word"))).filter("word <> ''")
-    r = rate_ops.rates(rate_ops.word_counts(t, "pop"), "pop")
+    r = rate_ops.rates(graph.settled(rate_ops.word_counts(t, "pop")), "pop")
     return rate_ops.side_by_side(r.filter("pop = 'A'"), r.filter("pop = 'B'"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexiflow.functions import words as W
 from lexiflow.operators import graph, rates, rules
 from lexiflow.plans.base import query, r6
-from lexiflow.plans.search import toks
+from lexiflow.plans.search import bag, toks
 
 RULES = [("ED_ING", "suffix", "ed", "ing"), ("ER_ING", "suffix", "er", "ing"), ("RE_ER", "suffix", "re", "er"), ("EN_ER", "suffix", "en", "er"), ("RE_IN", "prefix", "re", "in")]
 FRACTIONS = (0.3, 0.25, 0.2, 0.1, 0.15)
@@ -23,7 +23,7 @@ edge AS MATERIALIZED (SELECT src, dst, array_to_string(list_sort(list_distinct(l
 
 def english(spark, d):
     """Counts of the English words, merged: without an initial q."""
-    merged = toks(spark, d).filter("lang='en'").withColumn("word", W.merged(F.col("word")))
+    merged = bag(spark, d, keep=(), lang="en").withColumn("word", W.merged(F.col("word")))
     return rates.word_counts(merged.filter("word <> ''"))
 
 
@@ -32,7 +32,7 @@ def menu(spark, d, which=RULES):
 
 
 def edges(spark, d, which=RULES):
-    words = english(spark, d)
+    words = graph.settled(english(spark, d))  # read twice
     return rules.edges(rules.attested(rules.menu(words, which), words))
 
 

@@ -106,3 +106,15 @@ def test_exports(spark, tmp_path):
     assert spark.read.option("header", True).option("sep", "\t").option("quote", "").csv(str(tmp_path / "tsv")).first().b == "x y z"
     C.export_json(df, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json")).first().n == 1
+
+
+def test_bag_holds_the_words_of_tokens(spark):
+    from collections import Counter
+
+    from lexiflow.sources import corpus
+
+    texts = ["One two\n\ntwo  ÉTÉ 3 q-z\r\nİx\tΣ", "", None, "\n", "é 1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    columns = ["page", "sheet", "word"]
+    want = Counter(map(tuple, corpus.tokens(corpus.lines(docs)).select(*columns).collect()))
+    assert Counter(map(tuple, corpus.bag(docs).select(*columns).collect())) == want and sum(want.values()) > 5

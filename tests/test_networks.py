@@ -130,3 +130,25 @@ def test_staged_accounts_equal_brute_force(spark):
     top = stages.unexplained(ledger.filter("mode = 'both' and timing = 'none'"), 3, "leg").collect()
     assert top and all(r.size > 1 for r in top)
     assert stages.account(frame.limit(0), pairs, "leg")[0].count() == 0
+
+
+def test_words_without_routes_need_no_network(spark, monkeypatch):
+    """Only words that routes touch reach the network; ledgers of the others equal those of the network, whatever the timing."""
+    rng = random.Random(11)
+    letters = ["k", "t", "x", "y"]
+    words = sorted({"".join(rng.choice(letters) for _ in range(rng.randrange(1, 4))) for _ in range(60)})
+    frame = spark.createDataFrame([(w, *(float(rng.randrange(0, 5)) for _ in range(3))) for w in words], "word string, a double, m double, b double")
+    pairs = spark.createDataFrame([("x", "xy"), ("xy", "k")], "src string, dst string")
+    swap = lambda c: F.translate(c, "kt", "tk")
+    some = {"timings": ("none", "first", "both"), "swap": swap, "stops": True}
+    plain = {tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in stages._routed_account(frame, pairs, modes=tuple(stages.MODES), most=network.ARCS, **some)[0].collect()}
+    seen, solve = set(), network.maximum
+
+    def watched(arcs, *rest, **more):
+        seen.update(r.a[2:] for r in arcs.collect())
+        return solve(arcs, *rest, **more)
+
+    monkeypatch.setattr(network, "maximum", watched)
+    got = {tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in stages.account(frame, pairs, **some)[0].collect()}
+    keep = lambda rows: {r for r in rows if r[3] not in ("x", "xy", "k", "t")}  # noqa: E731  totals of routed words alone are unique
+    assert keep(got) == keep(plain) and len(got) == len(words) * 9 and seen <= {"x", "xy", "k", "t"}
