@@ -18,7 +18,7 @@ covers the similarity, buckets dealt by shared shingles, exact proof.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -210,6 +210,12 @@ def bucket_links(rows: DataFrame, radii: tuple[int, ...], bucket_size: int = BUC
     buckets of several nodes alone.
     """
     kind = dict((rows if fps is None else fps).dtypes)["fp"]
+    rows = _parts(rows, bucket_size, fps, "fp")
+    return rows.mapInArrow(lambda batches: _compare_batches(batches, radii), f"a {kind}, b {kind}").distinct()
+
+
+def _parts(rows: DataFrame, bucket_size: int, fps: DataFrame | None, *columns: str) -> DataFrame:
+    """(bucket, part, columns) in bucket order, buckets of several rows alone; each pair of a bucket's rows meets in some part."""
     # most buckets hold one fingerprint: they go before Python sees them
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / bucket_size).cast("int")
@@ -219,8 +225,34 @@ def bucket_links(rows: DataFrame, radii: tuple[int, ...], bucket_size: int = BUC
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     part = F.least("own", "other") * F.lit(1 << 20).cast("long") + F.greatest("own", "other")
-    rows = rows.select("bucket", part.alias("part"), "fp").repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-    return rows.mapInArrow(lambda batches: _compare_batches(batches, radii), f"a {kind}, b {kind}").distinct()
+    return rows.select("bucket", part.alias("part"), *columns).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+
+
+def _close_pairs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, part, fp, class) in bucket order to all pairs (a, b) of a bucket within ``radius`` and of different classes."""
+
+    def pairs(fps, classes):
+        values = np.frombuffer(b"".join(fps), "<u8").reshape(len(fps), -1)
+        for i in range(0, len(fps), TILE):
+            for j in range(i, len(fps), TILE):
+                near = _ones(values[i : i + TILE, None] ^ values[None, j : j + TILE], 2) <= radius
+                near &= classes[i : i + TILE, None] != classes[None, j : j + TILE]
+                x, y = np.nonzero(np.triu(near, 1) if i == j else near)
+                if len(x):
+                    yield pa.RecordBatch.from_arrays([pa.array([fps[i + n] for n in x], pa.binary()), pa.array([fps[j + n] for n in y], pa.binary())], ["a", "b"])
+
+    rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+    for _, group in groupby(rows, key=lambda r: r[:2]):
+        group = list(group)
+        known = {c: n for n, c in enumerate({r[3] for r in group})}
+        if len(known) > 1:
+            yield from pairs([r[2] for r in group], np.array([known[r[3]] for r in group]))
+
+
+def between_classes(rows: DataFrame, radius: int, bucket_size: int, fps: DataFrame) -> DataFrame:
+    """All pairs (a, b) of a bucket within ``radius`` and of different classes: rows (node, bucket), fps (node, fp, class)."""
+    parted = _parts(rows, bucket_size, fps, "fp", "class")
+    return parted.mapInArrow(lambda batches: _close_pairs(batches, radius), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -341,15 +373,30 @@ def similar_links(nodes: DataFrame, text: Column, shingle: int = SIMILAR_SHINGLE
     def shingles(texts):
         return texts.map(lambda t: shingle_set(t, shingle).view(np.int64))
 
+    enough = lambda common: common + 1e-9 >= similarity * (F.size("set_a") + F.size("set_b") - common)
+
+    def proven(found):
+        ends = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).distinct()
+        sets = cut(nodes.join(ends, "fp").select("fp", shingles(text).alias("set")))
+        left, right = (sets.select(F.col("fp").alias(end), F.col("set").alias(f"set_{end}")) for end in ("a", "b"))
+        common = F.size(F.array_intersect("set_a", "set_b"))
+        return cut(found.join(left, "a").join(right, "b").select("a", "b", enough(common).alias("holds")))
+
     node = F.xxhash64("fp").alias("node")  # two fingerprints of one number only meet more often
     dealt = nodes.select(node, F.explode("keys").alias("bucket"))
-    found = cut(bucket_links(dealt, radii, bucket_size, nodes.select(node, "fp")))
-    ends = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).distinct()
-    sets = cut(nodes.join(ends, "fp").select("fp", shingles(text).alias("set")))
-    left, right = (sets.select(F.col("fp").alias(end), F.col("set").alias(f"set_{end}")) for end in ("a", "b"))
-    common = F.size(F.array_intersect("set_a", "set_b"))
-    enough = common + 1e-9 >= similarity * (F.size("set_a") + F.size("set_b") - common)
-    return found.join(left, "a").join(right, "b").filter(enough).select("a", "b")
+    judged = proven(cut(bucket_links(dealt, radii, bucket_size, nodes.select(node, "fp"))))
+    held, refused = judged.filter("holds").select("a", "b"), judged.filter("not holds").select("a", "b")
+    if refused.isEmpty():
+        return held
+    # a forest passes over pairs that its own links join: where a link was refused, the bucket's pairs between different classes are judged as well
+    own = nodes.select("fp")
+    classes = components(own.select("fp", F.col("fp").alias("label")), held)
+    classes = own.join(classes, "fp", "left").select("fp", F.coalesce("label", "fp").alias("class"))
+    ends = refused.select("a", "b", F.xxhash64("a").alias("node"), F.xxhash64("b").alias("far"))
+    broken = ends.join(dealt, "node").join(dealt.select(F.col("node").alias("far"), "bucket"), ["far", "bucket"]).select("bucket").distinct()
+    more = cut(between_classes(dealt.join(cut(broken), "bucket", "left_semi"), radii[-1], bucket_size, classes.select(F.xxhash64("fp").alias("node"), "fp", "class")))
+    others = more.join(refused, ["a", "b"], "left_anti").join(refused.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
+    return held.unionByName(proven(cut(others)).filter("holds").select("a", "b"))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -359,8 +406,9 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     without an id and rows of a repeated id stay or go with their own class.
     Texts without a word (null, empty, blank) are one class. Links are those
     that the buckets and the fingerprints' radius cover (over 99.8 % of pairs
-    at 0.8) and the spanning forests return; none is less similar than
-    ``similarity``.
+    at 0.8); none is less similar than ``similarity``. Where a spanning
+    forest's link is refused, all pairs of its buckets between the classes
+    proven so far are judged.
     An empty table gives an empty one.
     """
 

@@ -245,6 +245,22 @@ def test_similar_texts(spark, bucket, monkeypatch):
     assert sorted(r.doc_id for r in left) == sorted({*want.values()}) and 24 < len(left) < 250
 
 
+@pytest.mark.parametrize("bucket", [16, 4096])
+def test_refused_links_hide_no_other(spark, bucket, monkeypatch):
+    """A bucket of more than 32 texts whose forest may link any of them: most links are refused, and each text's twin is found all the same."""
+    *most, _, _ = simhash.similar_links.__defaults__
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (*most, (256,), bucket))
+    base, texts, k = " ".join(f"w{i}" for i in range(200)), [], 0
+    few = lambda text: simhash.shingle_set(text)[: simhash.SMALLEST].tolist()
+    while len(texts) < 60:  # texts with the base's smallest hashes: all buckets hold all of them
+        k, text = k + 1, base + "".join(f" own{k}x{i}" for i in range(30))
+        if few(text) == few(text + " more") == few(base):
+            texts += [text, text + " more"]
+    pairs = list(enumerate(texts))
+    left = simhash.drop_similar(spark.createDataFrame(pairs, "doc_id long, text string").repartition(3))
+    assert sorted(r.doc_id for r in left.collect()) == sorted({*brute_similar(pairs).values()}) == list(range(0, 60, 2))
+
+
 def test_similar_texts_go_by_row(spark, docs, rows, odd, empty):
     a, b, c, d = (" ".join(f"{k}{i * i}" for i in range(30)) for k in "abcd")
     some = [(7, a), (None, a.upper()), (None, b), (None, c), (None, c.upper()), (8, d), (9, d + " more"), (9, "own text"), (9, "own text"), (3, None), (4, ""), (5, " \n")]
