@@ -10,11 +10,19 @@ from lexiflow.operators.ranks import numbered
 
 def reconcile(events: DataFrame, toks: DataFrame) -> DataFrame:
     """Events (id, page, locus, idx, word) with ``reason``: null where the text holds that word at that place."""
-    at = toks.select("page", "locus", "idx", F.col("word").alias("found"))
-    size = toks.groupBy("page", "locus").agg(F.max("idx").alias("last"))
-    rows = events.join(size, ["page", "locus"], "left").join(at, ["page", "locus", "idx"], "left")
-    reason = F.when(F.col("last").isNull(), "line is absent").when((F.col("idx") < 0) | (F.col("idx") > F.col("last")), "position outside the line").when(~F.col("found").eqNullSafe(F.col("word")), "word differs")
-    return rows.withColumn("reason", reason).drop("found", "last")
+    rest = [c for c in events.columns if c not in ("page", "locus", "idx")]
+    place = ["page", "locus", "idx"]
+    word, none = F.col("word"), F.lit(None)
+    # both meet in one shuffle by line; a place's words are gathered where the line already lies
+    rows = events.select(*place, F.struct(*rest).alias("event"), none.cast("string").alias("found"))
+    kind = rows.schema["event"].dataType
+    rows = rows.unionByName(toks.select(*place, none.cast(kind).alias("event"), word.alias("found"))).repartition("page", "locus")
+    each = rows.withColumn("last", F.max(F.when(F.col("event").isNull(), F.col("idx"))).over(Window.partitionBy("page", "locus")))
+    each = each.withColumn("words", F.collect_list("found").over(Window.partitionBy(*place))).filter("event is not null")
+    known = F.col("page").isNotNull() & F.col("locus").isNotNull()
+    each = each.select(*place, "event.*", F.when(known, F.col("last")).alias("last"), F.explode_outer(F.when(known & F.col("idx").isNotNull(), F.col("words"))).alias("found"))
+    reason = F.when(F.col("last").isNull(), "line is absent").when((F.col("idx") < 0) | (F.col("idx") > F.col("last")), "position outside the line").when(~F.col("found").eqNullSafe(word), "word differs")
+    return each.withColumn("reason", reason).select(*events.columns, "reason")
 
 
 def donor_flags(events: DataFrame) -> DataFrame:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexiflow.functions import words as W
-from lexiflow.operators import chain, copying, fit, rates, stages, variants
+from lexiflow.operators import chain, copying, fit, graph, rates, stages, variants
 from lexiflow.plans.base import query, r6
 from lexiflow.plans.rules import MENU, english, menu
-from lexiflow.plans.search import toks
+from lexiflow.plans.search import bag, toks
 from lexiflow.sources import corpus as C
 
 # Fit: half of the sheets fits, the other half evaluates; populations are even and odd sources of the English text.
@@ -19,10 +19,9 @@ hit AS (SELECT src AS word, code AS rule, CASE WHEN src LIKE 'th%' THEN 'th' WHE
 
 
 def class_counts(spark, d):
-    t = toks(spark, d, keep=("lang", "source")).filter("lang='en'")
     even = F.regexp_extract("source", r"(\d+)$", 1).cast("int") % 2 == 0
-    t = t.withColumn("half", F.floor(F.col("page") / 4) % 2).withColumn("pop", F.when(even, "A").otherwise("B"))
-    return fit.class_counts(t, "half", "pop")
+    docs = C.table(spark, d, "documents").filter("lang='en'").withColumns({"half": F.floor(F.col("doc_id") / 4) % 2, "pop": F.when(even, "A").otherwise("B")})  # once a document, not a word
+    return graph.settled(fit.class_counts(C.tokens(C.lines(docs, "half", "pop")), "half", "pop"))
 
 
 def hits(spark, d):
@@ -144,9 +143,10 @@ def annotated(spark, d, lang="es"):
 
 @query("f3_site_variables", ", u AS (SELECT DISTINCT word, array_to_string(regexp_extract_all(word, '(ckh|cth|cph|cfh|ch|sh|e{1,4}|i{1,4}|.)'), ' ') AS u FROM tokens), v AS (SELECT word, CASE WHEN regexp_matches(u, '^(.*(?:^| )(?:e|ee|eee|ch|sh|o|a)) (d y|y)()$') THEN regexp_extract(u, '^(.*(?:^| )(?:e|ee|eee|ch|sh|o|a)) (d y|y)()$', 2) END AS dy, CASE WHEN regexp_matches(u, '^((?:.* )?)([oa])( [lr])$') THEN regexp_extract(u, '^((?:.* )?)([oa])( [lr])$', 2) END AS oa, CASE WHEN regexp_matches(u, '^()((?:d )?)(a(?: .*)?)$') THEN trim(regexp_extract(u, '^()((?:d )?)(a(?: .*)?)$', 2)) END AS d0, CASE WHEN regexp_matches(u, '^((?:.* )?a) (i|ii|iii) (n)$') THEN regexp_extract(u, '^((?:.* )?a) (i|ii|iii) (n)$', 2) END AS aiin FROM u) SELECT * FROM v WHERE coalesce(dy, oa, d0, aiin) IS NOT NULL")
 def f3(spark, d):
-    u = toks(spark, d).select("word").distinct().select("word", F.array_join(chain.units_of(F.col("word")), " ").alias("u"))
+    u = bag(spark, d, keep=()).select("word").distinct().select("word", F.array_join(chain.units_of(F.col("word")), " ").alias("u"))
     v = {k.lower(): variants.site_variant(F.col("u"), k)["variant"] for k in ("DY", "OA", "D0", "AIIN")}
-    return u.select("word", *[c.alias(n) for n, c in v.items()]).filter("coalesce(dy, oa, d0, aiin) is not null")
+    # one pattern tells most words off before any other is tried
+    return u.filter(F.col("u").rlike("y$|[lrn]$|^(?:d )?a")).select("word", *[c.alias(n) for n, c in v.items()]).filter("coalesce(dy, oa, d0, aiin) is not null")
 
 
 @query("f3_all_variables")
@@ -322,9 +322,11 @@ SPLITS = ("even", "odd", "early", "late")
 
 def split_counts(spark, d):
     """(split, half, pop, cls, word, n): half 0 is fitted, 1 held out; populations are even and odd English sources."""
-    t = toks(spark, d, keep=("lang", "source")).filter("lang='en'")
     even = F.regexp_extract("source", r"(\d+)$", 1).try_cast("int") % 2 == 0
-    t = t.groupBy("sheet", F.when(even, "A").otherwise("B").alias("pop"), F.when(F.col("first"), "first").otherwise("body").alias("cls"), "word").agg(F.count("*").alias("n"))
+    docs = C.table(spark, d, "documents").filter("lang='en'").withColumn("pop", F.when(even, "A").otherwise("B"))  # once a document, not a word
+    # sheets count only by the four halves that they fall into
+    t = C.tokens(C.lines(docs, "pop")).withColumn("sheet", F.col("sheet") % 4)
+    t = t.groupBy("sheet", "pop", F.when(F.col("first"), "first").otherwise("body").alias("cls"), "word").agg(F.count("*").alias("n"))
     parity, run = F.col("sheet") % 2, F.floor(F.col("sheet") / 2) % 2
     halves = F.array(*[F.struct(F.lit(s).alias("split"), h.alias("half")) for s, h in zip(SPLITS, (parity, 1 - parity, run, 1 - run), strict=True)])
     rows = t.select("pop", "cls", "word", "n", F.explode(halves).alias("s"))
