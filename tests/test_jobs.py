@@ -268,3 +268,12 @@ def test_nearest_relative(spark):
     df = variants.nearest_relative(spark.createDataFrame(lines, "page long, locus int, words array<string>").repartition(3), spark.createDataFrame(focus, "page long, locus int, idx int, word string"))
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2  # the other deals the test's own lines
     assert {tuple(r) for r in df.collect()} == want and len(want) > 20
+
+
+def test_reconcile_shuffles_once(spark):
+    """A null page, a line that is absent, a place outside the line, a gap, another word, and a match, in one shuffle."""
+    toks = spark.createDataFrame([(1, 0, 0, "a"), (1, 0, 2, "b"), (1, 1, 0, "c"), (None, 0, 0, "a")], "page long, locus int, idx int, word string")
+    events = spark.createDataFrame([(0, 1, 0, 0, "a"), (1, 1, 0, 1, "a"), (2, 1, 0, 3, "b"), (3, 1, 2, 0, "c"), (4, 1, 1, 0, "x"), (5, None, 0, 0, "a")], "id int, page long, locus int, idx int, word string")
+    df = copying.reconcile(events, toks)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1
+    assert {r.id: r.reason for r in df.collect()} == {0: None, 1: "word differs", 2: "position outside the line", 3: "line is absent", 4: "word differs", 5: "line is absent"}
