@@ -210,49 +210,92 @@ def bucket_links(rows: DataFrame, radii: tuple[int, ...], bucket_size: int = BUC
     buckets of several nodes alone.
     """
     kind = dict((rows if fps is None else fps).dtypes)["fp"]
-    rows = _parts(rows, bucket_size, fps, "fp")
-    return rows.mapInArrow(lambda batches: _compare_batches(batches, radii), f"a {kind}, b {kind}").distinct()
-
-
-def _parts(rows: DataFrame, bucket_size: int, fps: DataFrame | None, *columns: str) -> DataFrame:
-    """(bucket, part, columns) in bucket order, buckets of several rows alone; each pair of a bucket's rows meets in some part."""
     # most buckets hold one fingerprint: they go before Python sees them
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    parts = F.ceil(F.col("n") / bucket_size).cast("int")
-    rows = rows.join(sizes, "bucket").withColumn("parts", parts)
+    rows = rows.join(sizes.select("bucket", F.ceil(F.col("n") / bucket_size).cast("int").alias("parts")), "bucket")
     if fps is not None:
         rows = rows.join(fps, "node")
+    rows = _in_order(_parts(rows).select("bucket", "part", "fp"))
+    return rows.mapInArrow(lambda batches: _compare_batches(batches, radii), f"a {kind}, b {kind}").distinct()
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    """Rows (bucket, parts, fp) with a column part, a row for each part that it goes to: each pair of a bucket's rows meets in some part."""
     rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     part = F.least("own", "other") * F.lit(1 << 20).cast("long") + F.greatest("own", "other")
-    return rows.select("bucket", part.alias("part"), *columns).repartition("bucket", "part").sortWithinPartitions("bucket", "part")
-
-
-def _close_pairs(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Rows (bucket, part, fp, class) in bucket order to all pairs (a, b) of a bucket within ``radius`` and of different classes."""
-
-    def pairs(fps, classes):
-        values = np.frombuffer(b"".join(fps), "<u8").reshape(len(fps), -1)
-        for i in range(0, len(fps), TILE):
-            for j in range(i, len(fps), TILE):
-                near = _ones(values[i : i + TILE, None] ^ values[None, j : j + TILE], 2) <= radius
-                near &= classes[i : i + TILE, None] != classes[None, j : j + TILE]
-                x, y = np.nonzero(np.triu(near, 1) if i == j else near)
-                if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array([fps[i + n] for n in x], pa.binary()), pa.array([fps[j + n] for n in y], pa.binary())], ["a", "b"])
-
-    rows = (row for batch in batches for row in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-    for _, group in groupby(rows, key=lambda r: r[:2]):
-        group = list(group)
-        known = {c: n for n, c in enumerate({r[3] for r in group})}
+    return rows.withColumn("part", part)
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+
+
+def prove(fps: np.ndarray, classes: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> list[tuple[int, int]]:
+    """Positions of links that join all classes which a pair within ``radius`` and of that similarity joins, directly or through others.
+
+    ``classes`` are numbers below the number of rows. Every pair within the
+    radius is held against its two whole sets unless earlier links have joined
+    its ends: the links are at most as many as the classes, less one.
+    """
+    forest, sizes = _Forest(len(fps)), np.array([len(s) for s in sets])
+    forest.label = classes
+    # each different shingle of the bucket gets a number: common ones are read off a table of marks
+    _, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+    marks = np.zeros(int(numbers.max()) + 1, np.uint8)
+    numbers = np.split(numbers.astype(np.int32), np.cumsum(sizes)[:-1])
+    for i in range(0, len(fps), TILE):
+        for j in range(i, len(fps), TILE):
+            left, right = forest.label[i : i + TILE], forest.label[j : j + TILE]
+            if (left == left[0]).all() and (right == left[0]).all():
+                continue
+            near = (left[:, None] != right[None, :]) & (_ones(fps[i : i + TILE, None] ^ fps[None, j : j + TILE], fps.shape[1]) <= radius)
+            near = np.triu(near, 1) if i == j else near
+            for x in np.flatnonzero(near.any(axis=1)):
+                a, b = i + x, j + np.flatnonzero(near[x])
+                b = b[forest.label[b] != forest.label[a]]
+                if not len(b):
+                    continue
+                marks[numbers[a]] = 1
+                starts = np.cumsum(sizes[b]) - sizes[b]
+                common = np.add.reduceat(marks[np.concatenate([numbers[k] for k in b])], starts, dtype=np.int64)
+                marks[numbers[a]] = 0
+                b = b[common + 1e-9 >= similarity * (sizes[a] + sizes[b] - common)]
+                forest.join(np.full(len(b), a), b)
+    return forest.links
+
+
+def _prove_batches(batches: Iterator[pa.RecordBatch], radius: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (bucket, part, fp, class, set) in bucket order to the links (a, b) of ``prove``; a bucket may run over several batches."""
+
+    def rows():
+        for batch in batches:
+            sets = batch.column(4)
+            each = np.split(sets.flatten().to_numpy(zero_copy_only=False), np.cumsum(np.diff(sets.offsets.to_numpy()))[:-1])
+            yield from zip(*(batch.column(i).to_pylist() for i in range(4)), each, strict=True)
+
+    for _, group in groupby(rows(), key=lambda r: r[:2]):
+        group = sorted(group, key=lambda r: r[3])  # tiles of one class have nothing to link
+        known = {c: n for n, c in enumerate(dict.fromkeys(r[3] for r in group))}
         if len(known) > 1:
-            yield from pairs([r[2] for r in group], np.array([known[r[3]] for r in group]))
+            fps = np.frombuffer(b"".join(r[2] for r in group), "<u8").reshape(len(group), -1)
+            if links := prove(fps, np.array([known[r[3]] for r in group]), [r[4] for r in group], radius, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array([group[link[end]][2] for link in links], pa.binary()) for end in (0, 1)], ["a", "b"])
+
 
+def between_classes(rows: DataFrame, sets: DataFrame, radius: int, similarity: float, bucket_size: int) -> DataFrame:
+    """Proven links (a, b) between different classes of each bucket, for rows (bucket, fp, class, size) and sets (fp, set).
 
-def between_classes(rows: DataFrame, radius: int, bucket_size: int, fps: DataFrame) -> DataFrame:
-    """All pairs (a, b) of a bucket within ``radius`` and of different classes: rows (node, bucket), fps (node, fp, class)."""
-    parted = _parts(rows, bucket_size, fps, "fp", "class")
-    return parted.mapInArrow(lambda batches: _close_pairs(batches, radius), "a binary, b binary").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    They join all classes that a pair within ``radius`` and of that similarity
+    joins: at most one link less than a part of a bucket has classes, never all
+    pairs. Buckets over ``bucket_size`` rows or SHINGLES shingles are split into
+    parts whose pairs go to separate tasks.
+    """
+    each = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("class").alias("least"), F.max("class").alias("most")).filter("least <> most")
+    parts = F.ceil(F.greatest(F.col("n") / bucket_size, F.col("all") / SHINGLES)).cast("int")
+    parted = _parts(rows.join(each.select("bucket", parts.alias("parts")), "bucket")).select("fp", "bucket", "part", "class")
+    held = _in_order(parted.join(sets, "fp").select("bucket", "part", "fp", "class", "set"))
+    return held.mapInArrow(lambda batches: _prove_batches(batches, radius, similarity), "a binary, b binary").distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -322,6 +365,8 @@ RADII = (20, 30, 40, 58)
 #: Each pair of a set's smallest hashes is a bucket. Two sets of similarity 0.8 have two of the seven smallest of
 #: their union in common, thus a bucket, in 1 - 7 * 0.8 * 0.2**6 - 0.2**7 = 99.96 % of pairs, more above 0.8.
 SMALLEST = 7
+#: Shingles of a bucket that one task proves against each other (two such parts at most are held at once); a longer text is a part's share of its own.
+SHINGLES = 1 << 20
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -354,9 +399,9 @@ def wide_fingerprint(shingles: np.ndarray, words: int = WORDS) -> bytes:
 
 
 def _keys(shingles: np.ndarray) -> np.ndarray:
-    """A hash of each pair of the smallest SMALLEST shingle hashes."""
+    """A hash of each pair (i, j), i < j, of the smallest SMALLEST shingle hashes, by j and then i."""
     few = shingles[:SMALLEST]
-    i, j = np.triu_indices(len(few), 1)
+    j, i = np.tril_indices(len(few), -1)
     return _mixed(few[i] * _STEP + few[j]).view(np.int64)
 
 
@@ -366,37 +411,37 @@ def similar_links(nodes: DataFrame, text: Column, shingle: int = SIMILAR_SHINGLE
     The keys deal the fingerprints into buckets; a passage that many texts
     share makes no large one, as two of its shingles must be among a text's
     smallest. The tiled comparison finds the close fingerprints, and the exact
-    similarity of the two whole texts decides.
+    similarity of the two whole texts decides. A forest passes over pairs that
+    its own links join: where one of its links is refused, the texts of the
+    bucket meet again with their sets, and only proven links join them.
     """
 
     @F.pandas_udf("array<bigint>")
     def shingles(texts):
         return texts.map(lambda t: shingle_set(t, shingle).view(np.int64))
 
-    enough = lambda common: common + 1e-9 >= similarity * (F.size("set_a") + F.size("set_b") - common)
-
-    def proven(found):
-        ends = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).distinct()
-        sets = cut(nodes.join(ends, "fp").select("fp", shingles(text).alias("set")))
-        left, right = (sets.select(F.col("fp").alias(end), F.col("set").alias(f"set_{end}")) for end in ("a", "b"))
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        return cut(found.join(left, "a").join(right, "b").select("a", "b", enough(common).alias("holds")))
-
     node = F.xxhash64("fp").alias("node")  # two fingerprints of one number only meet more often
     dealt = nodes.select(node, F.explode("keys").alias("bucket"))
-    judged = proven(cut(bucket_links(dealt, radii, bucket_size, nodes.select(node, "fp"))))
-    held, refused = judged.filter("holds").select("a", "b"), judged.filter("not holds").select("a", "b")
-    if refused.isEmpty():
+    found = cut(bucket_links(dealt, radii, bucket_size, nodes.select(node, "fp")))
+    ends = found.select(F.col("a").alias("fp")).union(found.select(F.col("b").alias("fp"))).distinct()
+    sets = cut(nodes.join(ends, "fp").select("fp", "keys", shingles(text).alias("set")))
+    left, right = (sets.select(F.col("fp").alias(end), F.col("keys").alias(f"keys_{end}"), F.col("set").alias(f"set_{end}")) for end in ("a", "b"))
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    enough = common + 1e-9 >= similarity * (F.size("set_a") + F.size("set_b") - common)
+    judged = found.join(left, "a").join(right, "b").withColumn("holds", enough)
+    judged = cut(judged.select("a", "b", "holds", F.when(~F.col("holds"), F.array_intersect("keys_a", "keys_b")).alias("broken")))
+    held, broken = judged.filter("holds").select("a", "b"), judged.select(F.explode("broken").alias("key")).distinct()
+    if broken.isEmpty():
         return held
-    # a forest passes over pairs that its own links join: where a link was refused, the bucket's pairs between different classes are judged as well
-    own = nodes.select("fp")
-    classes = components(own.select("fp", F.col("fp").alias("label")), held)
-    classes = own.join(classes, "fp", "left").select("fp", F.coalesce("label", "fp").alias("class"))
-    ends = refused.select("a", "b", F.xxhash64("a").alias("node"), F.xxhash64("b").alias("far"))
-    broken = ends.join(dealt, "node").join(dealt.select(F.col("node").alias("far"), "bucket"), ["far", "bucket"]).select("bucket").distinct()
-    more = cut(between_classes(dealt.join(cut(broken), "bucket", "left_semi"), radii[-1], bucket_size, classes.select(F.xxhash64("fp").alias("node"), "fp", "class")))
-    others = more.join(refused, ["a", "b"], "left_anti").join(refused.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")
-    return held.unionByName(proven(cut(others)).filter("holds").select("a", "b"))
+    classes = components(sets.select("fp", F.col("fp").alias("label")), held)
+    # texts without a link of the forests have no other within the radius. A text goes to the smaller hash of each broken
+    # bucket's pair: six times at most instead of 21, and two that share a broken bucket still meet
+    first = F.array(*[F.lit(int(i) + 1) for i in np.tril_indices(SMALLEST, -1)[1]])
+    at = F.transform("keys", lambda key, n: F.struct(key.alias("key"), F.element_at("set", F.element_at(first, n + 1)).alias("bucket")))
+    rows = sets.select("fp", F.size("set").alias("size"), F.explode(at).alias("at")).select("fp", "size", "at.*")
+    rows = rows.join(broken, "key", "left_semi").select("fp", "size", "bucket").distinct().join(classes, "fp", "left")
+    rows = cut(rows.select("fp", "size", "bucket", F.coalesce("label", "fp").alias("class")))
+    return held.unionByName(between_classes(rows, sets.select("fp", "set"), radii[-1], similarity, bucket_size))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -407,8 +452,8 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts without a word (null, empty, blank) are one class. Links are those
     that the buckets and the fingerprints' radius cover (over 99.8 % of pairs
     at 0.8); none is less similar than ``similarity``. Where a spanning
-    forest's link is refused, all pairs of its buckets between the classes
-    proven so far are judged.
+    forest's link is refused, the pairs of its buckets between the classes
+    proven so far are judged until proven links have joined them.
     An empty table gives an empty one.
     """
 

@@ -261,6 +261,67 @@ def test_refused_links_hide_no_other(spark, bucket, monkeypatch):
     assert sorted(r.doc_id for r in left.collect()) == sorted({*brute_similar(pairs).values()}) == list(range(0, 60, 2))
 
 
+@pytest.mark.parametrize("bucket", [16, 4096])
+def test_links_where_some_are_refused_are_no_square(spark, bucket, monkeypatch):
+    """Two crowds in the same buckets, alike inside and not between: a forest that starts in one is refused all of the other, whose texts then meet with few links."""
+    *most, _, _ = simhash.similar_links.__defaults__
+    monkeypatch.setattr(simhash.similar_links, "__defaults__", (*most, (256,), bucket))
+    few = lambda text: simhash.shingle_set(text)[: simhash.SMALLEST].tolist()
+    base, texts, k = " ".join(f"w{i}" for i in range(200)), [], 0
+    for crowd in (40, 80):  # texts of the first, then of both
+        while True:  # a crowd's own passage, without hashes among the smallest
+            k += 1
+            start = base + "".join(f" own{k}x{i}" for i in range(80))
+            if few(start) == few(base):
+                break
+        while len(texts) < crowd:
+            k += 1
+            if few(text := f"{start} end{k} end{k + 1}") == few(base):
+                texts.append(text)
+    pairs = list(enumerate(texts))
+    df = spark.createDataFrame(pairs, "doc_id long, text string").repartition(3)
+    left = sorted(r.doc_id for r in simhash.drop_similar(df).collect())
+    assert left == sorted({*brute_similar(pairs).values()}) == [0, 40]
+    sets = [simhash.shingle_set(t) for t in texts]
+    nodes = spark.createDataFrame([(bytearray(simhash.wide_fingerprint(s)), simhash._keys(s).tolist(), t) for s, t in zip(sets, texts, strict=True)], "fp binary, keys array<long>, text string")
+    if bucket == 4096:  # a pair of parts has a forest of its own
+        assert simhash.similar_links(nodes, F.col("text")).count() < 3 * len(texts)
+
+
+def test_proven_links_join_what_any_pair_joins(spark):
+    """Random sets, classes and bits, over more than one tile, in Spark in parts by shingles as well."""
+    rng = np.random.default_rng(7)
+    crowd, sets = [rng.choice(4000, 60, replace=False) for _ in range(12)], []
+    for n in range(600):
+        own = crowd[n % 12].copy()
+        some = rng.integers(0, 60, int(rng.integers(0, 20)))
+        own[some] = rng.integers(0, 4000, len(some))
+        sets.append(np.unique(own).astype(np.int64))
+    fps = rng.integers(0, 1 << 62, (600, 4)).astype(np.uint64)
+    classes = np.array([n % 12 * 50 if n < 120 else n for n in range(600)])
+    far = lambda a, b: sum(int(x).bit_count() for x in fps[a] ^ fps[b])
+    sizes, members = [len(s) for s in sets], [set(s.tolist()) for s in sets]
+    label = classes.copy()
+    for a in range(600):
+        for b in range(a + 1, 600):
+            if label[a] != label[b] and far(a, b) <= 125:
+                both = len(members[a] & members[b])
+                if 5 * both >= 4 * (sizes[a] + sizes[b] - both):
+                    label[label == max(label[a], label[b])] = min(label[a], label[b])
+    links = simhash.prove(fps, classes.copy(), sets, 125, 0.8)
+    assert 100 < len(links) == len({*classes.tolist()}) - len({*label.tolist()})
+    rows = [(1, bytearray(fps[n].tobytes()), bytearray(str(classes[n]).encode()), sizes[n], sets[n].tolist()) for n in range(600)]
+    df = spark.createDataFrame(rows, "bucket long, fp binary, class binary, size int, set array<long>")
+    number = {fps[n].tobytes(): n for n in range(600)}
+    for bucket in (100, 4096):
+        found = simhash.between_classes(df.drop("set"), df.select("fp", "set"), 125, 0.8, bucket).collect()
+        reached = classes.copy()
+        for r in found:
+            a, b = reached[number[bytes(r.a)]], reached[number[bytes(r.b)]]
+            reached[reached == max(a, b)] = min(a, b)
+        assert len({*reached.tolist()}) == len({*zip(reached.tolist(), label.tolist(), strict=True)}) == len({*label.tolist()})
+
+
 def test_similar_texts_go_by_row(spark, docs, rows, odd, empty):
     a, b, c, d = (" ".join(f"{k}{i * i}" for i in range(30)) for k in "abcd")
     some = [(7, a), (None, a.upper()), (None, b), (None, c), (None, c.upper()), (8, d), (9, d + " more"), (9, "own text"), (9, "own text"), (3, None), (4, ""), (5, " \n")]
